@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 def make_session(cpus: str = "8") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', cpus)}]").appName("voltgrid")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

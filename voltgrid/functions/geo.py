@@ -71,35 +71,57 @@ def _central_meridian(zone: Column) -> Column:
     return F.radians(zone.cast("double") * 6 - 183)
 
 
-def to_utm(lat: Column, lon: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """(easting, northing) in metres by the Krüger series."""
-    phi, lam = F.radians(lat), F.radians(lon) - _central_meridian(zone)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _ECC * F.atanh(_ECC * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(_ALPHA, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    false_north = F.when(south, F.lit(_FALSE_NORTHING)).otherwise(F.lit(0.0))
-    return _FALSE_EASTING + _K0 * _RECT * east, false_north + _K0 * _RECT * north
-
-
-def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """(lat, lon) in degrees."""
-    false_north = F.when(south, F.lit(_FALSE_NORTHING)).otherwise(F.lit(0.0))
-    xi0, eta0 = (y - false_north) / (_K0 * _RECT), (x - _FALSE_EASTING) / (_K0 * _RECT)
-    xi, eta = xi0, eta0
-    for j, b in enumerate(_BETA, start=1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    phi = chi
-    for j, d in enumerate(_DELTA, start=1):
-        phi = phi + d * F.sin(2 * j * chi)
-    lam = F.atan2(F.sinh(eta), F.cos(xi))
-    return F.degrees(phi), F.degrees(_central_meridian(zone) + lam)
+def to_utm_points(points: Column, zone: Column, south: Column) -> Column:
+    """array<struct<lat,lon>> -> array<struct<x,y>> in metres by the Krüger series.
+
+    The steps are chained transforms, so that each intermediate is computed once and the generated code stays small.
+    """
+    def conformal(p):
+        s = F.sin(F.radians(p["lat"]))
+        return F.struct(F.sinh(F.atanh(s) - _ECC * F.atanh(_ECC * s)).alias("t"),
+                        (F.radians(p["lon"]) - _central_meridian(zone)).alias("lam"))
+
+    def sphere(p):
+        return F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("xi"),
+                        F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta"))
+
+    def plane(p):
+        east, north = p["eta"], p["xi"]
+        for j, a in enumerate(_ALPHA, start=1):
+            east = east + a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            north = north + a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        false_north = F.when(south, F.lit(_FALSE_NORTHING)).otherwise(F.lit(0.0))
+        return F.struct((_FALSE_EASTING + _K0 * _RECT * east).alias("x"),
+                        (false_north + _K0 * _RECT * north).alias("y"))
+
+    return F.transform(F.transform(F.transform(points, conformal), sphere), plane)
+
+
+def from_utm_points(points: Column, zone: Column, south: Column) -> Column:
+    """array<struct<x,y>> -> array<struct<lon,lat>> in degrees."""
+    def unit(p):
+        false_north = F.when(south, F.lit(_FALSE_NORTHING)).otherwise(F.lit(0.0))
+        return F.struct(((p["y"] - false_north) / (_K0 * _RECT)).alias("xi"),
+                        ((p["x"] - _FALSE_EASTING) / (_K0 * _RECT)).alias("eta"))
+
+    def sphere(p):
+        xi, eta = p["xi"], p["eta"]
+        for j, b in enumerate(_BETA, start=1):
+            xi = xi - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta = eta - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def angles(p):
+        return F.struct(F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"),
+                        F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])).alias("lam"))
+
+    def degrees(p):
+        phi = p["chi"]
+        for j, d in enumerate(_DELTA, start=1):
+            phi = phi + d * F.sin(2 * j * p["chi"])
+        return F.struct(F.degrees(_central_meridian(zone) + p["lam"]).alias("lon"), F.degrees(phi).alias("lat"))
+
+    return F.transform(F.transform(F.transform(F.transform(points, unit), sphere), angles), degrees)
 
 
 def strictly_inside_box(lat: Column, lon: Column, min_lat: Column, max_lat: Column,

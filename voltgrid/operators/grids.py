@@ -17,15 +17,19 @@ SCALES = (0.5, 0.75, 1.0, 1.5, 2.0)
 TOUCH = 1e-6
 
 
+def _settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-element explode, so that the optimizer does not inline it repeatedly."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _project(areas: DataFrame) -> DataFrame:
     """Boundary boxes -> UTM quad in the zone of the box centre, with its bounds."""
     mid_lat, mid_lon = (F.col("min_lat") + F.col("max_lat")) / 2, (F.col("min_lon") + F.col("max_lon")) / 2
     base = areas.withColumn("zone", geo.utm_zone(mid_lon)).withColumn("south", mid_lat < 0)
-    zone, south = F.col("zone"), F.col("south")
-    for k, (lat, lon) in enumerate((("min_lat", "min_lon"), ("min_lat", "max_lon"),
-                                    ("max_lat", "max_lon"), ("max_lat", "min_lon"))):
-        x, y = geo.to_utm(F.col(lat), F.col(lon), zone, south)
-        base = base.withColumn(f"x{k}", x).withColumn(f"y{k}", y)
+    corners = F.array(*[F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")) for lat, lon in (
+        ("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon"))])
+    base = _settle(base, "_q", geo.to_utm_points(corners, F.col("zone"), F.col("south")))
+    base = base.select("*", *[F.col("_q")[k][c].alias(f"{c}{k}") for k in range(4) for c in "xy"]).drop("_q")
     xs, ys = [f"x{k}" for k in range(4)], [f"y{k}" for k in range(4)]
     return (base.withColumn("bx0", F.least(*xs)).withColumn("bx1", F.greatest(*xs))
             .withColumn("by0", F.least(*ys)).withColumn("by1", F.greatest(*ys)))
@@ -44,18 +48,16 @@ def _meets_quad(cx0: Column, cy0: Column, cx1: Column, cy1: Column) -> Column:
 
 def _to_geographic(cells: DataFrame) -> DataFrame:
     """Corners, bounds and centre of UTM squares (cx0, cy0, cx1, cy1) in degrees."""
-    out = cells
-    for k, (x, y) in enumerate((("cx0", "cy0"), ("cx1", "cy0"), ("cx1", "cy1"), ("cx0", "cy1"))):
-        lat, lon = geo.from_utm(F.col(x), F.col(y), F.col("zone"), F.col("south"))
-        out = out.withColumn(f"_lat{k}", lat).withColumn(f"_lon{k}", lon)
-    lats, lons = [f"_lat{k}" for k in range(4)], [f"_lon{k}" for k in range(4)]
-    corners = F.array(*[F.struct(F.col(f"_lon{k}").alias("lon"), F.col(f"_lat{k}").alias("lat")) for k in range(4)])
-    mid_lat, mid_lon = geo.from_utm((F.col("cx0") + F.col("cx1")) / 2, (F.col("cy0") + F.col("cy1")) / 2,
-                                    F.col("zone"), F.col("south"))
-    return (out.withColumn("corners", corners)
-            .withColumn("min_lat", F.least(*lats)).withColumn("max_lat", F.greatest(*lats))
-            .withColumn("min_lon", F.least(*lons)).withColumn("max_lon", F.greatest(*lons))
-            .withColumn("center_lat", mid_lat).withColumn("center_lon", mid_lon).drop(*lats, *lons))
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("cx0", "cy0", "cx1", "cy1"))
+    points = F.array(xy(x0, y0), xy(x1, y0), xy(x1, y1), xy(x0, y1), xy((x0 + x1) / 2, (y0 + y1) / 2))
+    out = _settle(cells, "_g", geo.from_utm_points(points, F.col("zone"), F.col("south")))
+    ring = F.slice("_g", 1, 4)
+    pick = lambda c: F.transform(ring, lambda p: p[c])
+    return (out.withColumn("corners", ring)
+            .withColumn("min_lat", F.array_min(pick("lat"))).withColumn("max_lat", F.array_max(pick("lat")))
+            .withColumn("min_lon", F.array_min(pick("lon"))).withColumn("max_lon", F.array_max(pick("lon")))
+            .withColumn("center_lat", F.col("_g")[4]["lat"]).withColumn("center_lon", F.col("_g")[4]["lon"]).drop("_g"))
 
 
 def utm_cells(areas: DataFrame, pad: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("demand", "grids")
+AREAS = ("demand", "grids", "features")
 
 
 def load() -> None:

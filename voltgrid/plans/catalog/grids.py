@@ -49,11 +49,11 @@ _X, _Y = utm_sql("latitude", "longitude", "zone")
 def _(t):
     lat, lon = F.col("latitude"), F.col("longitude")
     s = t.fx("stations").withColumn("zone", geo.utm_zone(lon)).withColumn("epsg", geo.utm_epsg(lat, lon))
-    x, y = geo.to_utm(lat, lon, F.col("zone"), F.col("latitude") < 0)
-    s = s.withColumn("x", x).withColumn("y", y)
-    blat, blon = geo.from_utm(F.col("x"), F.col("y"), F.col("zone"), F.col("latitude") < 0)
-    return s.select("station_id", "zone", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"),
-                    F.round(blat, 6).alias("back_lat"), F.round(blon, 6).alias("back_lon"))
+    south = F.col("latitude") < 0
+    s = s.withColumn("p", geo.to_utm_points(F.array(F.struct(lat.alias("lat"), lon.alias("lon"))), F.col("zone"), south))
+    s = s.withColumn("b", geo.from_utm_points(F.col("p"), F.col("zone"), south)[0]).withColumn("p", F.col("p")[0])
+    return s.select("station_id", "zone", "epsg", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"),
+                    F.round("b.lat", 6).alias("back_lat"), F.round("b.lon", 6).alias("back_lon"))
 
 
 @query("prj12_haversine", """SELECT osmid, round(2 * 6371 * asin(sqrt(h)), 6) AS km_asin,
@@ -270,10 +270,10 @@ def _(t):
     return observed.demand_by_cell(located(t)).select("grid_id", "unique_vehicles", "total_events", *r6("actual_demand"))
 
 
-@query("agg16_weekly_coverage", """SELECT week, count(DISTINCT grid_id) AS cells, round(100.0 * count(DISTINCT grid_id)
+@query("agg16_weekly_coverage", """SELECT CAST(week AS VARCHAR) AS week, count(DISTINCT grid_id) AS cells, round(100.0 * count(DISTINCT grid_id)
  / (SELECT count(*) FROM fx_cells), 6) AS coverage_pct FROM v_point_cell GROUP BY 1""")
 def _(t):
-    return observed.weekly_coverage(located(t), t.fx("cells")).select("week", "cells", *r6("coverage_pct"))
+    return observed.weekly_coverage(located(t), t.fx("cells")).select(F.col("week").cast("string").alias("week"), "cells", *r6("coverage_pct"))
 
 
 @query("agg17_cell_activity", "SELECT grid_id, count(*) AS n FROM v_point_cell GROUP BY 1")
