@@ -44,13 +44,16 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
     ``size=None`` makes every left pack meet every right pack, which only sums over *all* partners need.
     """
     def keyed(df: DataFrame, xy: tuple[str, str]) -> DataFrame:
+        if "_bx" in df.columns:  # shapes that cover several buckets come with their buckets
+            return df
         if size is None:
             return df.withColumn("_bx", F.lit(0).cast("long")).withColumn("_by", F.lit(0).cast("long"))
         return df.withColumn("_bx", bucket(F.col(xy[0]), size)).withColumn("_by", bucket(F.col(xy[1]), size))
 
     lp = (_packs(keyed(left.select(*dict.fromkeys([*left_cols, *left_xy])), left_xy), left_cols, pack)
           .withColumn("_salt", F.pmod(F.col("_pack"), F.lit(salts))))
-    rp = _packs(keyed(right.select(*dict.fromkeys([*right_cols, *right_xy])), right_xy), right_cols, pack)
+    wanted = [*right_cols, "_bx", "_by"] if "_bx" in right.columns else dict.fromkeys([*right_cols, *right_xy])
+    rp = _packs(keyed(right.select(*wanted), right_xy), right_cols, pack)
     if size is not None and reach:
         steps = F.sequence(F.lit(-reach), F.lit(reach))
         rp = (rp.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
@@ -66,8 +69,8 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
     def run(batches):
         for batch in batches:
             frames = []
-            for row in batch.itertuples(index=False):
-                rec = row._asdict() if not row._fields[0].startswith("_") else dict(zip(batch.columns, row))
+            for row in batch.itertuples(index=False, name=None):
+                rec = dict(zip(batch.columns, row))
                 lv = {c: np.asarray(rec[f"l_{c}"]) for c in left_cols}
                 rv = {c: np.asarray(rec[f"r_{c}"]) for c in right_cols}
                 out = kernel(lv, rv)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("demand", "grids", "features")
+AREAS = ("demand", "grids", "features", "trajectories")
 
 
 def load() -> None:

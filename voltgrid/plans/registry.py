@@ -49,4 +49,6 @@ def full_sql(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n] if n in VIEWS else fx_sql(n)})" for n in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
