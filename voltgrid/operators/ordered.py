@@ -181,14 +181,23 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "sp
     return s.select(*keys, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy)).alias(name))
 
 
-def gini(df: DataFrame, keys: Sequence[str], value: str, name: str = "gini") -> DataFrame:
-    """Gini coefficient per key in closed form over value counts; 0 when the total is 0."""
+def gini(df: DataFrame, keys: Sequence[str], value: str, name: str = "gini",
+         population: DataFrame | None = None) -> DataFrame:
+    """Gini coefficient per key in closed form over value counts; 0 when the total is 0.
+
+    With ``population`` (one row per member, the same for all keys) members missing from ``df`` count as 0.
+    """
     counts = value_counts(df, keys, value)
     v, n, below = F.col(value).cast("double"), F.col("n").cast("double"), F.col("below").cast("double")
     # Ranks below+1 … below+n share one value: their sum is n·below + n(n+1)/2.
     rank_sum = n * below + n * (n + 1) / 2
     s = counts.groupBy(*keys).agg(F.sum(n).alias("_n"), F.sum(n * v).alias("_s"),
                                   F.sum(rank_sum * v).alias("_rs"))
+    if population is not None:
+        size = population.agg(F.count(F.lit(1)).cast("double").alias("_all"))
+        # Absent members take the lowest ranks, which moves every present rank up by their number.
+        s = (s.crossJoin(F.broadcast(size)).withColumn("_rs", F.col("_rs") + (F.col("_all") - F.col("_n")) * F.col("_s"))
+             .withColumn("_n", F.col("_all")))
     n_, s_ = F.col("_n"), F.col("_s")
     # Sum of cumulative sums = Σ (N + 1 − rank)·v.
     cum = (n_ + 1) * s_ - F.col("_rs")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("demand", "grids", "features", "trajectories")
+AREAS = ("demand", "grids", "features", "trajectories", "events")
 
 
 def load() -> None:
