@@ -9,8 +9,10 @@ safe to broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,49 @@ def trailing(df: DataFrame, keys: Sequence[str], position: str, width: int,
     return spread.filter("_chunk = _home").drop("_chunk", "_home")
 
 
+def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: Sequence[str],
+                   step: Callable, out_schema: str, chunk: int = 100_000) -> DataFrame:
+    """A sequential fold per key, for recurrences that no window can express.
+
+    Rows are numbered per key and cut into chunks. Pass k folds chunk k of every key at once; what the fold must
+    remember goes from pass to pass as a small JSON state. No task holds more than ``chunk`` rows of a key, and keys
+    of ordinary length need one pass.
+
+    ``step(frame, state)`` gets the rows in order (with ``_rn``) and the state (None at first); it returns the output
+    frame, columns after the keys as in ``out_schema``, and the next state.
+    """
+    numbered = row_numbers(df.select(*keys, *columns), keys, order, "_rn").withColumn(
+        "_chunk", F.floor((F.col("_rn") - 1) / chunk))
+    numbered = materialize(numbered)
+    passes = (numbered.agg(F.max("_chunk")).first()[0] or 0) + 1
+    types = dict(df.dtypes)
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    names = [c.strip().split(" ")[0] for c in out_schema.split(",")]
+
+    def run(pdf):
+        pdf = pdf.sort_values("_rn")
+        raw = pdf["_state"].iloc[0] if "_state" in pdf else None
+        out, state = step(pdf, json.loads(raw) if raw else None)
+        out = out.reindex(columns=names)
+        tail = pd.DataFrame({"_state": [json.dumps(state)]})
+        both = pd.concat([out.assign(_state=None), tail.reindex(columns=[*names, "_state"])], ignore_index=True) if len(out) \
+            else tail.reindex(columns=[*names, "_state"])
+        for k in keys:
+            both[k] = pdf[k].iloc[0]
+        return both[[*keys, *names, "_state"]]
+
+    found, state = None, None
+    for k in range(passes):
+        part = numbered.filter(F.col("_chunk") == k).drop("_chunk")
+        part = part if state is None else part.join(state, list(keys))
+        done = part.groupBy(*keys).applyInPandas(run, f"{key_schema}, {out_schema}, _state string")
+        done = materialize(done) if passes > 1 else done
+        state = done.filter(F.col("_state").isNotNull()).select(*keys, "_state")
+        rows = done.filter(F.col("_state").isNull()).drop("_state")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their running counts: columns keys, value, n, below (rows with a smaller value)."""
     counts = (df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))

@@ -24,12 +24,12 @@ def bucket(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("long")
 
 
-def _packs(df: DataFrame, names: Sequence[str], size: int) -> DataFrame:
+def _packs(df: DataFrame, names: Sequence[str], size: int, by: Sequence[str] = ("_bx", "_by")) -> DataFrame:
     """Group the rows of a bucket into packs of about ``size`` by a hash of the row."""
-    n = df.groupBy("_bx", "_by").agg(F.count(F.lit(1)).alias("_n"))
-    return (df.join(n, ["_bx", "_by"])
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return (df.join(n, list(by))
             .withColumn("_pack", F.pmod(F.xxhash64(*names), F.ceil(F.col("_n") / size)))
-            .groupBy("_bx", "_by", "_pack")
+            .groupBy(*by, "_pack")
             .agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_pts")))
 
 
@@ -81,6 +81,30 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
     return pairs.mapInPandas(run, schema=schema)
 
 
+def pairwise_mean_distance(points: DataFrame, keys: Sequence[str], point_id: str, name: str,
+                           pack: int = PACK, salts: int = SALTS) -> DataFrame:
+    """Mean planar distance over all pairs of a group, pack against pack; groups of one point give no row."""
+    cols = [point_id, "lat", "lon"]
+    packs = _packs(points.select(*keys, *cols), cols, pack, keys)
+    left = (packs.withColumn("_salt", F.pmod(F.col("_pack"), F.lit(salts)))
+            .select(*keys, "_salt", F.col("_pts.lat").alias("la"), F.col("_pts.lon").alias("lo")))
+    right = (packs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+             .select(*keys, "_salt", F.col("_pts.lat").alias("ra"), F.col("_pts.lon").alias("ro")))
+
+    def run(batches):
+        for b in batches:
+            total = [float(np.hypot(np.asarray(la)[:, None] - np.asarray(ra), np.asarray(lo)[:, None] - np.asarray(ro)).sum())
+                     for la, lo, ra, ro in zip(b["la"], b["lo"], b["ra"], b["ro"])]
+            yield b[list(keys)].assign(_sum=total)
+
+    types = dict(points.dtypes)
+    pairs = left.join(right, [*keys, "_salt"])
+    sums = pairs.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", _sum double")
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (sums.groupBy(*keys).agg(F.sum("_sum").alias("_sum")).join(n.filter("_n > 1"), list(keys))
+            .select(*keys, (F.col("_sum") / (F.col("_n") * (F.col("_n") - 1))).alias(name)))
+
+
 def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, size: float,
             within: float | None = None, scale: float = 1.0, levels: int = 6,
             point_type: str = "string", site_type: str = "string") -> DataFrame:

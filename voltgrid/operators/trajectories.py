@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions import geo
-from voltgrid.functions.durable import materialize
 from voltgrid.functions.hashing import normal, uniform
 from voltgrid.functions.onerow import with_globals, with_group_stats
-from voltgrid.operators.ordered import following, previous, row_numbers
+from voltgrid.operators.ordered import fold_in_chunks, following, previous, row_numbers
 
 ORDER = ("t", "ord")
-CHUNK = 100_000
 
 # Simulated battery of the low-charge points (fixed values).
 BATTERY_KWH, KWH_PER_KM, RECHARGE_TO = 35.0, 0.2, 0.8
@@ -59,49 +57,29 @@ def long_dwells(points: DataFrame, hours: float = 2.0, radius_km: float = 0.05)
             .drop("_lat", "_lon", "_t"))
 
 
-def low_charge_points(points: DataFrame, threshold: float = 0.2, chunk: int = CHUNK) -> DataFrame:
+def low_charge_points(points: DataFrame, threshold: float = 0.2, chunk: int = 100_000) -> DataFrame:
     """Points where the simulated charge falls below the threshold; the battery is then set to 80 %.
 
-    The reset makes this a fold over each vehicle. Rows are numbered per vehicle and cut into chunks; pass k folds
-    chunk k of every vehicle at once and hands the energy on, so no task ever holds more than ``chunk`` rows of
-    one vehicle. A trace of ordinary length needs a single pass.
+    The reset makes this a fold over each vehicle, run in chunks that hand on the energy and the last position.
     """
-    numbered = row_numbers(points.select("veh_id", "lat", "lon", "t", "ord"), ["veh_id"], ORDER, "_rn", sliced=False)
-    lagged = previous(numbered, ["veh_id"], ["_rn"], {"_lat": "lat", "_lon": "lon"})
+    key = ["veh_id"]
+    lagged = previous(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER, {"_lat": "lat", "_lon": "lon"})
     km = F.coalesce(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    steps = materialize(lagged.select("veh_id", "lat", "lon", "t", "ord", "_rn", (km * KWH_PER_KM).alias("_used"),
-                                      F.floor((F.col("_rn") - 1) / chunk).alias("_chunk")))
-    passes = (steps.agg(F.max("_chunk")).first()[0] or 0) + 1
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        energy, flags = float(pdf["_energy"].iloc[0]), []
-        for used, rn in zip(pdf["_used"], pdf["_rn"]):
-            if rn > 1:
-                energy -= used
-            soc = energy / BATTERY_KWH
-            hit = rn > 1 and soc < threshold
-            flags.append(soc if hit else float("nan"))
-            if hit:
+    steps = lagged.select("veh_id", "lat", "lon", "t", "ord", (km * KWH_PER_KM).alias("_used"))
+
+    def step(pdf: pd.DataFrame, state: float | None):
+        energy, soc = BATTERY_KWH if state is None else state, []
+        for used in pdf["_used"]:
+            energy -= used
+            level = energy / BATTERY_KWH
+            soc.append(level)
+            if level < threshold:
                 energy = BATTERY_KWH * RECHARGE_TO
-        out = pdf[["veh_id", "lat", "lon", "t", "ord"]].assign(soc=flags)
-        out = out[out["soc"].notna()].assign(energy=float("nan"))
-        state = pd.DataFrame({"veh_id": [pdf["veh_id"].iloc[0]], "energy": [energy]})
-        return pd.concat([out, state]) if len(out) else state.reindex(
-            columns=["veh_id", "lat", "lon", "t", "ord", "soc", "energy"])
-
-    schema = "veh_id string, lat double, lon double, t double, ord long, soc double, energy double"
-    found, state = None, None
-    for k in range(passes):
-        part = steps.filter(F.col("_chunk") == k)
-        part = (part.withColumn("_energy", F.lit(BATTERY_KWH)) if state is None
-                else part.join(state, "veh_id"))
-        done = part.groupBy("veh_id").applyInPandas(fold, schema)
-        done = materialize(done) if passes > 1 else done
-        hits = done.filter(F.col("energy").isNull() | F.isnan("energy")).drop("energy")
-        state = done.filter(F.col("energy").isNotNull() & ~F.isnan("energy")).select("veh_id", F.col("energy").alias("_energy"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        out = pdf[["lat", "lon", "t", "ord"]].assign(soc=soc)
+        return out[out["soc"] < threshold], energy
+
+    return fold_in_chunks(steps, key, ORDER, ["lat", "lon", "t", "ord", "_used"], step,
+                          "lat double, lon double, t double, ord long, soc double", chunk)
 
 
 def demand_points(points: DataFrame, hours: float = 2.0, threshold: float = 0.2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("demand", "grids", "features", "trajectories", "events")
+AREAS = ("demand", "grids", "features", "trajectories", "events", "runs")
 
 
 def load() -> None:
