@@ -295,12 +295,13 @@ def divergence(samples: DataFrame, side: str, value: str, bins: int = 50, thresh
     from voltgrid.operators.ordered import running
 
     s = with_globals(samples.select(side, value), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+    spread = F.col("_hi") > F.col("_lo")
+    b = F.when(spread, F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
     obs, sim = F.col(side) == "observed", F.col(side) == "simulated"
     counts = s.withColumn("_b", b).groupBy("_b").agg(F.count_if(obs).alias("o"), F.count_if(sim).alias("s"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi"))
     grid = samples.sparkSession.range(bins).select(F.col("id").cast("int").alias("_b")).join(counts, "_b", "left")
     t = with_globals(grid, F.sum("o").alias("_no"), F.sum("s").alias("_ns"), F.max("lo").alias("_l"), F.max("hi").alias("_h"))
-    width = (F.col("_h") - F.col("_l")) / bins
+    width = F.when(F.col("_h") > F.col("_l"), (F.col("_h") - F.col("_l")) / bins).otherwise(1.0)
     p = F.coalesce("o", F.lit(0)) / F.col("_no") / width + 1e-10
     q = F.coalesce("s", F.lit(0)) / F.col("_ns") / width + 1e-10
     d = t.select(p.alias("p"), q.alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2).agg(

@@ -209,3 +209,8 @@ def assign_stops(routes: DataFrame, stations: DataFrame, starts: DataFrame, low_
 def edge_use(routes: DataFrame) -> DataFrame:
     """How many routed trips run over each edge."""
     return routes.groupBy("edge_id").agg(F.count_distinct("trip_id").alias("paths"))
+
+
+def top_edges(flow: DataFrame, k: int) -> DataFrame:
+    """The k busiest edges; a box filter comes after the cut, so it may leave fewer."""
+    return flow.orderBy(F.col("entered").desc(), "edge_id").limit(k)

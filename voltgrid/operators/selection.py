@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
+from voltgrid.functions.stats import correlation
 from voltgrid.operators.ordered import row_numbers
 
 # Columns that leak the target, and prefixes of descriptive columns (fixed values).
@@ -36,7 +37,7 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """All feature pairs from one aggregate; the pair list is bounded by the table's width."""
     pairs = list(combinations(sorted(features), 2))
-    row = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     structs = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"_{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(structs).alias("r")).select("r.*")
 
@@ -103,7 +104,7 @@ def corrected_kurtosis(c: Column) -> Column:
 
 def selection_report(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Per feature: sample variance, correlation with the target, and rule hits."""
-    g = _melt(df, features, target).groupBy("feature").agg(F.var_samp("v").alias("variance"), F.corr("v", target).alias("target_correlation"), F.approx_count_distinct("v").alias("_d"))
+    g = _melt(df, features, target).groupBy("feature").agg(F.var_samp("v").alias("variance"), correlation(F.col("v"), F.col(target)).alias("target_correlation"), F.approx_count_distinct("v").alias("_d"))
     issue = (F.when(F.col("variance") < 1e-10, "zero variance").when(F.col("feature").rlike("_[xy]$"), "suffix name")
              .when(F.col("feature").contains("grid_position") & (F.col("_d") > 100), "position range").otherwise("ok"))
     return g.withColumn("issue", issue).drop("_d")

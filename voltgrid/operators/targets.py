@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
+from voltgrid.functions.stats import correlation
 from voltgrid.functions.special import t_p_value
 from voltgrid.operators.ordered import percentiles, spearman
 
@@ -45,7 +46,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicte
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum((a - p) * (a - p)).alias("_sse"), F.avg(F.abs(a - p)).alias("mae"), F.avg(a).alias("actual_mean"),
         F.stddev_pop(a).alias("actual_std"), F.avg(p).alias("predicted_mean"), F.stddev_pop(p).alias("predicted_std"), F.var_pop(a).alias("_va"),
-        F.corr(a, p).alias("pearson_r"), (F.min(a) == F.max(a)).alias("actual_constant"), (F.min(p) == F.max(p)).alias("predicted_constant"))
+        correlation(a, p).alias("pearson_r"), (F.min(a) == F.max(a)).alias("actual_constant"), (F.min(p) == F.max(p)).alias("predicted_constant"))
     rho = spearman(d, keys, actual, predicted)
     n = F.col("n_samples")
     flat = F.col("actual_constant") | F.col("predicted_constant")

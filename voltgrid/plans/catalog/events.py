@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voltgrid.operators import events as ev
 from voltgrid.operators.ordered import gini
 from voltgrid.operators.spatial import one_cell_per_point, points_in_cells
-from voltgrid.plans.catalog.demand import r6
+from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
 from voltgrid.plans.catalog.trajectories import edges
 from voltgrid.plans.registry import query, view
@@ -21,7 +21,7 @@ view("v_vlast", """SELECT episode, id, arg_max(energy_consumed, k) AS e, arg_max
  round(coalesce(avg(trip) FILTER (n > 1), 0), 6) AS avg_trip_duration FROM v_vlast GROUP BY 1""")
 def _(t):
     return ev.fleet_battery(t.fx("battery"), EP).select("episode", *r6("mean_final_soc", "soc_variance", "pct_low_soc"),
-                                                        F.round("total_energy_consumed", 3).alias("total_energy_consumed"), *r6("avg_trip_duration"))
+                                                        rnd("total_energy_consumed", 3).alias("total_energy_consumed"), *r6("avg_trip_duration"))
 
 
 def _gini_sql(source, keys, value, name):
@@ -176,12 +176,12 @@ view("v_queue", """SELECT *, greatest(0, coalesce(lag(charging_end) OVER (PARTIT
 @query("win09_queue_waits", "SELECT episode, station_id, count(*) AS n, round(sum(wait_min), 6) AS wait_min FROM v_queue GROUP BY 1, 2")
 def _(t):
     return ev.queue_waits(t.fx("charge_events"), EP).groupBy("episode", "station_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("wait_min"), 6).alias("wait_min"))
+        F.count(F.lit(1)).alias("n"), rnd(F.sum("wait_min"), 6).alias("wait_min"))
 
 
 @query("win03_soc_velocity", "SELECT episode, id, count(soc_velocity) AS n, round(sum(soc_velocity), 6) AS total FROM v_vel GROUP BY 1, 2")
 def _(t):
-    return ev.soc_steps(t.fx("battery"), EP).groupBy("episode", "id").agg(F.count("soc_velocity").alias("n"), F.round(F.sum("soc_velocity"), 6).alias("total"))
+    return ev.soc_steps(t.fx("battery"), EP).groupBy("episode", "id").agg(F.count("soc_velocity").alias("n"), rnd(F.sum("soc_velocity"), 6).alias("total"))
 
 
 @query("win20_ordered_soc", """SELECT episode, id, row_number() OVER (PARTITION BY episode, id ORDER BY time, soc) AS step, round(soc, 6) AS soc FROM v_vel""")
@@ -221,7 +221,7 @@ def kpis(t):
 
 @query("agg36_kpi_set", f"SELECT episode, {rs(*KPIS, d=5)} FROM v_kpi")
 def _(t):
-    return kpis(t).select("episode", *[F.round(c, 5).alias(c) for c in KPIS])
+    return kpis(t).select("episode", *[rnd(c, 5).alias(c) for c in KPIS])
 
 
 @query("agg68_kpi_table", "SELECT episode, " + ", ".join(
@@ -241,7 +241,7 @@ def _(t):
 def _(t):
     return ev.placement_evaluation(t.fx("battery"), t.fx("charge_events"), t.fx("summary"), EP).select(
         "episode", "battery_data_points", "summary_data_points", "total_charging_events", "unique_vehicles_charged",
-        F.round("total_energy_transferred", 4).alias("total_energy_transferred"), *r6("avg_utilization"))
+        rnd("total_energy_transferred", 4).alias("total_energy_transferred"), *r6("avg_utilization"))
 
 
 @query("agg72_simulation_projection", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_totalprice END AS simulation_reward, o_orderstatus = 'F' AS simulation_success, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_custkey END AS charging_events,
@@ -266,5 +266,5 @@ view("v_bins", """SELECT b, coalesce(o, 0) / no / w + 1e-10 AS p, coalesce(s, 0)
  stddev_pop(v) FILTER (side = 'observed') AS observed_std, stddev_pop(v) FILTER (side = 'simulated') AS simulated_std FROM v_two) m""")
 def _(t):
     s = t.raw("orders").select(F.when(F.col("o_orderkey") % 3 == 0, "observed").otherwise("simulated").alias("side"), F.col("o_totalprice").alias("v"))
-    return ev.divergence(s, "side", "v").select(F.round("kl", 9).alias("kl"), F.round("js", 9).alias("js"), *r6("ks"),
-                                                *[F.round(c, 4).alias(c) for c in ("observed_mean", "simulated_mean", "observed_std", "simulated_std")], "is_valid")
+    return ev.divergence(s, "side", "v").select(rnd("kl", 9).alias("kl"), rnd("js", 9).alias("js"), *r6("ks"),
+                                                *[rnd(c, 4).alias(c) for c in ("observed_mean", "simulated_mean", "observed_std", "simulated_std")], "is_valid")

@@ -6,7 +6,7 @@ from voltgrid.functions import geo
 from voltgrid.functions.tags import CATEGORIES, POI_COLUMNS, POI_WEIGHTS
 from voltgrid.functions.durable import materialize
 from voltgrid.operators import features, neighbours, spatial
-from voltgrid.plans.catalog.demand import grid_demand, r6, varied
+from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, varied
 from voltgrid.plans.catalog.grids import _AREA
 from voltgrid.plans.registry import query, view
 
@@ -111,7 +111,7 @@ _IDX = ("intersection_density", "road_connectivity_index", "mixed_use_index", "u
 
 @query("prj14_road_indices", f"SELECT grid_id, {rs(*_IDX, d=4)} FROM v_feat")
 def _(t):
-    return feat(t).select("grid_id", *[F.round(c, 4).alias(c) for c in _IDX])
+    return feat(t).select("grid_id", *[rnd(c, 4).alias(c) for c in _IDX])
 
 
 @query("prj13_composite_indices", f"SELECT grid_id, {rs('charging_suitability_index', 'urban_centrality_score')} FROM v_feat")
@@ -129,7 +129,7 @@ for _q, _cols in (
         ("prj22_interactions", ("urban_accessibility_synergy", "economic_transport_synergy", "service_diversity_interaction"))):
     @query(_q, f"SELECT grid_id, {rs(*_cols, d=5)} FROM v_eng")
     def _(t, cols=_cols):
-        return engineered(t).select("grid_id", *[F.round(c, 5).alias(c) for c in cols])
+        return engineered(t).select("grid_id", *[rnd(c, 5).alias(c) for c in cols])
 
 _NORM = ("poi_density_commercial", "road_density_total", "intersection_density")
 
@@ -274,7 +274,7 @@ def _(t):
  round(sum(exp(-d / 0.05)), 5) AS weighted_density_5km FROM v_pair GROUP BY 1""")
 def _(t):
     d = neighbours.decay_density(t.fx("elements"), "osmid", "long")
-    return d.select("osmid", *[F.round(c, 5).alias(c) for c in d.columns if c != "osmid"])
+    return d.select("osmid", *[rnd(c, 5).alias(c) for c in d.columns if c != "osmid"])
 
 
 @query("jon12_histogram_density", "SELECT osmid, " + ", ".join(

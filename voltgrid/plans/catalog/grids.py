@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voltgrid.functions import geo
 from voltgrid.operators import grids, observed, spatial
-from voltgrid.plans.catalog.demand import r6
+from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.registry import query, view
 
 # --- UTM in SQL text for the checks --------------------------------------------------------------------------
@@ -52,8 +52,8 @@ def _(t):
     south = F.col("latitude") < 0
     s = s.withColumn("p", geo.to_utm_points(F.array(F.struct(lat.alias("lat"), lon.alias("lon"))), F.col("zone"), south))
     s = s.withColumn("b", geo.from_utm_points(F.col("p"), F.col("zone"), south)[0]).withColumn("p", F.col("p")[0])
-    return s.select("station_id", "zone", "epsg", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"),
-                    F.round("b.lat", 6).alias("back_lat"), F.round("b.lon", 6).alias("back_lon"))
+    return s.select("station_id", "zone", "epsg", rnd("p.x", 3).alias("x"), rnd("p.y", 3).alias("y"),
+                    rnd("b.lat", 6).alias("back_lat"), rnd("b.lon", 6).alias("back_lon"))
 
 
 @query("prj12_haversine", """SELECT osmid, round(2 * 6371 * asin(sqrt(h)), 6) AS km_asin,
@@ -62,8 +62,8 @@ def _(t):
  * pow(sin(radians(-83.74 - lon) / 2), 2) AS h FROM fx_elements) q""")
 def _(t):
     args = (F.col("lat"), F.col("lon"), F.lit(42.28), F.lit(-83.74))
-    return t.fx("elements").select("osmid", F.round(geo.haversine_km(*args), 6).alias("km_asin"),
-                                   F.round(geo.haversine_km_atan2(*args), 6).alias("km_atan2"))
+    return t.fx("elements").select("osmid", rnd(geo.haversine_km(*args), 6).alias("km_asin"),
+                                   rnd(geo.haversine_km_atan2(*args), 6).alias("km_atan2"))
 
 
 _AREA = "((max_lat - min_lat) * 111.32 * (max_lon - min_lon) * 111.32 * cos(radians((min_lat + max_lat) / 2)))"
@@ -73,8 +73,8 @@ _AREA = "((max_lat - min_lat) * 111.32 * (max_lon - min_lon) * 111.32 * cos(radi
  round(greatest({_AREA} / 2500, 0.01), 6) AS floored_km2 FROM fx_areas""")
 def _(t):
     b = [F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")]
-    return t.fx("areas").select("area_id", F.round(geo.cell_area_km2(*b), 6).alias("area_km2"),
-                                F.round(F.greatest(geo.cell_area_km2(*b) / 2500, F.lit(0.01)), 6).alias("floored_km2"))
+    return t.fx("areas").select("area_id", rnd(geo.cell_area_km2(*b), 6).alias("area_km2"),
+                                rnd(F.greatest(geo.cell_area_km2(*b) / 2500, F.lit(0.01)), 6).alias("floored_km2"))
 
 
 @query("prj09_standard_cells", f"""SELECT CASE WHEN n % 3 = 0 THEN 'g' || n WHEN n % 3 = 1 THEN 'c' || n ELSE
@@ -175,7 +175,7 @@ view("v_all_layers", """SELECT 'base' AS grid_type, area_id, area_km2, NULL AS g
 def _(t):
     return grids.comprehensive_grids(t.fx("areas")).groupBy("grid_type", "area_id").agg(
         F.count(F.lit(1)).alias("cells"), F.count_distinct("grid_id").alias("ids"),
-        F.round(F.sum("area_km2"), 6).alias("area_km2"))
+        rnd(F.sum("area_km2"), 6).alias("area_km2"))
 
 
 @query("agg17_grid_composition", """SELECT grid_type, count(*) AS cells, round(100.0 * count(*) / (SELECT count(*) FROM v_all_layers), 6)
@@ -240,7 +240,7 @@ def _(t):
     areas = t.fx("areas")
     return grids.quality_report(grids.polygon_grid(areas), areas, 0.02).select(
         "area_id", "total_cells", *r6("min_area", "max_area", "mean_area", "std_area"),
-        F.round("coverage_pct", 4).alias("coverage_pct"), "overlapping_pairs")
+        rnd("coverage_pct", 4).alias("coverage_pct"), "overlapping_pairs")
 
 
 # --- points in cells ----------------------------------------------------------------------------------------

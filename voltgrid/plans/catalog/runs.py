@@ -6,7 +6,7 @@ from voltgrid.functions.durable import materialize
 from voltgrid.functions.hashing import ord_sum
 from voltgrid.functions.seeds import deterministic_seed
 from voltgrid.operators import bandits, placements as pl, runs
-from voltgrid.plans.catalog.demand import r6
+from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.events import KPIS, kpis
 from voltgrid.plans.catalog.features import rs
 from voltgrid.plans.catalog.trajectories import BOX, edges, pts
@@ -25,10 +25,10 @@ view("v_regret", f"""SELECT grid_id, method, episode, rn, best - reward AS regre
  FROM (SELECT *, max(reward) OVER (PARTITION BY grid_id, method) AS best FROM v_num) q""")
 
 
-@query("win10_regret_curve", f"SELECT {R}, episode, round(regret, 6) AS regret, round(cumulative_regret, 5) AS cumulative_regret, round(cumulative_regret / rn + 1e-9, 6) AS average_regret FROM v_regret")
+@query("win10_regret_curve", f"SELECT {R}, episode, round(regret, 6) AS regret, round(cumulative_regret, 5) AS cumulative_regret, round(cumulative_regret / rn, 6) AS average_regret FROM v_regret")
 def _(t):
-    return runs.regret_curve(ep(t)).select("grid_id", "method", "episode", *r6("regret"), F.round("cumulative_regret", 5).alias("cumulative_regret"),
-                                              F.round(F.col("average_regret") + 1e-9, 6).alias("average_regret"))
+    return runs.regret_curve(ep(t)).select("grid_id", "method", "episode", *r6("regret"), rnd("cumulative_regret", 5).alias("cumulative_regret"),
+                                              rnd("average_regret", 6).alias("average_regret"))
 
 
 @query("win11_best_so_far", f"SELECT {R}, episode, round(max(reward) OVER ({_W} ROWS UNBOUNDED PRECEDING), 6) AS best_reward FROM fx_episodes")
@@ -203,14 +203,14 @@ def _(t):
     m = materialize(ep(t).groupBy("method").agg(F.avg("reward").alias("m")))
     p = runs.method_pairs(m)
     a, b = m.select(F.col("method").alias("method1"), F.col("m").alias("a")), m.select(F.col("method").alias("method2"), F.col("m").alias("b"))
-    return p.join(a, "method1").join(b, "method2").select("method1", "method2", F.round(F.col("a") - F.col("b"), 6).alias("gap"))
+    return p.join(a, "method1").join(b, "method2").select("method1", "method2", rnd(F.col("a") - F.col("b"), 6).alias("gap"))
 
 
 @query("agg45_mann_whitney", """SELECT method1, method2, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, round(sum(r) FILTER (one) - count(*) FILTER (one) * (count(*) FILTER (one) + 1) / 2, 3) AS u_statistic FROM (SELECT method1, method2, one,
  rank() OVER (PARTITION BY method1, method2 ORDER BY reward) + (count(*) OVER (PARTITION BY method1, method2, reward) - 1) / 2 AS r FROM (SELECT a.method AS method1, b.method AS method2, e.method = a.method AS one, e.reward FROM v_mm a JOIN v_mm b ON a.method < b.method
  JOIN fx_episodes e ON e.method IN (a.method, b.method)) x) y GROUP BY 1, 2""")
 def _(t):
-    return runs.mann_whitney(ep(t)).select("method1", "method2", "n1", "n2", F.round("u_statistic", 3).alias("u_statistic"))
+    return runs.mann_whitney(ep(t)).select("method1", "method2", "n1", "n2", rnd("u_statistic", 3).alias("u_statistic"))
 
 
 @query("agg45_significance")
@@ -247,7 +247,7 @@ view("v_rank", f"SELECT episode, metric, row_number() OVER (PARTITION BY metric
 
 
 def ranking(t):
-    k = materialize(kpis(t)).select("episode", *[F.round(c, 9).alias(c) for c in KPIS])
+    k = materialize(kpis(t)).select("episode", *[rnd(c, 9).alias(c) for c in KPIS])
     return runs.metric_ranking(k, "episode", KPIS)
 
 
@@ -298,7 +298,7 @@ def _(t):
 @query("agg64_regret_summary", """SELECT method, round(arg_max(cumulative_regret, (rn, episode)), 5) AS final_regret, round(avg(cumulative_regret), 5) AS avg_regret, round(max(cumulative_regret), 5) AS max_regret, round(min(cumulative_regret), 5) AS min_regret,
  round(var_pop(cumulative_regret), 5) AS regret_variance, count(*) AS episodes FROM v_regret GROUP BY 1""")
 def _(t):
-    return runs.regret_summary(ep(t)).select("method", *[F.round(c, 5).alias(c) for c in ("final_regret", "avg_regret", "max_regret", "min_regret", "regret_variance")], "episodes")
+    return runs.regret_summary(ep(t)).select("method", *[rnd(c, 5).alias(c) for c in ("final_regret", "avg_regret", "max_regret", "min_regret", "regret_variance")], "episodes")
 
 
 @query("jon19_resume", "SELECT DISTINCT grid_id, method FROM v_runs WHERE (grid_id, method) NOT IN (SELECT (grid_id, method) FROM v_runs WHERE convergence_achieved)")
@@ -336,7 +336,7 @@ def _(t):
 @query("ban04_ucb_values", f"""SELECT {R}, arm, round(mean_reward + sqrt(2 * ln(n) / pulls), 6) AS ucb, round(sqrt(2 * ln(n) / pulls), 6) AS bonus, round(8 * sqrt(k * n * ln(n)), 4) AS regret_bound
  FROM (SELECT *, sum(pulls) OVER (PARTITION BY grid_id, method) AS n, count(*) OVER (PARTITION BY grid_id, method) AS k FROM v_arm) q""")
 def _(t):
-    return bandits.ucb_values(arms(t)).select("grid_id", "method", "arm", *r6("ucb", "bonus"), F.round("regret_bound", 4).alias("regret_bound"))
+    return bandits.ucb_values(arms(t)).select("grid_id", "method", "arm", *r6("ucb", "bonus"), rnd("regret_bound", 4).alias("regret_bound"))
 
 
 @query("ban08_beta_posterior", f"""SELECT {R}, arm, a AS alpha, b AS beta, round(a / (a + b), 6) AS mean, round(a * b / (pow(a + b, 2) * (a + b + 1)), 6) AS variance FROM
@@ -508,7 +508,7 @@ def _(t):
 def _(t):
     w = pl.fallback_reward(pl.overall_performance(wide(t)))
     floor = pl.reward_floor(F.col("simulation_reward"), F.col("charging_events"), F.col("battery_data_points"), F.col("num_placements"))
-    return w.select("grid_id", "method", *r6("overall_performance", "simple_fallback"), F.round(floor, 6).alias("floored_reward"))
+    return w.select("grid_id", "method", *r6("overall_performance", "simple_fallback"), rnd(floor, 6).alias("floored_reward"))
 
 
 @query("agg41_best_placements", """SELECT r.method, grids, round(100.0 * grids / (SELECT count(DISTINCT grid_id) FROM v_runs), 6) AS percentage, round(rm, 6) AS reward_mean, round(rs, 6) AS reward_std, total_placements, unique_edges, round(sd, 6) AS spatial_diversity,
@@ -522,7 +522,7 @@ def _(t):
 @query("rnk10_best_by_type", f"""SELECT * FROM (SELECT 'hybrid' AS kind, method, round(max(best_reward), 6) AS score FROM v_wide WHERE {_HY} GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) a UNION ALL
  SELECT * FROM (SELECT 'baseline' AS kind, method, round(avg(edge_coverage), 6) AS score FROM v_wide WHERE NOT {_HY} GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) b""")
 def _(t):
-    m = wide(t).groupBy("method").agg(F.round(F.max("best_reward"), 6).alias("best_reward"), F.round(F.avg("edge_coverage"), 6).alias("edge_coverage"))
+    m = wide(t).groupBy("method").agg(rnd(F.max("best_reward"), 6).alias("best_reward"), rnd(F.avg("edge_coverage"), 6).alias("edge_coverage"))
     return runs.best_by_type(materialize(m))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voltgrid.operators import roads, tiles, trajectories as tr
-from voltgrid.plans.catalog.demand import r6
+from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
 from voltgrid.plans.registry import query, view
 
@@ -23,14 +23,14 @@ def hav(a, b, c, d):
 @query("prj29_normalize_per_vehicle", """SELECT ord, round(CASE WHEN hi > lo THEN (t - lo) / (hi - lo) * 3600 ELSE 0 END, 4) AS t FROM
  (SELECT *, min(t) OVER (PARTITION BY veh_id) AS lo, max(t) OVER (PARTITION BY veh_id) AS hi FROM v_pts) q""")
 def _(t):
-    return tr.normalize_per_vehicle(pts(t)).select("ord", F.round("t", 4).alias("t"))
+    return tr.normalize_per_vehicle(pts(t)).select("ord", rnd("t", 4).alias("t"))
 
 
 @query("prj30_normalize_all", """SELECT ord, round((t - lo) / (hi - lo) * 3600, 4) AS t FROM (SELECT *, min(t) OVER () AS lo, max(t) OVER () AS hi
  FROM v_pts WHERE ord % 5 <> 0) q""")
 def _(t):
     raw = pts(t).withColumn("timestamp", F.when(F.col("ord") % 5 == 0, F.lit("n/a")).otherwise(F.col("t").cast("string")))
-    return tr.normalize_all(raw.drop("t")).select("ord", F.round("t", 4).alias("t"))
+    return tr.normalize_all(raw.drop("t")).select("ord", rnd("t", 4).alias("t"))
 
 
 BOX = {"min_lat": 42.23, "max_lat": 42.31, "min_lon": -83.79, "max_lon": -83.70}
@@ -48,12 +48,12 @@ view("v_used", f"""SELECT veh_id, lat, lon, t, ord, row_number() OVER w AS rn, c
  FROM v_pts WINDOW w AS ({_W})""")
 @query("win01_trip_destination", f"SELECT veh_id, {rs('lat', 'lon')}, round(t, 3) AS t FROM v_dest")
 def _(t):
-    return tr.destinations(pts(t)).select("veh_id", *r6("lat", "lon"), F.round("t", 3).alias("t"))
+    return tr.destinations(pts(t)).select("veh_id", *r6("lat", "lon"), rnd("t", 3).alias("t"))
 
 
 @query("win02_long_dwell", "SELECT veh_id, ord, round(dwell_seconds, 3) AS dwell_seconds FROM v_dwell")
 def _(t):
-    return tr.long_dwells(pts(t)).select("veh_id", "ord", F.round("dwell_seconds", 3).alias("dwell_seconds"))
+    return tr.long_dwells(pts(t)).select("veh_id", "ord", rnd("dwell_seconds", 3).alias("dwell_seconds"))
 
 
 # The fold written as a recursive query over row numbers, one step per row of the longest vehicle.
@@ -72,8 +72,8 @@ def _(t):
  UNION ALL SELECT 'long_dwell', lat, lon FROM v_dwell UNION ALL SELECT 'low_soc', u.lat, u.lon FROM fold f JOIN u ON u.veh_id = f.veh_id AND u.rn = f.rn
  WHERE f.rn > 1 AND f.soc < 0.2) q GROUP BY 1""")
 def _(t):
-    return tr.demand_points(pts(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lat"), 4).alias("lat"),
-                                                        F.round(F.sum("lon"), 4).alias("lon"))
+    return tr.demand_points(pts(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("lat"), 4).alias("lat"),
+                                                        rnd(F.sum("lon"), 4).alias("lon"))
 
 
 view("v_od", f"""SELECT veh_id, count(*) AS points, arg_min(lat, (t, ord)) AS from_lat, arg_min(lon, (t, ord)) AS from_lon, min(t) AS t0,
@@ -99,7 +99,7 @@ def _(t):
  round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon, round(min(t), 3) AS t_first, round(max(t), 3) AS t_last FROM v_pts""")
 def _(t):
     return tr.extent(pts(t)).select("points", "vehicles", *r6("min_lat", "max_lat", "min_lon", "max_lon"),
-                                    F.round("t_first", 3).alias("t_first"), F.round("t_last", 3).alias("t_last"))
+                                    rnd("t_first", 3).alias("t_first"), rnd("t_last", 3).alias("t_last"))
 
 
 # --- roads --------------------------------------------------------------------------------------------------
@@ -131,7 +131,7 @@ _PX, _PY = _at("(length_m * k / 4)")
 def _(t):
     e = edges(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
     e = e.withColumn("p", roads.point_at(F.col("shape"), F.col("length_m") * F.col("k") / 4))
-    return e.select("edge_id", "k", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return e.select("edge_id", "k", rnd("p.x", 4).alias("x"), rnd("p.y", 4).alias("y"))
 
 
 def _in_box(lat, lon, m=0.005):
@@ -185,7 +185,7 @@ view("v_near_edge", f"""SELECT site_id, edge_id, dist_m FROM (SELECT *, row_numb
 
 @query("jon09_nearest_edge", "SELECT site_id, edge_id, round(dist_m, 4) AS dist_m FROM v_near_edge")
 def _(t):
-    return roads.nearest_edge(t.fx("sites"), edges(t), "site_id", 400.0).select("site_id", "edge_id", F.round("dist_m", 4).alias("dist_m"))
+    return roads.nearest_edge(t.fx("sites"), edges(t), "site_id", 400.0).select("site_id", "edge_id", rnd("dist_m", 4).alias("dist_m"))
 
 
 def _proj(i):
@@ -200,7 +200,7 @@ def _proj(i):
  FROM v_near_edge n JOIN fx_sites p ON p.site_id = n.site_id JOIN v_shape e ON e.edge_id = n.edge_id) a) b""")
 def _(t):
     return roads.snap_to_edge(t.fx("sites"), edges(t), "site_id", None, 400.0).select(
-        "site_id", "edge_id", F.round("position", 4).alias("position"), *r6("lat", "lon"))
+        "site_id", "edge_id", rnd("position", 4).alias("position"), *r6("lat", "lon"))
 
 
 @query("win08_edge_trips")
@@ -261,7 +261,7 @@ def _(t):
 @query("prj35_initial_soc", f"SELECT trip_id, round(0.6 + 0.4 * (h % 1000) / 1000, 6) AS soc, round(64000 * (0.6 + 0.4 * (h % 1000) / 1000), 4) AS charge_wh FROM v_trip")
 def _(t):
     v = t.fx("route_edges").select("trip_id").distinct().withColumn("soc", roads.initial_soc(F.col("trip_id")))
-    return v.select("trip_id", *r6("soc"), F.round(F.col("soc") * 64000, 4).alias("charge_wh"))
+    return v.select("trip_id", *r6("soc"), rnd(F.col("soc") * 64000, 4).alias("charge_wh"))
 
 
 @query("set01_union_files", "SELECT source, count(*) AS n FROM (SELECT 'points' AS source, ord FROM fx_points UNION ALL SELECT 'dwell', ord FROM v_dwell) q GROUP BY 1")

@@ -31,6 +31,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+NUDGE = 1e-9
+
+
+def _nudged(sql: str) -> str:
+    """Give every ``round(x, d)`` with d < 9 the same nudge as the compared query has."""
+    out, i = [], 0
+    for m in re.finditer(r"(?<![a-z_])round\(", sql):
+        if m.start() < i:
+            continue
+        depth, j, comma = 1, m.end(), None
+        while depth:
+            ch = sql[j]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = j
+            j += 1
+        out.append(sql[i:m.start()])
+        if comma is not None and int(sql[comma + 1:j - 1]) < 9:
+            out.append(f"round(({_nudged(sql[m.end():comma])}) + {NUDGE}, {sql[comma + 1:j - 1].strip()})")
+        else:
+            out.append(f"round({_nudged(sql[m.end():j - 1])})")
+        i = j
+    return "".join(out) + sql[i:]
+
+
 def full_sql(sql: str) -> str:
     """Put the input views and named sub-queries that ``sql`` mentions in front of it."""
     ordered: list[str] = []
@@ -46,9 +71,9 @@ def full_sql(sql: str) -> str:
 
     visit(sql)
     if not ordered:
-        return sql
+        return _nudged(sql)
     ctes = ", ".join(f"{n} AS ({VIEWS[n] if n in VIEWS else fx_sql(n)})" for n in ordered)
-    body = sql.strip()
+    body = _nudged(sql.strip())
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
