@@ -94,38 +94,38 @@ def _width(n, mean, std, confidence=0.95):
     return np.where(n < 1, 1.0, np.where(n == 1, single, np.where(n < 30, small, large)))
 
 
-def confidence_trace(episodes: DataFrame, c: float = 1.0, chunk: int = 100_000) -> DataFrame:
+def confidence_trace(episodes: DataFrame, c_param: float = 1.0, chunk: int = 100_000) -> DataFrame:
     """Per episode: interval of the chosen arm, width of the best arm so far, arms seen, exploration bonus.
 
-    The best arm so far depends on every arm's running mean, so this is a fold whose state is one (n, mean, m2)
-    triple per arm.
+    The best arm so far depends on every arm's running mean, so this is a fold whose state is one triple (pulls,
+    sum, sum of squares) per arm.
     """
     def step(pdf: pd.DataFrame, state):
-        s = {int(k): list(v) for k, v in (state or {}).items()}
-        order = {a: i for i, a in enumerate(s)}
-        n = np.array([v[0] for v in s.values()], float)
-        mean = np.array([v[1] for v in s.values()], float)
-        m2 = np.array([v[2] for v in s.values()], float)
-        rows = []
-        for ep, arm, r, t in zip(pdf["episode"], pdf["arm"], pdf["reward"], pdf["_rn"]):
-            if arm not in order:
-                order[arm] = len(order)
-                n, mean, m2 = np.append(n, 0.0), np.append(mean, 0.0), np.append(m2, 0.0)
-            i = order[arm]
-            n[i] += 1
-            d = r - mean[i]
-            mean[i] += d / n[i]
-            m2[i] += d * (r - mean[i])
-            arms = np.fromiter(order, int)
-            top = np.flatnonzero(mean == mean.max())
-            b = top[arms[top].argmin()]
-            pair = np.array([i, b])
-            std = np.sqrt(m2[pair] / np.maximum(n[pair] - 1, 1))
-            w = _width(n[pair], mean[pair], std)
-            rows.append((ep, arm, 0.5 - w[0] / 2, 0.5 + w[0] / 2, w[0], w[1], len(order), c * np.sqrt(2 * np.log(t) / n[i])))
-        out = pd.DataFrame(rows, columns=["episode", "arm", "confidence_lower", "confidence_upper", "confidence_width",
-                                          "best_action_confidence", "action_diversity", "exploration_bonus"])
-        return out, {int(a): [n[i], mean[i], m2[i]] for a, i in order.items()}
+        known = {int(a): v for a, v in (state or {}).items()}
+        arms = np.array(sorted(set(known) | set(pdf["arm"])))
+        total = np.array([known.get(int(a), (0.0, 0.0, 0.0)) for a in arms]).T  # pulls, sums, sums of squares
+        col = np.searchsorted(arms, pdf["arm"].to_numpy())
+        reward, time = pdf["reward"].to_numpy(), pdf["_rn"].to_numpy()
+        block, frames = max(16, 500_000 // len(arms)), []
+        for lo in range(0, len(pdf), block):
+            c, r = col[lo:lo + block], reward[lo:lo + block]
+            at, hit = np.arange(len(c)), np.zeros((3, len(c), len(arms)))
+            hit[0, at, c], hit[1, at, c], hit[2, at, c] = 1.0, r, r * r
+            n, s, q = np.cumsum(hit, axis=1) + total[:, None, :]
+            total = np.stack([n[-1], s[-1], q[-1]])
+            best = np.where(n > 0, s / np.maximum(n, 1), -np.inf).argmax(axis=1)
+
+            def width(k):
+                m, mean = n[at, k], s[at, k] / n[at, k]
+                var = np.maximum(q[at, k] - m * mean * mean, 0.0) / np.maximum(m - 1, 1)
+                return m, _width(m, mean, np.sqrt(var))
+
+            (pulls, own), (_, top) = width(c), width(best)
+            frames.append(pd.DataFrame({
+                "episode": pdf["episode"].to_numpy()[lo:lo + block], "arm": pdf["arm"].to_numpy()[lo:lo + block], "confidence_lower": 0.5 - own / 2,
+                "confidence_upper": 0.5 + own / 2, "confidence_width": own, "best_action_confidence": top, "action_diversity": (n > 0).sum(axis=1),
+                "exploration_bonus": c_param * np.sqrt(2 * np.log(time[lo:lo + block]) / pulls)}))
+        return pd.concat(frames, ignore_index=True), {int(a): total[:, i].tolist() for i, a in enumerate(arms)}
 
     return fold_in_chunks(episodes, RUN, ["episode"], ["episode", "arm", "reward"], step,
                           "episode long, arm int, confidence_lower double, confidence_upper double, confidence_width double, "
@@ -243,7 +243,8 @@ def replay(episodes: DataFrame, policies: tuple[str, ...], pulls: int = 200, see
             rows.append((grid, policy, ep, int(arms[i]), reward, bool(state.settled()) if policy == "hybrid_epsilon" else False))
         return pd.DataFrame(rows, columns=["grid_id", "policy", "episode", "arm", "reward", "settled"])
 
-    return table.groupBy("grid_id", "policy").applyInPandas(run, _REPLAY)
+    spread = table.repartition(int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "policy")
+    return spread.groupBy("grid_id", "policy").applyInPandas(run, _REPLAY)
 
 
 def policy_comparison(replays: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def proximity_score(placements: DataFrame, points: DataFrame, site_id: str) -> D
     from voltgrid.functions.onerow import with_globals
     from voltgrid.operators.tiles import nearest
 
-    near = nearest(placements, points, site_id, "veh_id", 0.005).select(site_id, F.col("dist").alias("_d"))
+    near = nearest(placements, points, site_id, "veh_id").select(site_id, F.col("dist").alias("_d"))
     scaled = with_globals(near, F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), 1 - (F.col("_d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
     real = (~F.coalesce(F.col("edge_id"), F.lit("fallback_")).startswith("fallback_")).cast("double") * 0.1

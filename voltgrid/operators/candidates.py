@@ -39,7 +39,7 @@ def target_lattice(areas: DataFrame, n: int) -> DataFrame:
 def uniform_spacing(areas: DataFrame, sites: DataFrame, n: int) -> DataFrame:
     """Lattice targets mapped to their nearest site."""
     t = target_lattice(areas, n).withColumn("target", F.concat_ws("/", "area_id", "k"))
-    near = nearest(t, sites, "target", "site_id", 0.01)
+    near = nearest(t, sites, "target", "site_id")
     return t.join(near, "target").select("area_id", "k", "site_id", F.lit("uniform_spacing").alias("method"))
 
 
@@ -53,7 +53,7 @@ def grid_centres(cells: DataFrame, sites: DataFrame, n: int, seed: int = 42) ->
     """Centres of n cells in keyed-hash order, with the nearest site."""
     c = cells.select("grid_id", ((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat"), ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon"))
     c = row_numbers(c.withColumn("_h", _digest(seed, F.col("grid_id"))), [], ["_h"], "_rn").filter(F.col("_rn") <= n)
-    near = nearest(c, sites, "grid_id", "site_id", 0.01)
+    near = nearest(c, sites, "grid_id", "site_id")
     return c.join(near, "grid_id").select("grid_id", "site_id", "lat", "lon", F.lit("grid_centre").alias("method"))
 
 

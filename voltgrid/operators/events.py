@@ -79,14 +79,15 @@ def soc_rows(battery: DataFrame) -> DataFrame:
 
 def soc_steps(battery: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SoC change per second between consecutive rows of a vehicle (null on its first row and on equal times)."""
-    s = previous(soc_rows(battery), [*keys, "id"], ["time", "soc"], {"_t": "time", "_s": "soc"})
+    rows = soc_rows(battery).select(*keys, "id", "time", "soc")
+    s = previous(rows, [*keys, "id"], ["time", "soc"], {"_t": "time", "_s": "soc"})
     dt = F.col("time") - F.col("_t")
     return s.withColumn("soc_velocity", F.when(dt > 0, (F.col("soc") - F.col("_s")) / dt)).drop("_t", "_s")
 
 
 def ordered_soc(battery: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SoC rows numbered by time within the vehicle."""
-    return row_numbers(soc_rows(battery), [*keys, "id"], ["time", "soc"], "step")
+    return row_numbers(soc_rows(battery).select(*keys, "id", "time", "soc"), [*keys, "id"], ["time", "soc"], "step")
 
 
 def _sigmoid(x: Column, k: float, x0: float) -> Column:
@@ -206,7 +207,7 @@ def coverage_score(edge_centres: DataFrame, stations: DataFrame, within: float =
     """Share of edge centres (edge_id, lat, lon in metres) with a station (station_id, lat, lon) in reach."""
     from voltgrid.operators.tiles import nearest
 
-    hit = nearest(edge_centres, stations, "edge_id", "station_id", within, within)
+    hit = nearest(edge_centres, stations, "edge_id", "station_id", within=within)
     n = edge_centres.agg(F.count(F.lit(1)).alias("_n"))
     return hit.agg(F.count(F.lit(1)).alias("_h")).crossJoin(F.broadcast(n)).select((F.col("_h") / F.col("_n")).alias("coverage_score"))
 

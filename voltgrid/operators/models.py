@@ -197,7 +197,7 @@ def cluster_placement(points: DataFrame, sites: DataFrame, k: int, seed: int = 4
     model = KMeans(k=k, seed=seed).fit(vec)
     centres = points.sparkSession.createDataFrame([(str(i), float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())], "cluster string, lat double, lon double")
     size = model.transform(vec).groupBy(F.col("prediction").cast("string").alias("cluster")).agg(F.count(F.lit(1)).alias("cluster_size"))
-    near = nearest(centres, sites, "cluster", "site_id", 0.01)
+    near = nearest(centres, sites, "cluster", "site_id")
     return centres.join(near, "cluster").join(size, "cluster", "left").join(
         sites.select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")), "site_id")
 

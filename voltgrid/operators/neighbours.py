@@ -82,6 +82,11 @@ def idw(cells: DataFrame, stations: DataFrame, targets: Sequence[str], power: fl
         "grid_id", *[(F.col(y) / (F.col("_w") + eps)).alias(y) for y in targets])
 
 
+def _copies_merged(stations: DataFrame, target: str) -> DataFrame:
+    """Equal stations as one row with a weight, so that copies neither fill one pack nor get lost."""
+    return stations.groupBy("lat", "lon", target).agg(F.count(F.lit(1)).alias("_k"))
+
+
 def local_interpolation(cells: DataFrame, stations: DataFrame, target: str, scale: float = 1.0, k: int = 3,
                         noise_seed: int | None = None) -> DataFrame:
     """Stations within 3·scale km, else the k nearest: weights (d + .1)^-1.5, damped by exp(-dmin / (2·scale)).
@@ -96,15 +101,17 @@ def local_interpolation(cells: DataFrame, stations: DataFrame, target: str, scal
         d = np.sqrt((lv["lat"][:, None] - rv["lat"]) ** 2 + (lv["lon"][:, None] - rv["lon"]) ** 2) * 111.32
         w = (d + 0.1) ** -1.5
         inside = d <= radius
-        wi = np.where(inside, w, 0.0)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        wi = np.where(inside, w, 0.0) * rv["_k"]
+        copies = np.repeat(np.arange(d.shape[1]), np.minimum(rv["_k"], k))
+        near = copies[np.argsort(d[:, copies], axis=1, kind="stable")[:, :k]]
         rows = np.arange(len(d))[:, None]
         return {"_n": inside.sum(axis=1), "_w": wi.sum(axis=1), "_wy": wi @ rv[target],
                 "_d": np.where(inside, d, np.inf).min(axis=1),
                 "_kd": list(d[rows, near]), "_ky": list(rv[target][near])}
 
     schema = "grid_id string, _n long, _w double, _wy double, _d double, _kd array<double>, _ky array<double>"
-    part = fold_near(cells, stations, ["grid_id", "lat", "lon"], ["lat", "lon", target], kernel, schema, 0, None)
+    part = fold_near(cells, _copies_merged(stations, target), ["grid_id", "lat", "lon"], ["lat", "lon", target, "_k"], kernel,
+                     schema, 0, None)
     g = part.groupBy("grid_id").agg(
         F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sum("_wy").alias("_wy"), F.min("_d").alias("_d"),
         # k values per station pack: the array holds a k-th of a 512th of the stations.
@@ -130,9 +137,10 @@ def decayed_demand(cells: DataFrame, stations: DataFrame, target: str, scale: fl
         a = np.sin((rb - la) / 2) ** 2 + np.cos(la) * np.cos(rb) * np.sin((ro - lo) / 2) ** 2
         d = 2 * 6371.0 * np.arcsin(np.sqrt(a))
         inside = d <= radius
-        return {"_n": inside.sum(axis=1), "_s": np.where(inside, np.exp(-d / (2 * scale)) * rv[target], 0.0).sum(axis=1)}
+        return {"_n": (inside * rv["_k"]).sum(axis=1),
+                "_s": np.where(inside, np.exp(-d / (2 * scale)) * rv[target] * rv["_k"], 0.0).sum(axis=1)}
 
-    part = fold_near(cells, stations, ["grid_id", "lat", "lon"], ["lat", "lon", target], kernel,
+    part = fold_near(cells, _copies_merged(stations, target), ["grid_id", "lat", "lon"], ["lat", "lon", target, "_k"], kernel,
                      "grid_id string, _n long, _s double", 1, edge)
     g = part.groupBy("grid_id").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     value = F.col("_s") / F.col("_n") / (1.0 + 0.2 * scale)

@@ -136,7 +136,7 @@ def trailing(df: DataFrame, keys: Sequence[str], position: str, width: int,
 
 
 def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: Sequence[str],
-                   step: Callable, out_schema: str, chunk: int = 100_000) -> DataFrame:
+                   step: Callable, out_schema: str, chunk: int = 100_000, sliced: bool = False) -> DataFrame:
     """A sequential fold per key, for recurrences that no window can express.
 
     Rows are numbered per key and cut into chunks. Pass k folds chunk k of every key at once; what the fold must
@@ -146,9 +146,9 @@ def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     ``step(frame, state)`` gets the rows in order (with ``_rn``) and the state (None at first); it returns the output
     frame, columns after the keys as in ``out_schema``, and the next state.
     """
-    numbered = row_numbers(df.select(*keys, *columns), keys, order, "_rn").withColumn(
-        "_chunk", F.floor((F.col("_rn") - 1) / chunk))
-    numbered = materialize(numbered)
+    wanted = df.select(*keys, *columns, *([SLICE] if sliced else []))
+    numbered = row_numbers(wanted, keys, order, "_rn", sliced).withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk))
+    numbered = materialize(numbered.select(*keys, *columns, "_rn", "_chunk"))
     passes = (numbered.agg(F.max("_chunk")).first()[0] or 0) + 1
     types = dict(df.dtypes)
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -160,8 +160,9 @@ def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
         out, state = step(pdf, json.loads(raw) if raw else None)
         out = out.reindex(columns=names)
         tail = pd.DataFrame({"_state": [json.dumps(state)]})
-        both = pd.concat([out.assign(_state=None), tail.reindex(columns=[*names, "_state"])], ignore_index=True) if len(out) \
-            else tail.reindex(columns=[*names, "_state"])
+        both = tail.reindex(columns=[*names, "_state"])
+        if len(out):
+            both = pd.concat([out.assign(_state=None), both], ignore_index=True)
         for k in keys:
             both[k] = pdf[k].iloc[0]
         return both[[*keys, *names, "_state"]]
@@ -170,7 +171,9 @@ def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     for k in range(passes):
         part = numbered.filter(F.col("_chunk") == k).drop("_chunk")
         part = part if state is None else part.join(state, list(keys))
-        done = part.groupBy(*keys).applyInPandas(run, f"{key_schema}, {out_schema}, _state string")
+        # An explicit count: these tasks are heavy on CPU and small in bytes, which adaptive coalescing would pile up.
+        spread = part.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        done = spread.groupBy(*keys).applyInPandas(run, f"{key_schema}, {out_schema}, _state string")
         done = materialize(done) if passes > 1 else done
         state = done.filter(F.col("_state").isNotNull()).select(*keys, "_state")
         rows = done.filter(F.col("_state").isNull()).drop("_state")

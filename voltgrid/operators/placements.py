@@ -45,7 +45,7 @@ def validate(placements: DataFrame, box: dict[str, float], edge_mids: DataFrame
         fixed = outside.withColumn("lat", clip("lat", "min_lat", "max_lat")).withColumn("lon", clip("lon", "min_lon", "max_lon"))
     else:
         usable = edge_mids.filter(_in_box(box))
-        near = nearest(outside, usable, "station_id", "edge_id", 0.02).select("station_id", F.col("edge_id").alias("_e"))
+        near = nearest(outside, usable, "station_id", "edge_id").select("station_id", F.col("edge_id").alias("_e"))
         at = usable.select(F.col("edge_id").alias("_e"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
         fixed = (outside.join(near, "station_id").join(at, "_e").withColumn("edge_id", F.col("_e")).withColumn("lane", F.concat("_e", F.lit("_0")))
                  .withColumn("lat", F.col("_lat")).withColumn("lon", F.col("_lon")).select(*p.columns))

@@ -202,7 +202,7 @@ def assign_stops(routes: DataFrame, stations: DataFrame, starts: DataFrame, low_
            .select("trip_id", "station_id", F.lit("on_route").alias("reason")))
     rest = (starts.join(first.select("trip_id"), "trip_id", "left_anti")
             .filter((initial_soc(F.col("trip_id")) < low_soc) & (ord_sum(F.col("trip_id")) % 100 < chance)))
-    near = nearest(rest, stations, "trip_id", "station_id", 0.01).select("trip_id", "station_id", F.lit("nearest").alias("reason"))
+    near = nearest(rest, stations, "trip_id", "station_id").select("trip_id", "station_id", F.lit("nearest").alias("reason"))
     return via.unionByName(near)
 
 

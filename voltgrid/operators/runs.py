@@ -226,9 +226,10 @@ def mann_whitney(rewards: DataFrame, method: str = "method", value: str = "rewar
 
     Rewards are reduced to counts per (pair, value) first; U needs only the running count of the second method.
     """
-    pairs = F.broadcast(method_pairs(rewards, method))
+    pairs = method_pairs(rewards, method)
+    sides = pairs.select(F.col("method1").alias("_m"), "*").unionByName(pairs.select(F.col("method2").alias("_m"), "*"))
     counted = rewards.groupBy(F.col(method).alias("_m"), value).agg(F.count(F.lit(1)).alias("_c"))
-    j = counted.join(pairs, (F.col("_m") == F.col("method1")) | (F.col("_m") == F.col("method2")))
+    j = counted.join(sides, "_m")
     v = j.groupBy("method1", "method2", value).agg(F.sum(F.when(F.col("_m") == F.col("method1"), F.col("_c")).otherwise(0)).alias("a"),
                                                    F.sum(F.when(F.col("_m") == F.col("method2"), F.col("_c")).otherwise(0)).alias("b"))
     keys = ["method1", "method2"]

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions import geo
+from voltgrid.functions.durable import materialize
 from voltgrid.functions.hashing import normal, uniform
 from voltgrid.functions.onerow import with_globals, with_group_stats
-from voltgrid.operators.ordered import fold_in_chunks, following, previous, row_numbers
+from voltgrid.operators.ordered import SLICE, fold_in_chunks, following, previous, row_numbers, slices
 
 ORDER = ("t", "ord")
 
@@ -63,9 +64,10 @@ def low_charge_points(points: DataFrame, threshold: float = 0.2, chunk: int = 10
     The reset makes this a fold over each vehicle, run in chunks that hand on the energy and the last position.
     """
     key = ["veh_id"]
-    lagged = previous(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER, {"_lat": "lat", "_lon": "lon"})
+    base = slices(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER)
+    lagged = previous(base, key, ORDER, {"_lat": "lat", "_lon": "lon"}, sliced=True)
     km = F.coalesce(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    steps = lagged.select("veh_id", "lat", "lon", "t", "ord", (km * KWH_PER_KM).alias("_used"))
+    steps = materialize(lagged.select("veh_id", "lat", "lon", "t", "ord", SLICE, (km * KWH_PER_KM).alias("_used")))
 
     def step(pdf: pd.DataFrame, state: float | None):
         energy, soc = BATTERY_KWH if state is None else state, []
@@ -79,7 +81,7 @@ def low_charge_points(points: DataFrame, threshold: float = 0.2, chunk: int = 10
         return out[out["soc"] < threshold], energy
 
     return fold_in_chunks(steps, key, ORDER, ["lat", "lon", "t", "ord", "_used"], step,
-                          "lat double, lon double, t double, ord long, soc double", chunk)
+                          "lat double, lon double, t double, ord long, soc double", chunk, sliced=True)
 
 
 def demand_points(points: DataFrame, hours: float = 2.0, threshold: float = 0.2) -> DataFrame:

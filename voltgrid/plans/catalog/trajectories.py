@@ -170,7 +170,7 @@ def _(t):
 @query("jon08_nearest_site", """SELECT osmid, site_id, round(d, 6) AS dist FROM (SELECT osmid, site_id, sqrt(pow(e.lat - s.lat, 2) + pow(e.lon - s.lon, 2)) AS d,
  row_number() OVER (PARTITION BY osmid ORDER BY sqrt(pow(e.lat - s.lat, 2) + pow(e.lon - s.lon, 2)), site_id) AS k FROM fx_elements e CROSS JOIN fx_sites s) q WHERE k = 1""")
 def _(t):
-    return tiles.nearest(t.fx("elements"), t.fx("sites"), "osmid", "site_id", 0.005, point_type="long").select("osmid", "site_id", *r6("dist"))
+    return tiles.nearest(t.fx("elements"), t.fx("sites"), "osmid", "site_id", point_type="long").select("osmid", "site_id", *r6("dist"))
 
 
 def _seg(ax, ay, bx, by):
