@@ -132,8 +132,12 @@ def _(t):
     return ev.traffic_score(t.fx("edge_flow"), EP).select("episode", *r6("traffic_score"))
 
 
-view("v_reward", """SELECT b.episode, charging_score, network_score, battery_score, traffic_score, least(greatest(0.3 * charging_score + 0.3 * network_score + 0.3 * battery_score + 0.1 * traffic_score, 0), 1) AS reward
- FROM v_battery_score b JOIN v_charging_score c ON c.episode = b.episode JOIN v_network_score n ON n.episode = b.episode JOIN v_traffic_score f ON f.episode = b.episode""")
+view("v_logged", "SELECT episode FROM fx_battery UNION SELECT episode FROM fx_charge_events UNION SELECT episode FROM fx_summary")
+view("v_parts", """SELECT a.episode, l.episode IS NOT NULL AS logged, coalesce(charging_score, 0) AS charging_score, coalesce(network_score, 0) AS network_score, coalesce(battery_score, 0) AS battery_score,
+ coalesce(traffic_score, 0) AS traffic_score FROM (SELECT episode FROM v_logged UNION SELECT episode FROM fx_edge_flow) a LEFT JOIN v_logged l ON l.episode = a.episode LEFT JOIN v_battery_score b ON b.episode = a.episode
+ LEFT JOIN v_charging_score c ON c.episode = a.episode LEFT JOIN v_network_score n ON n.episode = a.episode LEFT JOIN v_traffic_score f ON f.episode = a.episode""")
+view("v_reward", """SELECT *, CASE WHEN NOT logged THEN 0.05 WHEN total = 0 THEN 0.1 ELSE least(greatest(total, 0), 1) END AS reward FROM
+ (SELECT *, 0.3 * charging_score + 0.3 * network_score + 0.3 * battery_score + 0.1 * traffic_score AS total FROM v_parts) q""")
 
 
 @query("agg33_episode_reward", f"SELECT episode, {rs('charging_score', 'network_score', 'battery_score', 'traffic_score', 'reward')}, round(0.3 * battery_score, 6) AS weighted_battery FROM v_reward")
