@@ -97,7 +97,7 @@ def _sigmoid(x: Column, k: float, x0: float) -> Column:
 def vehicle_soc(battery: DataFrame, keys: Sequence[str]) -> DataFrame:
     return soc_rows(battery).groupBy(*keys, "id").agg(
         F.avg("soc").alias("avg_soc"), F.max_by("soc", F.struct("time", "soc")).alias("final_soc"),
-        F.min("soc").alias("min_soc"), F.count(F.lit(1)).alias("n"))
+        F.min("soc").alias("min_soc"), F.min_by("energy_consumed", _row_order()).alias("first_energy"), F.count(F.lit(1)).alias("n"))
 
 
 def soc_profile(vehicles: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,10 +128,10 @@ def fleet_improvement(vehicles: DataFrame, episode: str = "episode") -> DataFram
     return p.select(episode, F.coalesce(score, F.lit(0.5)).alias("fleet_improvement"))
 
 
-def energy_score(battery: DataFrame, episode: str = "episode") -> DataFrame:
+def energy_score(battery: DataFrame, episode: str = "episode", vehicles: DataFrame | None = None) -> DataFrame:
     """Energy of each vehicle's first row, against .7 of the mean over the last five episodes."""
-    v = battery.groupBy(episode, "id").agg(F.min_by("energy_consumed", _row_order()).alias("e"))
-    avg = v.groupBy(episode).agg(F.avg("e").alias("avg_energy"))
+    v = vehicles if vehicles is not None else vehicle_soc(battery, [episode])
+    avg = materialize(v.groupBy(episode).agg(F.avg("first_energy").alias("avg_energy")))
     counted = row_numbers(avg.filter("avg_energy >= 1e-6"), [], [episode], "_rn")
     roll = trailing(counted, [], "_rn", 5, {"_mean": F.avg("avg_energy")})
     ref = 0.7 * F.col("_mean")
@@ -142,7 +142,7 @@ def energy_score(battery: DataFrame, episode: str = "episode") -> DataFrame:
 def battery_score(battery: DataFrame, episode: str = "episode") -> DataFrame:
     keys = [episode]
     v = materialize(vehicle_soc(battery, keys))
-    j = (soc_profile(v, keys).join(charge_efficiency(battery, keys), keys, "left").join(energy_score(battery, episode), keys, "left")
+    j = (soc_profile(v, keys).join(charge_efficiency(battery, keys), keys, "left").join(energy_score(battery, episode, v), keys, "left")
          .join(soc_levels(v, keys), keys, "left").join(fleet_improvement(v, episode), keys, "left"))
     c = lambda n: F.coalesce(F.when(~F.isnan(n), F.col(n)), F.lit(0.0))
     raw = (0.35 * c("soc_profile") + 0.25 * c("charge_efficiency") + 0.15 * c("energy_score") + 0.15 * c("soc_spread")

@@ -45,20 +45,50 @@ def _attach(sliced: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
     return sliced.join(F.broadcast(renamed), cond, "left").drop("_cs", *[f"_ck_{k}" for k in keys])
 
 
+def _end_rows(base: DataFrame, keys: Sequence[str], last: bool) -> tuple[DataFrame, DataFrame]:
+    """Keys at the (last or first) end of every slice, and the rows that hold them.
+
+    Only such a key can go on in a neighbouring slice, so carries are built from these rows alone: one small
+    aggregate per slice instead of a shuffle by key.
+    """
+    if not keys:
+        return base.select(SLICE).distinct(), base
+    pick = F.max if last else F.min
+    ends = base.groupBy(SLICE).agg(pick(F.struct(*keys)).alias("_e")).select(SLICE, *[F.col(f"_e.{k}").alias(k) for k in keys])
+    small = F.broadcast(ends.select(F.col(SLICE).alias("_es"), *[F.col(k).alias(f"_ek_{k}") for k in keys]))
+    cond = F.col(SLICE) == F.col("_es")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_ek_{k}"))
+    return ends, base.join(small, cond).drop("_es", *[f"_ek_{k}" for k in keys])
+
+
+def _chained(ends: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Slices where a key may continue, beside the facts of the slices before or after; at most two rows per slice."""
+    a = ends.withColumn("_wanted", F.lit(True)).alias("a")
+    b = facts.alias("b")
+    cond = F.col(f"a.{SLICE}") == F.col(f"b.{SLICE}")
+    for k in keys:
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    extra = [c for c in facts.columns if c not in (SLICE, *keys)]
+    return a.join(b, cond, "full_outer").select(
+        *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in (SLICE, *keys)], *[F.col(f"b.{c}").alias(c) for c in extra],
+        F.coalesce("_wanted", F.lit(False)).alias("_wanted"), F.col(f"b.{SLICE}").isNotNull().alias("_fact"))
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             measures: Mapping[str, tuple[str, str | Column]], sliced: bool = False) -> DataFrame:
     """Running sum / count / max / min from the first row of the key to the current one."""
     base = df if sliced else slices(df, keys, order)
     merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     first = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
-    totals = base.groupBy(*keys, SLICE).agg(
-        *[first[kind](_col(c)).alias(name) for name, (kind, c) in measures.items()])
+    _, rows = _end_rows(base, keys, last=True)
+    heads, _ = _end_rows(base, keys, last=False)
+    totals = rows.groupBy(SLICE, *keys).agg(*[first[kind](_col(c)).alias(name) for name, (kind, c) in measures.items()])
     before = Window.partitionBy(*_by_key(keys)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (totals
-             .withColumn("_seen", F.count(F.lit(1)).over(before))
-             .withColumn("_carry", F.struct(*[merge[kind](name).over(before).alias(name)
-                                              for name, (kind, _) in measures.items()]))
-             .filter("_seen > 0"))
+    carry = (_chained(heads, totals, keys)
+             .withColumn("_seen", F.count_if("_fact").over(before))
+             .withColumn("_carry", F.struct(*[merge[kind](name).over(before).alias(name) for name, (kind, _) in measures.items()]))
+             .filter("_wanted AND _seen > 0"))
     local = Window.partitionBy(*keys, SLICE).orderBy(*[_col(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     here = base
@@ -90,19 +120,21 @@ def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     cols = [_col(o) for o in order]
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in columns.items()])
     local = Window.partitionBy(*keys, SLICE).orderBy(*cols)
-    # First or last row of every (key, slice): by position, so that descending orders work too.
-    marked = base.withColumn("_pos", F.row_number().over(local))
-    pick = F.min_by if forward else F.max_by
-    edges = marked.groupBy(*keys, SLICE).agg(pick(payload, F.col("_pos")).alias("_edge"))
+    # The row next to the border: by position, so that descending orders work too.
+    _, rows = _end_rows(base, keys, last=not forward)
+    near_end = rows.withColumn("_pos", F.row_number().over(local))
+    edges = near_end.groupBy(SLICE, *keys).agg((F.min_by if forward else F.max_by)(payload, F.col("_pos")).alias("_edge"))
+    wanted, _ = _end_rows(base, keys, last=forward)
     across = Window.partitionBy(*_by_key(keys)).orderBy(SLICE)
     step = F.lead if forward else F.lag
-    carry = edges.withColumn("_carry", step("_edge").over(across)).filter(F.col("_carry").isNotNull())
-    out = _attach(marked.withColumn("_near", step(payload).over(local)), carry, keys)
+    carry = (_chained(wanted, edges, keys).withColumn("_carry", step("_edge").over(across))
+             .filter(F.col("_wanted") & F.col("_carry").isNotNull()))
+    out = _attach(base.withColumn("_near", step(payload).over(local)), carry, keys)
     near = F.when(F.col("_near").isNotNull(), F.col("_near")).otherwise(F.col("_carry"))
     out = out.withColumn("_near", near)
     for dst in columns:
         out = out.withColumn(dst, F.col("_near").getField(dst))
-    out = out.drop("_near", "_carry", "_pos")
+    out = out.drop("_near", "_carry")
     return out if sliced else out.drop(SLICE)
 
 
