@@ -4,26 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``. In local mode, where one machine does all, a scratch folder will do;
+
+    on a cluster without a shared folder every executor would write to its own disk, so that is an error.
+    """
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if shared is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-ckpt-")
+    spark.sparkContext.setCheckpointDir(shared)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table beside the checkpoints and read it back.
 
     Cuts lineage like a checkpoint, but columnar: later steps read only the columns they use, and the planner knows
-    the true size, so joins with a small result are broadcast by size and not by hint.
+    the true size, so joins with a small result are broadcast by size and not by hint. Its shuffle files go at once.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
