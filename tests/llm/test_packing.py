@@ -59,6 +59,6 @@ def test_first_fit_matches_a_plain_scan():
         want = np.empty(n, np.int64)
         for i in np.argsort(-lengths, kind="stable"):
             want[i] = next((b for b, r in enumerate(room) if r >= lengths[i]), len(room))
-            room += [2048] * (want[i] == len(room))
+            room += [2048] * int(want[i] == len(room))
             room[want[i]] -= lengths[i]
         assert (bins == want).all() and (offsets >= 0).all()

@@ -6,10 +6,28 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltgrid.llm import mixing, packing, sharding, simhash
+from voltgrid.llm import fingerprints, languages, mixing, packing, secrets, sharding, simhash
 from voltgrid.llm.tables import documents
 
 
+def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """kind:start:end of the spans in their order, comma-joined; only of ``kinds``, if given."""
+    some = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, the number of spans of each kind, the hash of their places, and all spans as text."""
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(span_text(F.col("spans"), kinds), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, folder))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -27,12 +45,25 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    names, model = languages.train(docs, languages.learned_from())
+    found = languages.detect(docs, names, model, ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     done = mixing.mix(documents(spark, folder))
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op7_source_mixing)}
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digest(secrets.scan(documents(spark, folder), keep=["doc_id"]), tuple(r.kind for r in secrets.BASE))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op7_source_mixing, op9_secret_scan)}
 
 CHECKS = {
     "op7_source_mixing": f"""

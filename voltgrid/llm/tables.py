@@ -67,3 +67,24 @@ def components(edges: DataFrame) -> DataFrame:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def append(df: DataFrame, keep: list[str], added: str, fn: Callable[[list[str | None]], list[list]]) -> DataFrame:
+    """Columns ``keep`` of every row and new columns that ``fn`` computes from the texts of an Arrow batch.
+
+    Columns of ``keep`` named like a new one give way to it.
+    """
+    new = df.sparkSession.createDataFrame([], added).schema
+    keep = [c for c in keep if c not in new.names]
+    out = df.select(*keep).schema
+    for f in new:
+        out = out.add(f)
+    fields, asked = pa_schema(out), [*keep, *["text"] * ("text" not in keep)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(b.column("text").to_pylist())
+            columns = [b.column(c) for c in keep] + [pa.array(v, f.type) for v, f in zip(made, list(fields)[len(keep):], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return df.select(*asked).mapInArrow(run, out)
