@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltgrid.llm import fingerprints, languages, mixing, packing, secrets, sharding, simhash
+from voltgrid.llm import fingerprints, languages, media, mixing, packing, secrets, sharding, simhash, toxicity
 from voltgrid.llm.tables import documents
 
 
@@ -53,17 +53,29 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    lexicon = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), toxicity.learned_from())
+    found = toxicity.detect(docs, lexicon, ["doc_id"])
+    return found.select("doc_id", (~toxicity.learned_from()).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     done = mixing.mix(documents(spark, folder))
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return media.media_columns(documents(spark, folder))
+
+
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(secrets.scan(documents(spark, folder), keep=["doc_id"]), tuple(r.kind for r in secrets.BASE))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op7_source_mixing, op9_secret_scan)}
+    op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op6_toxicity, op7_source_mixing,
+    op8_media_columns, op9_secret_scan)}
 
 CHECKS = {
     "op7_source_mixing": f"""
