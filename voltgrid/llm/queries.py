@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltgrid.llm import fingerprints, languages, media, mixing, packing, secrets, sharding, simhash, toxicity
+from voltgrid.llm import fingerprints, languages, media, mixing, packing, pii, secrets, sharding, simhash, toxicity
 from voltgrid.llm.tables import documents
 
 
@@ -73,9 +73,13 @@ def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(secrets.scan(documents(spark, folder), keep=["doc_id"]), tuple(r.kind for r in secrets.BASE))
 
 
+def op10_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digest(pii.find(documents(spark, folder)), tuple(k.name for k in pii.KINDS))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op6_toxicity, op7_source_mixing,
-    op8_media_columns, op9_secret_scan)}
+    op8_media_columns, op9_secret_scan, op10_pii_contexts)}
 
 CHECKS = {
     "op7_source_mixing": f"""
