@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -59,15 +60,34 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+#: Matches that are numbered together; a text of n matches takes n * STRIDE steps, not n * n.
+STRIDE = 128
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of all matches in order: a match begins where the pieces and matches before it end."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, value: string>>").alias("found"))
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), zero, lambda s, p: F.struct(
-        (s["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-        F.array_append(s["found"], F.struct((s["at"] + p["gap"]).alias("start"), p["value"].alias("value"))).alias("found")), lambda s: s["found"])
+    none = F.array().cast("array<struct<start: int, value: string>>")
+    size = lambda p: p["gap"] + F.length(p["value"])
+
+    def inside(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), none.alias("found")), lambda s, p: F.struct(
+            (s["at"] + size(p)).alias("at"), F.array_append(s["found"], F.struct((s["at"] + p["gap"]).alias("start"), p["value"].alias("value"))).alias("found")), lambda s: s["found"])
+
+    def all_of(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(STRIDE)), lambda i: F.slice(pairs, i + 1, F.lit(STRIDE)))
+        sized = F.transform(blocks, lambda b: F.struct(b.alias("pairs"), F.aggregate(b, F.lit(0), lambda a, p: a + size(p)).alias("n")))
+        begun = F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda s, b: F.struct((s["at"] + b["n"]).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+        return bound(begun, lambda starts: F.flatten(F.transform(blocks, lambda b, i: inside(b, F.get(starts, i)))))
+
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda p: p["value"].isNotNull())
+    return bound(pairs, lambda p: F.when(F.size(p) > 0, all_of(p)).otherwise(none))
 
 
 def _found(text: Column, k: int, kind: Kind) -> Column:
