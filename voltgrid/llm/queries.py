@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,9 @@ def op10_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op6_toxicity, op7_source_mixing,
     op8_media_columns, op9_secret_scan, op10_pii_contexts)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
-CHECKS = {
+CHECKS = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op7_source_mixing": f"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5(doc_id::VARCHAR) AS draw FROM documents),
 per AS (SELECT source, sum(size)::DOUBLE AS source_size FROM sized GROUP BY source),
