@@ -13,8 +13,14 @@ def ord_sum(text: Column) -> Column:
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """U[0,1) that depends on the keys and the seed only, never on how rows are partitioned."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """U[0,1) that depends on the keys and the seed only, never on how rows are partitioned: 52 bits of an md5 digest."""
+    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The same draw as check SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}, '{seed}')), 1, 13))::BIGINT / {1 << 52}e0)"
 
 
 def normal(seed: int, *keys: Column) -> Column:

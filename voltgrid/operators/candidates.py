@@ -7,7 +7,7 @@ combination depends on the seed and its draw number only.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,7 @@ from voltgrid.functions.hashing import uniform
 from voltgrid.operators.ordered import row_numbers
 from voltgrid.operators.tiles import _packs, nearest
 
-SMALL_SPACE, MEDIUM_SPACE, MOST = 1000, 10000, 2000
-MEDIUM_SITES = 30
+MOST = 2000
 
 
 def _digest(seed: int, *keys: Column) -> Column:
@@ -109,16 +108,17 @@ def stratified_sites(sites: DataFrame, most: int, seed: int = 42) -> DataFrame:
 
 # --- combinations -------------------------------------------------------------------------------------------
 
-def _draws(sites: DataFrame, count: int) -> DataFrame:
+def _draws(sites: DataFrame, low: int, high: int) -> DataFrame:
+    """Draw numbers low + 1 .. high of every grid."""
     grids = sites.groupBy("grid_id").agg(F.count(F.lit(1)).alias("_n"))
-    return grids.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    return grids.withColumn("draw", F.explode(F.sequence(F.lit(low + 1), F.lit(high))))
 
 
 def _collect(picks: DataFrame, k: int) -> DataFrame:
     """Picked rows -> one sorted combination per draw, k sites on k different edges, first draw of equal ones."""
     c = picks.groupBy("grid_id", "draw").agg(F.sort_array(F.collect_list(F.struct("site_id", "edge_id"))).alias("c"))
     ids, e = F.col("c.site_id"), F.col("c.edge_id")
-    ok = c.filter((F.size("c") == k) & (F.size(F.array_distinct(e)) == k)).select("grid_id", "draw", ids.alias("sites"))
+    ok = c.filter((F.size("c") == k) & (F.size(F.array_distinct(ids)) == k) & (F.size(F.array_distinct(e)) == k)).select("grid_id", "draw", ids.alias("sites"))
     return first_of_equal(ok)
 
 
@@ -127,60 +127,95 @@ def first_of_equal(combos: DataFrame) -> DataFrame:
     return combos.groupBy("grid_id", F.array_sort("sites").alias("sites")).agg(F.min("draw").alias("draw"))
 
 
+def _first(combos: DataFrame, count: int) -> DataFrame:
+    return row_numbers(combos, ["grid_id"], ["draw"], "_rn").filter(F.col("_rn") <= count).drop("_rn")
+
+
+def _distinct_draws(sites: DataFrame, count: int, draw: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
+    """The first ``count`` different combinations that the draws 1, 2, ... of each grid give.
+
+    ``draw(sites, low, high)`` gives the valid combinations of draws low + 1 .. high. Draws that fall out or repeat are
+    drawn again: grids that lack combinations go on with twice as many draws, until they have enough or a whole round
+    finds nothing new, when all that can be drawn are found.
+    """
+    low, high = 0, 2 * count
+    found = materialize(draw(sites, low, high))
+    have = materialize(found.groupBy("grid_id").agg(F.count(F.lit(1)).alias("_have")))
+    while True:
+        short = sites.join(have.filter(F.col("_have") >= count), "grid_id", "left_anti") if low == 0 else sites.join(have.filter((F.col("_have") < count) & F.col("_new")), "grid_id", "left_semi")
+        if short.isEmpty():
+            return _first(found, count)
+        low, high = high, 2 * high
+        found = materialize(first_of_equal(found.unionByName(draw(short, low, high))))
+        now = found.groupBy("grid_id").agg(F.count(F.lit(1)).alias("_now"))
+        have = materialize(now.join(have.select("grid_id", "_have"), "grid_id", "left").select("grid_id", F.col("_now").alias("_have"), (F.col("_now") > F.coalesce("_have", F.lit(0))).alias("_new")))
+
+
 def random_combinations(sites: DataFrame, k: int, count: int, seed: int = 42) -> DataFrame:
-    """k independent draws by index; draws that hit an edge twice fall out."""
+    """``count`` different combinations of k sites on k edges, by k independent draws each; all there are, if fewer."""
     rows = materialize(row_numbers(sites, ["grid_id"], ["site_id"], "_rn"))
-    d = _draws(sites, count).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    d = d.withColumn("_rn", F.floor(uniform(seed, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_n")) + 1)
-    return _collect(d.join(rows, ["grid_id", "_rn"]), k)
+    n = _space(sites, k)
+    few = sites.join(n.filter(F.col("_c") <= count), "grid_id", "left_semi")
+    many = sites.join(n.filter(F.col("_c") > count), "grid_id", "left_semi")
 
+    def draw(some: DataFrame, low: int, high: int) -> DataFrame:
+        d = _draws(some, low, high).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
+        d = d.withColumn("_rn", F.floor(uniform(seed, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_n")) + 1)
+        return _collect(d.join(rows, ["grid_id", "_rn"]), k)
 
-def _per_stratum(sites: DataFrame, stratum: str, count: int, seed: int) -> DataFrame:
-    """One random site per draw and stratum."""
-    rows = materialize(row_numbers(sites, ["grid_id", stratum], ["site_id"], "_rn"))
-    n = rows.groupBy("grid_id", stratum).agg(F.count(F.lit(1)).alias("_m"))
-    d = _draws(sites, count).join(n, "grid_id")
-    key = [F.col("grid_id"), F.col("draw"), F.col(stratum)]
-    d = d.withColumn("_rn", F.floor(uniform(seed, *key) * F.col("_m")) + 1).withColumn("_u", uniform(seed + 1, *key))
-    return d.join(rows, ["grid_id", stratum, "_rn"])
+    every = row_numbers(all_combinations(few, k), ["grid_id"], ["sites"], "draw")
+    return _distinct_draws(many, count, draw).unionByName(every.select("grid_id", "sites", F.col("draw").cast("int").alias("draw")))
 
 
 def diverse_combinations(sites: DataFrame, stratum: str, k: int, count: int, seed: int = 42) -> DataFrame:
-    """Sites of k different strata per draw (random strata); missing slots are filled with random sites.
+    """``count`` different combinations of sites of k different strata (random strata, one random site each).
 
-    With ``source_method`` this is the method-diverse form, with an edge prefix the network form.
+    Where a grid has fewer strata, the missing slots are filled with random sites. With ``source_method`` this is the
+    method-diverse form, with an edge prefix the network form.
     """
-    one = row_numbers(_per_stratum(sites, stratum, count, seed), ["grid_id", "draw"], ["_u"], "_s").filter(F.col("_s") <= k)
-    have = materialize(one.select("grid_id", "draw", "site_id", "edge_id"))
-    short = have.groupBy("grid_id", "draw").agg(F.count(F.lit(1)).alias("_k"), F.collect_set("site_id").alias("_has")).filter(F.col("_k") < k)
+    ranked = materialize(row_numbers(sites, ["grid_id", stratum], ["site_id"], "_rn"))
+    sizes = materialize(ranked.groupBy("grid_id", stratum).agg(F.count(F.lit(1)).alias("_m")))
     rows = materialize(row_numbers(sites, ["grid_id"], ["site_id"], "_rn"))
-    total = rows.groupBy("grid_id").agg(F.count(F.lit(1)).alias("_n"))
-    fill = short.join(total, "grid_id").withColumn("slot", F.explode(F.sequence(F.col("_k") + 1, F.lit(k).cast("long")))).withColumn(
-        "_rn", F.floor(uniform(seed + 2, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_n")) + 1).join(rows, ["grid_id", "_rn"]).filter(~F.array_contains("_has", F.col("site_id")))
-    return _collect(have.unionByName(fill.select("grid_id", "draw", "site_id", "edge_id")), k)
+
+    def draw(some: DataFrame, low: int, high: int) -> DataFrame:
+        d = _draws(some, low, high).join(sizes, "grid_id")
+        key = [F.col("grid_id"), F.col("draw"), F.col(stratum)]
+        d = d.withColumn("_rn", F.floor(uniform(seed, *key) * F.col("_m")) + 1).withColumn("_u", uniform(seed + 1, *key))
+        one = row_numbers(d.join(ranked, ["grid_id", stratum, "_rn"]), ["grid_id", "draw"], ["_u"], "_s").filter(F.col("_s") <= k)
+        have = materialize(one.select("grid_id", "draw", "site_id", "edge_id", "_n"))
+        short = have.groupBy("grid_id", "draw").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n")).filter(F.col("_k") < k)
+        fill = short.withColumn("slot", F.explode(F.sequence(F.col("_k") + 1, F.lit(k).cast("long")))).withColumn(
+            "_rn", F.floor(uniform(seed + 2, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_n")) + 1).join(rows, ["grid_id", "_rn"])
+        picks = ["grid_id", "draw", "site_id", "edge_id"]
+        return _collect(have.select(*picks).unionByName(fill.select(*picks)), k)
+
+    return _distinct_draws(sites, count, draw)
 
 
 def stratified_combinations(sites: DataFrame, stratum: str, k: int, count: int, seed: int = 42) -> DataFrame:
-    """Slots go round the strata in turn, starting at a stratum that moves with the draw."""
+    """``count`` different combinations; slots go round the strata in turn, starting at one that moves with the draw."""
     s = materialize(row_numbers(sites.select("grid_id", stratum).distinct(), ["grid_id"], [stratum], "_s"))
     rows = materialize(row_numbers(sites, ["grid_id", stratum], ["site_id"], "_rn"))
     m = rows.groupBy("grid_id", stratum).agg(F.count(F.lit(1)).alias("_m"))
     ns = s.groupBy("grid_id").agg(F.max("_s").alias("_ns"))
-    d = _draws(sites, count).join(ns, "grid_id").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    d = d.withColumn("_s", F.pmod(F.col("draw") + F.col("slot"), F.col("_ns")) + 1).join(s, ["grid_id", "_s"]).join(m, ["grid_id", stratum])
-    d = d.withColumn("_rn", F.floor(uniform(seed, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_m")) + 1)
-    return _collect(d.join(rows, ["grid_id", stratum, "_rn"]), k)
+
+    def draw(some: DataFrame, low: int, high: int) -> DataFrame:
+        d = _draws(some, low, high).join(ns, "grid_id").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(k))))
+        d = d.withColumn("_s", F.pmod(F.col("draw") + F.col("slot"), F.col("_ns")) + 1).join(s, ["grid_id", "_s"]).join(m, ["grid_id", stratum])
+        d = d.withColumn("_rn", F.floor(uniform(seed, F.col("grid_id"), F.col("draw"), F.col("slot")) * F.col("_m")) + 1)
+        return _collect(d.join(rows, ["grid_id", stratum, "_rn"]), k)
+
+    return _distinct_draws(sites, count, draw)
 
 
 def spread_combinations(sites: DataFrame, k: int, count: int, seed: int = 42) -> DataFrame:
-    """Farthest-point combinations: a random first site, then k - 1 rounds of the site farthest from those chosen.
+    """Farthest-point combinations: a first site, then k - 1 rounds of the site farthest from those chosen.
 
-    Each round meets the packs of a grid's sites, so a row holds one draw and one pack, and one best site per pack
+    First sites are the first ``count`` in a keyed random order, so none comes twice. Each round meets the packs of a grid's sites, so a row holds one draw and one pack, and one best site per pack
     leaves it.
     """
-    rows = materialize(row_numbers(sites, ["grid_id"], ["site_id"], "_rn"))
-    d = _draws(sites, count).withColumn("_rn", F.floor(uniform(seed, F.col("grid_id"), F.col("draw")) * F.col("_n")) + 1)
-    chosen = materialize(d.join(rows, ["grid_id", "_rn"]).select("grid_id", "draw", F.array(F.struct("site_id", "edge_id", "lat", "lon")).alias("sel")))
+    ranked = row_numbers(sites.withColumn("_h", _digest(seed, F.col("site_id"))), ["grid_id"], ["_h", "site_id"], "draw")
+    chosen = materialize(ranked.filter(F.col("draw") <= count).select("grid_id", F.col("draw").cast("int").alias("draw"), F.array(F.struct("site_id", "edge_id", "lat", "lon")).alias("sel")))
     packs = materialize(_packs(sites.select("grid_id", "site_id", "edge_id", "lat", "lon"), ["site_id", "edge_id", "lat", "lon"], 512, ["grid_id"]).select("grid_id", "_pts"))
     for _ in range(k - 1):
         def best(p):
@@ -205,29 +240,30 @@ def all_combinations(sites: DataFrame, k: int) -> DataFrame:
     return out.select("grid_id", "sites")
 
 
-def _subset_count(n: Column, k: int) -> Column:
-    c = F.lit(1.0)
-    for i in range(k):
-        c = c * (n - i) / (i + 1)
-    return F.greatest(c, F.lit(0.0))
+def _space(sites: DataFrame, k: int) -> DataFrame:
+    """(grid_id, _c): how many sets of k sites on k different edges a grid has.
+
+    The k-th elementary symmetric sum of the numbers of sites per edge, from their power sums (Newton's identities).
+    """
+    per = sites.groupBy("grid_id", "edge_id").agg(F.count(F.lit(1)).cast("double").alias("_m"))
+    sums = per.groupBy("grid_id").agg(*[F.sum(F.pow("_m", F.lit(i))).alias(f"_p{i}") for i in range(1, k + 1)])
+    e = [F.lit(1.0)]
+    for n in range(1, k + 1):
+        e.append(sum(((-1) ** (i - 1) * e[n - i] * F.col(f"_p{i}") for i in range(1, n + 1)), F.lit(0.0)) / n)
+    return sums.select("grid_id", F.round(F.greatest(e[k], F.lit(0.0))).alias("_c"))
 
 
 def placement_configurations(sites: DataFrame, k: int, seed: int = 42, most: int = MOST) -> DataFrame:
-    """Configurations by size of the space: all subsets up to 1000; up to 10 000 all subsets of 30 stratified sites;
-    beyond that 40 % spread, 40 % random, 20 % by edge prefix, topped up with random ones, ``most`` at most."""
-    n = sites.groupBy("grid_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", _subset_count(F.col("_n"), k))
-    tier = F.when(F.col("_c") <= SMALL_SPACE, 1).when(F.col("_c") <= MEDIUM_SPACE, 2).otherwise(3)
-    t = materialize(sites.join(n.select("grid_id", tier.alias("_t")), "grid_id"))
-    part = lambda i: t.filter(F.col("_t") == i).drop("_t")
-    small = all_combinations(part(1), k)
-    ranked = row_numbers(part(2).withColumn("_h", _digest(seed, F.col("site_id"))), ["grid_id"], ["_h"], "_rn")
-    medium = all_combinations(ranked.filter(F.col("_rn") <= MEDIUM_SITES), k)
-    big = part(3).withColumn("prefix", F.when(F.col("edge_id").contains("_"), F.split("edge_id", "_")[0]).otherwise("default"))
+    """``most`` different configurations of every grid, all there are if fewer.
+
+    At every size 40 % are spread, 40 % random and 20 % of different edge prefixes; what repeats among them is made up by
+    further random ones.
+    """
+    named = sites.withColumn("prefix", F.when(F.col("edge_id").contains("_"), F.split("edge_id", "_")[0]).otherwise("default"))
     share = int(0.4 * most)
-    kinds = [spread_combinations(big, k, share, seed), random_combinations(big, k, share, seed), diverse_combinations(big, "prefix", k, most - 2 * share, seed), random_combinations(big, k, most, seed + 7)]
+    kinds = [spread_combinations(named, k, share, seed), random_combinations(named, k, share, seed), diverse_combinations(named, "prefix", k, most - 2 * share, seed), random_combinations(named, k, most, seed + 7)]
     mixed = None
     for i, c in enumerate(kinds):
-        p = c.withColumn("draw", F.col("draw") + i * most)
+        p = c.withColumn("draw", F.col("draw") + i * (1 << 30))
         mixed = p if mixed is None else mixed.unionByName(p)
-    large = row_numbers(first_of_equal(mixed), ["grid_id"], ["draw"], "_rn").filter(F.col("_rn") <= most).select("grid_id", "sites")
-    return small.unionByName(medium).unionByName(large)
+    return _first(first_of_equal(mixed), most).select("grid_id", "sites")

@@ -79,10 +79,9 @@ def fraction_sites(edges: DataFrame, fractions: tuple[float, ...] = (0.2, 0.5, 0
             .dropDuplicates(["edge_id", "position"]))
 
 
-def fallback_sites(edges: DataFrame, n: int, first: int = 1000) -> DataFrame:
-    """Midpoints of the passenger lanes among the first ``first`` edges, up to 3n in file order."""
-    head = edges.filter(~F.col("edge_id").startswith(":")).orderBy("edge_no").limit(first)
-    mid = head.filter("passenger").orderBy("edge_no").limit(3 * n).withColumn(
+def fallback_sites(edges: DataFrame, n: int) -> DataFrame:
+    """Midpoints of the first 3n passenger lanes in file order, three to choose from for each site asked."""
+    mid = edges.filter(~F.col("edge_id").startswith(":")).filter("passenger").orderBy("edge_no").limit(3 * n).withColumn(
         "_p", F.explode(F.array(point_at(F.col("shape"), F.col("length_m") / 2))))
     lat, lon = to_lat_lon(F.col("_p.x"), F.col("_p.y"))
     return mid.select("edge_id", F.concat("edge_id", F.lit("_0")).alias("lane"), (F.col("length_m") / 2).alias("position"),
@@ -212,5 +211,5 @@ def edge_use(routes: DataFrame) -> DataFrame:
 
 
 def top_edges(flow: DataFrame, k: int) -> DataFrame:
-    """The k busiest edges; a box filter comes after the cut, so it may leave fewer."""
+    """The k busiest edges."""
     return flow.orderBy(F.col("entered").desc(), "edge_id").limit(k)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voltgrid.functions.durable import materialize
+from voltgrid.functions.hashing import uniform_sql
 from voltgrid.operators import candidates as cand, models, roads, synthesis as syn, trajectories as tr
 from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
@@ -68,38 +68,85 @@ def sites(t):
                                 "lat", "lon", F.element_at(F.array(F.lit("kmeans"), F.lit("random"), F.lit("uniform")), (F.floor(n / 3) % 3 + 1).cast("int")).alias("source_method"))
 
 
-@query("gen19_random_combinations")
+view("v_gsites", """SELECT 'g' || CAST(site_no % 3 AS INT) AS grid_id, site_id, list_value('a', 'b', 'c')[CAST(site_no % 3 AS INT) + 1] || '_' || site_no AS edge_id,
+ list_value('kmeans', 'random', 'uniform')[CAST(floor(site_no / 3e0) AS INT) % 3 + 1] AS source_method, list_value('n', 's', 'e', 'w')[CAST(floor(site_no / 3e0) AS INT) % 4 + 1] AS prefix FROM fx_sites""")
+view("v_slots", "SELECT unnest(range(1, 4)) AS slot")
+
+
+def _first_valid(picks: str, count: int) -> str:
+    """Of picks (grid_id, draw, site_id, edge_id): the first ``count`` different combinations of three sites on three edges."""
+    return f"""SELECT grid_id, sites FROM (SELECT grid_id, sites, row_number() OVER (PARTITION BY grid_id ORDER BY draw) AS k FROM
+ (SELECT grid_id, sites, min(draw) AS draw FROM (SELECT grid_id, draw, array_to_string(list_sort(list(site_id)), ',') AS sites FROM ({picks}) p GROUP BY 1, 2
+ HAVING count(*) = 3 AND count(DISTINCT site_id) = 3 AND count(DISTINCT edge_id) = 3) c GROUP BY 1, 2) f) r WHERE k <= {count}"""
+
+
+def _draws_sql(count: int) -> str:
+    return f"(SELECT unnest(range(1, {8 * count + 1})) AS draw) d"
+
+
+def _diverse_sql(stratum: str, count: int, source: str = "v_gsites") -> str:
+    key = ("m.grid_id", "draw", f"m.{stratum}")
+    return f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY grid_id, {stratum} ORDER BY site_id) AS rn,
+ row_number() OVER (PARTITION BY grid_id ORDER BY site_id) AS ra FROM {source}),
+ m AS (SELECT grid_id, {stratum}, count(*) AS m FROM ranked GROUP BY 1, 2), n AS (SELECT grid_id, count(*) AS n FROM ranked GROUP BY 1),
+ u AS (SELECT m.grid_id, m.{stratum}, draw, floor({uniform_sql(42, *key)} * m) + 1 AS rn, {uniform_sql(43, *key)} AS u FROM m CROSS JOIN {_draws_sql(count)}),
+ one AS (SELECT * FROM (SELECT grid_id, {stratum}, draw, rn, row_number() OVER (PARTITION BY grid_id, draw ORDER BY u) AS s FROM u) q WHERE s <= 3),
+ have AS (SELECT o.grid_id, o.draw, r.site_id, r.edge_id FROM one o JOIN ranked r ON r.grid_id = o.grid_id AND r.{stratum} = o.{stratum} AND r.rn = o.rn),
+ short AS (SELECT grid_id, draw, count(*) AS k FROM have GROUP BY 1, 2 HAVING count(*) < 3),
+ hole AS (SELECT short.grid_id, short.draw, floor({uniform_sql(44, 'short.grid_id', 'draw', 'slot')} * n) + 1 AS ra
+ FROM short JOIN n ON n.grid_id = short.grid_id CROSS JOIN v_slots WHERE slot > k),
+ fill AS (SELECT h.grid_id, h.draw, r.site_id, r.edge_id FROM hole h JOIN ranked r ON r.grid_id = h.grid_id AND r.ra = h.ra)
+ {_first_valid('SELECT * FROM have UNION ALL SELECT * FROM fill', count)}"""
+
+
+def _sets(df):
+    return df.select("grid_id", F.concat_ws(",", "sites").alias("sites"))
+
+
+_RANDOM = f"""SELECT d.grid_id, draw, r.site_id, r.edge_id FROM (SELECT grid_id, draw, floor({uniform_sql(42, 'grid_id', 'draw', 'slot')} * n) + 1 AS rn
+ FROM (SELECT grid_id, count(*) AS n FROM v_gsites GROUP BY 1) g CROSS JOIN {_draws_sql(2000)} CROSS JOIN v_slots) d
+ JOIN (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY site_id) AS rn FROM v_gsites) r ON r.grid_id = d.grid_id AND r.rn = d.rn"""
+_ROUND = """SELECT p.grid_id, draw, r.site_id, r.edge_id FROM p JOIN (SELECT *, row_number() OVER (PARTITION BY grid_id, source_method ORDER BY site_id) AS rn
+ FROM v_gsites) r ON r.grid_id = p.grid_id AND r.source_method = p.source_method AND r.rn = p.rn"""
+
+
+@query("gen19_random_combinations", _first_valid(_RANDOM, 2000))
 def _(t):
-    return cand.random_combinations(sites(t), 3, 200)
+    return _sets(cand.random_combinations(sites(t), 3, 2000))
 
 
-@query("gen20_method_diverse")
+@query("gen20_method_diverse", _diverse_sql("source_method", 400))
 def _(t):
-    return cand.diverse_combinations(sites(t), "source_method", 3, 100)
+    return _sets(cand.diverse_combinations(sites(t), "source_method", 3, 400))
 
 
 @query("gen21_spread_combinations")
 def _(t):
-    return cand.spread_combinations(sites(t), 3, 50)
+    return cand.spread_combinations(sites(t), 3, 800)
 
 
-@query("gen22_stratified_combinations")
+@query("gen22_stratified_combinations", f"""WITH s AS (SELECT grid_id, source_method, row_number() OVER (PARTITION BY grid_id ORDER BY source_method) AS s,
+ count(*) OVER (PARTITION BY grid_id) AS ns, m FROM (SELECT grid_id, source_method, count(*) AS m FROM v_gsites GROUP BY 1, 2) q),
+ d AS (SELECT g.grid_id, draw, slot, (draw + slot) % ns + 1 AS s FROM (SELECT DISTINCT grid_id, ns FROM s) g CROSS JOIN {_draws_sql(400)} CROSS JOIN v_slots),
+ p AS (SELECT d.grid_id, draw, source_method, floor({uniform_sql(42, 'd.grid_id', 'draw', 'slot')} * m) + 1 AS rn FROM d JOIN s ON s.grid_id = d.grid_id AND s.s = d.s)
+ {_first_valid(_ROUND, 400)}""")
 def _(t):
-    return cand.stratified_combinations(sites(t), "source_method", 3, 100)
+    return _sets(cand.stratified_combinations(sites(t), "source_method", 3, 400))
 
 
-@query("gen24_prefix_combinations")
+@query("gen24_prefix_combinations", _diverse_sql("prefix", 400, "(SELECT grid_id, site_id, prefix || '_' || site_id AS edge_id, prefix FROM v_gsites) v"))
 def _(t):
-    s = sites(t).withColumn("prefix", F.concat(F.col("grid_id"), F.pmod(F.xxhash64("site_id"), F.lit(4)).cast("string")))
-    return cand.diverse_combinations(s, "prefix", 3, 100)
+    named = F.element_at(F.array(*map(F.lit, "nsew")), (F.floor(F.col("site_id").cast("long") / 3) % 4 + 1).cast("int"))
+    s = sites(t).withColumn("edge_id", F.concat_ws("_", named, "site_id"))
+    return _sets(cand.diverse_combinations(s.withColumn("prefix", F.split("edge_id", "_")[0]), "prefix", 3, 400))
 
 
 @query("gen32_placement_configurations")
 def _(t):
-    # Three grids of very different size, so that every tier is used.
+    # Three grids of very different size.
     n = F.col("site_no")
     s = t.fx("sites").select(F.when(n % 10 == 0, "small").when(n % 10 <= 3, "medium").otherwise("large").alias("grid_id"), "site_id", F.concat(F.lit("e_"), n.cast("string")).alias("edge_id"), "lat", "lon")
-    return cand.placement_configurations(s, 3, most=300)
+    return cand.placement_configurations(s, 3)
 
 
 @query("gen23_stratified_sites", """SELECT site_id FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= q THEN 0 ELSE 1 END, h, site_id) AS o FROM (SELECT *, row_number() OVER (PARTITION BY ra, rb ORDER BY h, site_id) AS k,
@@ -183,10 +230,10 @@ def _(t):
     return cand.first_of_equal(c).select(F.concat_ws(",", "sites").alias("edges"), F.col("draw").alias("trip"))
 
 
-@query("rnk08_top_edges_in_box", """SELECT edge_id FROM (SELECT f.edge_id, lat0, lon0 FROM fx_edge_flow f JOIN fx_edges e ON e.edge_id = f.edge_id ORDER BY entered DESC, f.edge_id LIMIT 100) q WHERE lat0 BETWEEN 42.23 AND 42.31 AND lon0 BETWEEN -83.79 AND -83.70""")
+@query("rnk08_top_edges_in_box", """SELECT edge_id FROM (SELECT f.edge_id, lat0, lon0 FROM fx_edge_flow f JOIN fx_edges e ON e.edge_id = f.edge_id WHERE lat0 BETWEEN 42.23 AND 42.31 AND lon0 BETWEEN -83.79 AND -83.70 ORDER BY entered DESC, f.edge_id LIMIT 100) q""")
 def _(t):
     f = t.fx("edge_flow").join(t.fx("edges").select("edge_id", F.col("lat0").alias("lat"), F.col("lon0").alias("lon")), "edge_id")
-    return tr.in_box(roads.top_edges(f, 100), BOX).select("edge_id")
+    return roads.top_edges(tr.in_box(f, BOX), 100).select("edge_id")
 
 
 @query("prj44_consistent_ids", """SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'g' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'c' || s_suppkey END AS grid_id, 'v' || s_nationkey AS veh_id FROM supplier""")

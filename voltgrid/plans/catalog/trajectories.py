@@ -156,7 +156,7 @@ def _(t):
 
 
 @query("gen31_fallback_sites", f"""SELECT edge_id, length_m / 2 AS position, {', '.join(f'round({e}, 6) AS {n}' for e, n in zip(_ll(*_at('(length_m / 2)')), ('lat', 'lon')))}
- FROM (SELECT * FROM (SELECT * FROM v_shape ORDER BY edge_no LIMIT 1000) a WHERE passenger ORDER BY edge_no LIMIT 60) b""")
+ FROM (SELECT * FROM v_shape WHERE passenger ORDER BY edge_no LIMIT 60) b""")
 def _(t):
     return roads.fallback_sites(edges(t), 20).select("edge_id", "position", *r6("lat", "lon"))
 
