@@ -11,6 +11,12 @@ def with_globals(df: DataFrame, *aggs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*aggs)))
 
 
-def with_group_stats(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """Append per-group aggregates by group-by and join, so that a hot group is never buffered in one task."""
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+def with_group_stats(df: DataFrame, keys: list[str], *aggs: Column, salts: int = 32) -> DataFrame:
+    """Append per-group aggregates: aggregate (combined before its shuffle), then join back on key and salt.
+
+    Rows of a group are dealt over ``salts`` join keys by a hash of the row, and the aggregate row is repeated for each,
+    so that a group with a third of all rows is shared by many tasks whatever way the planner joins.
+    """
+    stats = df.groupBy(*keys).agg(*aggs).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(salts)).cast("int"))
+    return dealt.join(stats, [*keys, "_salt"]).drop("_salt")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltgrid.functions.durable import materialize
 from voltgrid.functions.onerow import with_group_stats
 from voltgrid.functions.special import beta_ppf
-from voltgrid.operators.ordered import fold_in_chunks, row_numbers
+from voltgrid.operators.ordered import SLICE, row_numbers, slices
 from voltgrid.operators.runs import RUN, regret_bound
 
 # Table values per confidence level: t at few and more degrees of freedom, and z (fixed values).
@@ -94,14 +95,24 @@ def _width(n, mean, std, confidence=0.95):
     return np.where(n < 1, 1.0, np.where(n == 1, single, np.where(n < 30, small, large)))
 
 
-def confidence_trace(episodes: DataFrame, c_param: float = 1.0, chunk: int = 100_000) -> DataFrame:
+def confidence_trace(episodes: DataFrame, c_param: float = 1.0) -> DataFrame:
     """Per episode: interval of the chosen arm, width of the best arm so far, arms seen, exploration bonus.
 
-    The best arm so far depends on every arm's running mean, so this is a fold whose state is one triple (pulls,
-    sum, sum of squares) per arm.
+    What an episode needs from the past is each arm's pulls, sum and sum of squares, and these add up: runs are sorted
+    into slices over the cluster, a slice starts from the sums of the slices before (one row per slice, run and arm),
+    and all slices are worked on at once, however long a run is.
     """
-    def step(pdf: pd.DataFrame, state):
-        known = {int(a): v for a, v in (state or {}).items()}
+    numbered = materialize(row_numbers(slices(episodes.select(*RUN, "episode", "arm", "reward"), RUN, ["episode"]), RUN, ["episode"], "_rn", sliced=True))
+    sums = numbered.groupBy(SLICE, *RUN, "arm").agg(F.count(F.lit(1)).alias("_n"), F.sum("reward").alias("_s"), F.sum(F.col("reward") * F.col("reward")).alias("_q"))
+    every = sums.select(SLICE, *RUN).distinct().join(sums.select(*RUN, "arm").distinct(), RUN)
+    before = Window.partitionBy(*RUN, "arm").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    past = every.join(sums, [SLICE, *RUN, "arm"], "left").select(SLICE, *RUN, "arm", *[F.sum(c).over(before).alias(c) for c in ("_n", "_s", "_q")])
+    carry = past.filter("_n > 0").groupBy(SLICE, *RUN).agg(F.collect_list(F.struct("arm", F.col("_n").cast("double").alias("n"), F.col("_s").alias("s"), F.col("_q").alias("q"))).alias("_past"))
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        past = pdf["_past"].iloc[0]
+        known = {int(x["arm"]): (x["n"], x["s"], x["q"]) for x in past} if past is not None else {}
         arms = np.array(sorted(set(known) | set(pdf["arm"])))
         total = np.array([known.get(int(a), (0.0, 0.0, 0.0)) for a in arms]).T  # pulls, sums, sums of squares
         col = np.searchsorted(arms, pdf["arm"].to_numpy())
@@ -121,15 +132,15 @@ def confidence_trace(episodes: DataFrame, c_param: float = 1.0, chunk: int = 100
                 return m, _width(m, mean, np.sqrt(var))
 
             (pulls, own), (_, top) = width(c), width(best)
-            frames.append(pd.DataFrame({
-                "episode": pdf["episode"].to_numpy()[lo:lo + block], "arm": pdf["arm"].to_numpy()[lo:lo + block], "confidence_lower": 0.5 - own / 2,
-                "confidence_upper": 0.5 + own / 2, "confidence_width": own, "best_action_confidence": top, "action_diversity": (n > 0).sum(axis=1),
-                "exploration_bonus": c_param * np.sqrt(2 * np.log(time[lo:lo + block]) / pulls)}))
-        return pd.concat(frames, ignore_index=True), {int(a): total[:, i].tolist() for i, a in enumerate(arms)}
-
-    return fold_in_chunks(episodes, RUN, ["episode"], ["episode", "arm", "reward"], step,
-                          "episode long, arm int, confidence_lower double, confidence_upper double, confidence_width double, "
-                          "best_action_confidence double, action_diversity long, exploration_bonus double", chunk)
+            part = pdf.iloc[lo:lo + block]
+            frames.append(part[[*RUN, "episode", "arm"]].assign(
+                confidence_lower=0.5 - own / 2, confidence_upper=0.5 + own / 2, confidence_width=own, best_action_confidence=top, action_diversity=(n > 0).sum(axis=1),
+                exploration_bonus=c_param * np.sqrt(2 * np.log(time[lo:lo + block]) / pulls)))
+        return pd.concat(frames, ignore_index=True)
+
+    return numbered.join(carry, [SLICE, *RUN], "left").groupBy(SLICE, *RUN).applyInPandas(trace, (
+        "grid_id string, method string, episode long, arm int, confidence_lower double, confidence_upper double, confidence_width double, "
+        "best_action_confidence double, action_diversity long, exploration_bonus double"))
 
 
 # --- policy replay ------------------------------------------------------------------------------------------

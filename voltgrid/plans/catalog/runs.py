@@ -353,11 +353,23 @@ def _(t):
 view("v_armrun", f"""SELECT {R}, episode, arm, rn, count(*) OVER w AS n, avg(reward) OVER w AS m, coalesce(stddev_samp(reward) OVER w, 0) AS s FROM v_num WINDOW w AS (PARTITION BY grid_id, method, arm ORDER BY episode ROWS UNBOUNDED PRECEDING)""")
 
 
-@query("ban09_confidence_trace", f"""SELECT {R}, episode, arm, round(0.5 - w / 2, 6) AS confidence_lower, round(w, 6) AS confidence_width, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY grid_id, method ORDER BY episode ROWS UNBOUNDED PRECEDING)::BIGINT AS action_diversity,
- round(sqrt(2 * ln(rn) / n), 6) AS exploration_bonus FROM (SELECT *, CASE WHEN n = 1 THEN greatest(0.3, 0.5 - abs(m - 0.5)) WHEN n < 30 THEN CASE WHEN s < 1e-6 THEN 0.1 ELSE least(1, CASE WHEN n = 2 THEN 12.706 WHEN n <= 6 THEN 2.571 ELSE 2.262 END
- * s / sqrt(n) * (1 + 1 / n) * CASE WHEN abs(m) > 1e-6 THEN 1 / abs(m) ELSE 2 END) END ELSE least(1, 1.96 * s / sqrt(n) / CASE WHEN abs(m) > 1e-6 THEN abs(m) ELSE 1 END) END AS w FROM v_armrun) q""")
+# Sums of every arm up to each episode, and the arm with the best mean so far.
+view("v_armsofar", f"""SELECT {R}, episode, cand, n, s / n AS m, sqrt(greatest(q - n * (s / n) * (s / n), 0) / greatest(n - 1, 1)) AS s FROM
+ (SELECT r.grid_id, r.method, r.episode, a.arm AS cand, sum(CASE WHEN r.arm = a.arm THEN 1e0 ELSE 0e0 END) OVER w AS n, sum(CASE WHEN r.arm = a.arm THEN reward ELSE 0e0 END) OVER w AS s,
+ sum(CASE WHEN r.arm = a.arm THEN reward * reward ELSE 0e0 END) OVER w AS q FROM v_num r JOIN (SELECT DISTINCT {R}, arm FROM v_num) a ON a.grid_id = r.grid_id AND a.method = r.method
+ WINDOW w AS (PARTITION BY r.grid_id, r.method, a.arm ORDER BY r.episode ROWS UNBOUNDED PRECEDING)) x WHERE n > 0""")
+view("v_bestsofar", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {R}, episode ORDER BY m DESC, cand) AS k FROM v_armsofar) x WHERE k = 1")
+_WIDTH = """CASE WHEN n = 1 THEN greatest(0.3, 0.5 - abs(m - 0.5)) WHEN n < 30 THEN CASE WHEN s < 1e-6 THEN 0.1
+ ELSE least(1, CASE WHEN n = 2 THEN 12.706 WHEN n <= 6 THEN 2.571 ELSE 2.262 END * s / sqrt(n) * (1 + 1 / n) * CASE WHEN abs(m) > 1e-6 THEN 1 / abs(m) ELSE 2 END) END
+ ELSE least(1, 1.96 * s / sqrt(n) / CASE WHEN abs(m) > 1e-6 THEN abs(m) ELSE 1 END) END"""
+
+
+@query("ban09_confidence_trace", f"""SELECT o.grid_id, o.method, o.episode, arm, round(0.5 - w / 2, 6) AS confidence_lower, round(0.5 + w / 2, 6) AS confidence_upper, round(w, 6) AS confidence_width, round(b.top, 6) AS best_action_confidence,
+ sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o.grid_id, o.method ORDER BY o.episode ROWS UNBOUNDED PRECEDING)::BIGINT AS action_diversity, round(sqrt(2 * ln(rn) / n), 6) AS exploration_bonus
+ FROM (SELECT *, {_WIDTH} AS w FROM v_armrun) o JOIN (SELECT {R}, episode, {_WIDTH} AS top FROM v_bestsofar) b ON b.grid_id = o.grid_id AND b.method = o.method AND b.episode = o.episode""")
 def _(t):
-    return bandits.confidence_trace(ep(t)).select("grid_id", "method", "episode", "arm", *r6("confidence_lower", "confidence_width"), "action_diversity", *r6("exploration_bonus"))
+    return bandits.confidence_trace(ep(t)).select("grid_id", "method", "episode", "arm", *r6("confidence_lower", "confidence_upper", "confidence_width", "best_action_confidence"), "action_diversity", *r6("exploration_bonus"))
+
 
 
 @query("ban05_ucb_replay")
