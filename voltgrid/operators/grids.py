@@ -197,13 +197,18 @@ def flexible_grid(primary: DataFrame, kept_ids: DataFrame) -> DataFrame:
     return _finish(cells.drop("fx0", "fy0"), "flex", True)
 
 
-def grid_from_bounds(areas: DataFrame, size_km: float = 1.0, shares: DataFrame | None = None) -> DataFrame:
-    """Primary grid plus the flexible half-size grid over the rest, in the standard cell format."""
+def grid_from_bounds(areas: DataFrame, size_km: float = 1.0, cover: DataFrame | None = None, bucket_size: float = 0.01) -> DataFrame:
+    """Primary grid plus the flexible half-size grid over the rest, in the standard cell format.
+
+    ``cover`` are points of known land cover; both layers are filtered by their own shares, the half-size cells more
+    strictly. Without it all primary cells stay.
+    """
     primary = primary_grid(areas, size_km, keep_utm=True)
-    if shares is None:
+    if cover is None:
         return standard_cells(primary)
-    kept = coverage_filter(primary, shares)
-    rest = coverage_filter(flexible_grid(primary, kept), shares, WATER_LIMIT * 0.8, URBAN_LIMIT * 1.2)
+    kept = coverage_filter(primary, coverage_shares(primary, cover, bucket_size))
+    flexible = flexible_grid(primary, kept)
+    rest = coverage_filter(flexible, coverage_shares(flexible, cover, bucket_size), WATER_LIMIT * 0.8, URBAN_LIMIT * 1.2)
     return standard_cells(kept).unionByName(standard_cells(rest))
 
 

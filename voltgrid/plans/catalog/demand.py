@@ -18,16 +18,22 @@ def r6(*names):
     return [rnd(n, 6).alias(n) for n in names]
 
 
-@query("prj01_unpivot_series", """
-WITH w AS (SELECT date_trunc('month', ts) AS period,
-  sum(CASE WHEN station_id = '1' THEN kwh END) AS s1, sum(CASE WHEN station_id = '2' THEN kwh END) AS s2,
-  sum(CASE WHEN station_id = '3' THEN kwh END) AS s3 FROM fx_charging GROUP BY 1)
-SELECT period, 's1' AS station_id, round(s1, 6) AS kwh FROM w UNION ALL
-SELECT period, 's2', round(s2, 6) FROM w UNION ALL SELECT period, 's3', round(s3, 6) FROM w""")
+def station_blocks(t, width: int = 2000):
+    """The station ids, which name the columns of wide tables, in blocks: the planner takes some thousand columns at once."""
+    names = sorted(r["station_id"] for r in t.fx("stations").select("station_id").distinct().collect())
+    return [names[i:i + width] for i in range(0, len(names), width)]
+
+
+@query("prj01_unpivot_series", """SELECT p.period, s.station_id, round(k.kwh, 6) AS kwh FROM (SELECT DISTINCT date_trunc('month', ts) AS period FROM fx_charging) p
+ CROSS JOIN (SELECT DISTINCT station_id FROM fx_stations) s LEFT JOIN (SELECT date_trunc('month', ts) AS period, station_id, sum(kwh) AS kwh FROM fx_charging GROUP BY 1, 2) k
+ ON k.period = p.period AND k.station_id = s.station_id""")
 def _(t):
-    w = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("period")).agg(
-        *[F.sum(F.when(F.col("station_id") == str(k), F.col("kwh"))).alias(f"s{k}") for k in (1, 2, 3)])
-    return demand.unpivot_wide(w, "period", "kwh").withColumn("kwh", rnd("kwh", 6))
+    out = None
+    for names in station_blocks(t):
+        w = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("period")).pivot("station_id", names).agg(F.sum("kwh"))
+        part = demand.unpivot_wide(w, "period", "kwh")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("kwh", rnd("kwh", 6))
 
 
 view("v_dirty", """SELECT station_id, CASE WHEN kwh < 5 THEN NULL WHEN kwh < 10 THEN CAST('nan' AS DOUBLE)
@@ -193,19 +199,19 @@ def _(t):
 
 def _sessions(t):
     li = t.raw("lineitem").withColumn("station_id", F.col("l_suppkey").cast("string"))
-    occ = li.filter("l_linestatus = 'O'").select("station_id", (F.col("l_discount") * 100).alias("duration_hours"),
+    occ = li.select("station_id", (F.col("l_discount") * 100).alias("duration_hours"),
                                                  F.col("l_linenumber").alias("sessions"))
-    vol = li.filter("l_returnflag = 'R'").select("station_id", F.col("l_quantity").alias("kwh_dispensed"),
+    vol = li.select("station_id", F.col("l_quantity").alias("kwh_dispensed"),
                                                  F.col("l_linenumber").alias("num_chargers"), *_ROW)
     return demand.session_merge(occ, vol, list(_ROW))
 
 
 view("v_sessions", f"""SELECT o.station_id, total_hours, sessions, total_kwh, num_chargers FROM
  (SELECT CAST(l_suppkey AS VARCHAR) AS station_id, sum(l_discount * 100) AS total_hours,
- sum(l_linenumber) AS sessions FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) o JOIN
+ sum(l_linenumber) AS sessions FROM lineitem GROUP BY 1) o JOIN
  (SELECT CAST(l_suppkey AS VARCHAR) AS station_id, sum(l_quantity) AS total_kwh,
  max(CASE WHEN rn = 1 THEN l_linenumber END) AS num_chargers FROM (SELECT *, row_number() OVER
- (PARTITION BY l_suppkey ORDER BY {_ROW_SQL}) AS rn FROM lineitem WHERE l_returnflag = 'R') q GROUP BY 1) v
+ (PARTITION BY l_suppkey ORDER BY {_ROW_SQL}) AS rn FROM lineitem) q GROUP BY 1) v
  ON o.station_id = v.station_id""")
 
 

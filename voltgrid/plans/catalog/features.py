@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from voltgrid.functions import geo
 from voltgrid.functions.tags import CATEGORIES, POI_COLUMNS, POI_WEIGHTS
-from voltgrid.functions.durable import materialize
+from voltgrid.functions.durable import materialize, scratch_path
 from voltgrid.operators import features, neighbours, spatial
 from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, varied
 from voltgrid.plans.catalog.grids import _AREA
 from voltgrid.plans.registry import query, view
+from voltgrid.sources.tables import feature_lookup
 
 
 def rs(*names, d=6):
@@ -156,10 +157,12 @@ def _(t):
 
 
 @query("src06_feature_lookup", "SELECT grid_id, round(road_density_total, 6) AS road_density_total FROM v_feat WHERE grid_id IN (SELECT DISTINCT grid_id FROM fx_points "
-       "JOIN fx_cells ON lat > min_lat AND lat < max_lat AND lon > min_lon AND lon < max_lon WHERE event_flag) ".replace("WHERE event_flag", "WHERE ord % 50 = 3"))
+       "JOIN fx_cells ON lat > min_lat AND lat < max_lat AND lon > min_lon AND lon < max_lon)")
 def _(t):
-    wanted = spatial.points_in_cells(t.fx("points").filter("ord % 50 = 3"), t.fx("cells"), 0.01).select("grid_id").distinct()
-    return feat(t).join(wanted, "grid_id", "left_semi").select("grid_id", *r6("road_density_total"))
+    path = scratch_path(t.spark, "features")
+    feat(t).write.parquet(path)
+    wanted = spatial.points_in_cells(t.fx("points"), t.fx("cells"), 0.01)
+    return feature_lookup(t.spark, path, wanted).select("grid_id", *r6("road_density_total"))
 
 
 @query("set02_dedup_elements", "SELECT osmid, element_type FROM (SELECT DISTINCT l_partkey AS osmid, l_returnflag AS element_type FROM lineitem) q")

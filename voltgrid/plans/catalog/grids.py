@@ -230,6 +230,19 @@ def _(t):
                                                         F.size("corners").alias("n_corners"))
 
 
+_FLEX_CORNERS = [geo_sql(x, y, "zone") for x, y in (("cx0", "cy0"), ("cx1", "cy0"), ("cx1", "cy1"), ("cx0", "cy1"))]
+view("v_flex_g", f"""SELECT grid_id, h * h / 1e6 AS area_km2, least({', '.join(c[0] for c in _FLEX_CORNERS)}) AS min_lat, greatest({', '.join(c[0] for c in _FLEX_CORNERS)}) AS max_lat,
+ least({', '.join(c[1] for c in _FLEX_CORNERS)}) AS min_lon, greatest({', '.join(c[1] for c in _FLEX_CORNERS)}) AS max_lon FROM
+ (SELECT *, 'flex_' || area_id || '_' || i || '_' || j AS grid_id, fx0 + i * h AS cx0, fx0 + i * h + h AS cx1, fy0 + j * h AS cy0, fy0 + j * h + h AS cy1 FROM v_flex) q""")
+
+
+@query("gen04_bounds_with_cover", """SELECT grid_id, round(size_km * size_km, 6) AS area_km2 FROM v_kept UNION ALL SELECT c.grid_id, round(max(c.area_km2), 6) FROM v_flex_g c
+ JOIN v_cover ON lat > min_lat AND lat < max_lat AND lon > min_lon AND lon < max_lon GROUP BY 1
+ HAVING avg(CASE WHEN cover = 'water' THEN 1e0 ELSE 0e0 END) <= 0.7 * 0.8 AND avg(CASE WHEN cover = 'urban' THEN 1e0 ELSE 0e0 END) >= 0.3 * 1.2""")
+def _(t):
+    return grids.grid_from_bounds(t.fx("areas"), cover=_cover(t)).select("grid_id", *r6("area_km2"))
+
+
 @query("gen08_grid_quality", f"""SELECT a.area_id, count(*) AS total_cells, round(min(c.area_km2), 6) AS min_area, round(max(c.area_km2), 6) AS max_area,
  round(avg(c.area_km2), 6) AS mean_area, round(stddev_pop(c.area_km2), 6) AS std_area,
  round(100 * sum(c.area_km2) / max(a.whole), 4) AS coverage_pct, max(coalesce(o.n, 0)) AS overlapping_pairs FROM v_base_c c JOIN (SELECT area_id,

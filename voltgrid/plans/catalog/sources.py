@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import scratch_path
 from voltgrid.operators import demand, runs
-from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, scored
+from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, scored, station_blocks
 from voltgrid.plans.catalog.features import feat, rs
 from voltgrid.plans.catalog.runs import place, run_table
 from voltgrid.plans.catalog.trajectories import edges, pts
@@ -27,9 +27,12 @@ def _(t):
 
 
 def _wide(t, path, measure):
-    m = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("time")).pivot("station_id").agg(rnd(F.sum(measure), 6))
-    m.write.option("header", True).csv(f"{path}/{measure}")
-    return f"{path}/{measure}"
+    files = []
+    for names in station_blocks(t):
+        m = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("time")).pivot("station_id", names).agg(rnd(F.sum(measure), 6))
+        files.append(f"{path}/{measure}-{len(files)}")
+        m.write.option("header", True).csv(files[-1])
+    return files
 
 
 view("v_monthly", "SELECT date_trunc('month', ts)::TIMESTAMP AS ts, station_id, round(sum(kwh), 6) AS kwh, round(sum(hours), 6) AS hours FROM fx_charging GROUP BY 1, 2")
@@ -62,7 +65,7 @@ def _(t):
     li.select("station_id", (F.col("l_discount") * 100).alias("duration_hours"), F.lit(1).alias("sessions")).write.option("header", True).csv(f"{path}/occ")
     li.select("station_id", F.col("l_quantity").alias("kwh_dispensed"), F.lit(2).alias("num_chargers"), F.col("l_orderkey").alias("row_order")).write.option("header", True).csv(f"{path}/vol")
     k = F.col("charge_count")
-    t.fx("stations").filter(k % 7 != 0).select("station_id", F.concat(F.lit("grid_"), k % 9).alias("grid_id")).write.option("header", True).csv(f"{path}/map")
+    t.fx("stations").select("station_id", F.when(k % 7 != 0, F.concat(F.lit("grid_"), k % 9)).alias("grid_id")).write.option("header", True).csv(f"{path}/map")
     occ, vol, mapping = src.session_csv(t.spark, f"{path}/occ", f"{path}/vol", f"{path}/map")
     g = demand.sessions_by_grid(demand.session_merge(occ, vol, ["row_order"]), mapping)
     return g.select("grid_id", rnd("total_hours", 4).alias("total_hours"), rnd("total_kwh", 4).alias("total_kwh"))
@@ -84,12 +87,12 @@ def _write_xml(df, path, tag, root):
     return path
 
 
-@query("src07_battery_xml", "SELECT id, count(*) AS n, round(sum(energy_consumed), 4) AS energy, round(avg(actual_battery_capacity), 3) AS capacity FROM fx_battery WHERE episode = 3 GROUP BY 1")
+@query("src07_battery_xml", "SELECT id, count(*) AS n, round(sum(energy_consumed), 4) AS energy, round(avg(actual_battery_capacity), 3) AS capacity FROM fx_battery GROUP BY 1")
 def _(t):
-    # At most a day of seconds per step: rows of one time stamp of one episode share an element.
-    b = t.fx("battery").filter("episode = 3")
-    steps = b.groupBy(F.col("time").alias("_time")).agg(F.collect_list(F.struct(F.col("id").alias("_id"), F.col("energy_consumed").alias("_energyConsumed"), F.col("actual_battery_capacity").alias("_actualBatteryCapacity"),
-                                                                                F.col("maximum_battery_capacity").alias("_maximumBatteryCapacity"))).alias("vehicle"))
+    # Rows of one time stamp and episode share elements of a thousand vehicle numbers each.
+    b = t.fx("battery")
+    steps = b.groupBy("episode", F.col("time").alias("_time"), F.floor(F.col("id").cast("long") / 1000).alias("_part")).agg(F.collect_list(F.struct(F.col("id").alias("_id"), F.col("energy_consumed").alias("_energyConsumed"), F.col("actual_battery_capacity").alias("_actualBatteryCapacity"),
+                                                                                F.col("maximum_battery_capacity").alias("_maximumBatteryCapacity"))).alias("vehicle")).drop("episode", "_part")
     path = _write_xml(steps, scratch_path(t.spark, "battery"), "timestep", "battery-export")
     return sx.battery(t.spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("energy_consumed"), 4).alias("energy"), rnd(F.avg("actual_battery_capacity"), 3).alias("capacity"))
 

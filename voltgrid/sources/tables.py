@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +45,16 @@ def station_csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
                         for o, n in names.items()])
 
 
-def wide_series_csv(spark: SparkSession, paths: Mapping[str, str], time_col: str = "time") -> DataFrame:
+def wide_series_csv(spark: SparkSession, paths: Mapping[str, Sequence[str]], time_col: str = "time") -> DataFrame:
     """Wide files (time plus one column per station) for kwh, hours and occupancy -> one long table.
 
+    A measure may come in several files, each with a block of the stations.
     A missing file fails on read. Series are joined on (ts, station_id); gaps stay null.
     """
     out = None
-    for measure, path in paths.items():
-        wide = spark.read.option("header", True).csv(path)
-        long = unpivot_wide(wide, time_col, measure)
+    for measure, files in paths.items():
+        blocks = [unpivot_wide(spark.read.option("header", True).csv(f), time_col, measure) for f in files]
+        long = reduce(DataFrame.unionByName, blocks)
         part = long.select(F.col(time_col).try_cast("timestamp").alias("ts"), "station_id", F.col(measure).try_cast("double").alias(measure))
         out = part if out is None else out.join(part, ["ts", "station_id"], "full_outer")
     return out
