@@ -29,5 +29,14 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(2 * 3.141592653589793 * uniform(seed, *keys, F.lit("b")))
 
 
+def normal_sql(seed: int, *keys: str) -> str:
+    u1, u2 = uniform_sql(seed, *keys, "'a'"), uniform_sql(seed, *keys, "'b'")
+    return f"(sqrt(-2 * ln(greatest({u1}, 1e-15))) * cos(2 * 3.141592653589793e0 * {u2}))"
+
+
+def exponential_sql(seed: int, mean: str, *keys: str) -> str:
+    return f"(-ln(1 - {uniform_sql(seed, *keys)}) * {mean})"
+
+
 def exponential(seed: int, mean: Column, *keys: Column) -> Column:
     return -F.log(1 - uniform(seed, *keys)) * mean

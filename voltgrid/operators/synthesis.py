@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
@@ -21,7 +21,7 @@ from voltgrid.operators.ordered import percentiles, row_numbers
 from voltgrid.operators.selection import binned
 from voltgrid.operators.tiles import _packs
 
-# Trip patterns: points from / to, spread from / to (degrees), minutes from / to, mean kWh, mean hours, vehicle type.
+# Fixed values. Trip patterns: points from / to, spread from / to (degrees), minutes from / to, mean kWh, mean hours, vehicle type.
 PATTERNS = [
     ("commuter", 15, 30, 0.01, 0.05, 30, 60, 60.0, 2.5, "sedan"),
     ("shopping", 10, 20, 0.005, 0.02, 15, 45, 35.0, 1.8, "suv"),
@@ -143,15 +143,18 @@ def noise_samples(df: DataFrame, features: Sequence[str], target: str, row_id: s
 def smote_samples(df: DataFrame, features: Sequence[str], target: str, row_id: str, n: int, k: int = 4, bins: int = 5, seed: int = 42) -> DataFrame:
     """Oversampling over target bins: a drawn row moves towards one of its k nearest rows of the bin.
 
-    Every bin gets n // bins draws (at most its own size). Neighbours are exact: drawn rows are packed against
-    the packs of their bin, and only k candidates per pack leave the kernel.
+    The n draws, with replacement, go round the bins in turn. Neighbours are exact: drawn rows are packed against
+    the packs of their bin, and only k candidates per pack leave the kernel. A row alone in its bin has no neighbour to
+    move to and stays where it is.
     """
     cols = [*features, target]
     b = binned(df, [target], row_id, bins).select(row_id, "bin")
     rows = _indexed(df.join(b, row_id), cols, row_id, ["bin"])
     stats = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("_n"), F.avg(target).alias("_m"), F.coalesce(F.stddev_samp(target), F.lit(0.0)).alias("_s"), F.min(target).alias("_a"), F.max(target).alias("_z"))
-    draws = stats.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(max(1, n // bins)).cast("long"), F.col("_n"))))).withColumn(
-        "_rn", F.floor(uniform(seed, F.col("bin"), F.col("_d")) * F.col("_n")) + 1)
+    turn = Window.partitionBy(F.lit(0)).orderBy("bin")  # one row per bin
+    turns = stats.withColumn("_turn", F.row_number().over(turn) - 1).withColumn("_turns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    draws = turns.withColumn("_d", F.explode(F.sequence(F.col("_turn").cast("long"), F.lit(n - 1).cast("long"), F.col("_turns")))) if n else turns.withColumn("_d", F.lit(0).cast("long")).limit(0)
+    draws = draws.filter(F.col("_d") % F.col("_turns") == F.col("_turn")).withColumn("_rn", F.floor(uniform(seed, F.col("bin"), F.col("_d")) * F.col("_n")) + 1)
     base = materialize(draws.join(rows, ["bin", "_rn"]).withColumn("_key", F.concat_ws("/", "bin", "_d")))
     left = _packs(base.select("bin", "_key", F.col(row_id).alias("_self"), *features), ["_key", "_self", *features], 256, ["bin"])
     right = _packs(rows.select("bin", F.col(row_id).alias("_other"), *features), ["_other", *features], 512, ["bin"])
@@ -160,7 +163,7 @@ def smote_samples(df: DataFrame, features: Sequence[str], target: str, row_id: s
 
     def nearest_rows(batches):
         for pdf in batches:
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 x, y = (np.stack([np.asarray(r[f"{s}_{f}"], float) for f in features], axis=1) for s in "lr")
                 d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
                 other = np.asarray(r["r__other"])
@@ -174,19 +177,27 @@ def smote_samples(df: DataFrame, features: Sequence[str], target: str, row_id: s
     best = cand.groupBy("_key").agg(F.slice(F.array_sort(F.collect_list(F.struct("_dist", "_other"))), 1, k).alias("_c"))
     pick = best.withColumn("_i", F.floor(uniform(seed, F.col("_key"), F.lit("nb")) * F.size("_c")).cast("int")).select("_key", F.get("_c", F.col("_i"))["_other"].alias("_other"))
     nb = rows.select(F.col(row_id).alias("_other"), *[F.col(f).alias(f"_nb_{f}") for f in features])
-    j = base.join(pick, "_key").join(nb, "_other").crossJoin(F.broadcast(_bounds(df, cols)))
+    j = base.join(pick, "_key", "left").join(nb, "_other", "left").crossJoin(F.broadcast(_bounds(df, cols)))
     g = uniform(seed, F.col("_key"), F.lit("gap"))
     y = F.col("_m") + 0.3 * F.col("_s") * normal(seed, F.col("_key"), F.lit("y"))
     y = F.least(F.greatest(y, F.col("_a") * 0.8), F.col("_z") * 1.2)
-    return j.select(*[_clip(F.col(f) + g * (F.col(f"_nb_{f}") - F.col(f)), f).alias(f) for f in features], _clip(y, target).alias(target))
+    return j.select(*[_clip(F.col(f) + F.coalesce(g * (F.col(f"_nb_{f}") - F.col(f)), F.lit(0.0)), f).alias(f) for f in features], _clip(y, target).alias(target))
 
 
 def mixture_samples(df: DataFrame, features: Sequence[str], target: str, n: int, components: int = 5, percentile: float = 0.75, seed: int = 42) -> DataFrame:
-    """Samples of a Gaussian mixture fitted to the high-demand rows (target at or above the percentile)."""
+    """Samples of a Gaussian mixture fitted to the high-demand rows (target at or above the percentile), clipped to the
+    1-99 % range of the columns.
+
+    Where fewer than ten rows qualify, all rows are taken; there is a component for each ten rows, ``components`` at most
+    and one at least.
+    """
     cols = [*features, target]
     cut = percentiles(df, [], target, {"_cut": percentile})
-    high = df.crossJoin(F.broadcast(cut)).filter(F.col(target) >= F.col("_cut")).select(*cols)
-    model = GaussianMixture(k=components, seed=seed, featuresCol="v").fit(materialize(VectorAssembler(inputCols=cols, outputCol="v").transform(high)))
+    high = materialize(df.crossJoin(F.broadcast(cut)).filter(F.col(target) >= F.col("_cut")).select(*cols))
+    if (size := high.count()) < 10:
+        high = df.select(*cols)
+        size = high.count()
+    model = GaussianMixture(k=max(1, min(components, size // 10)), seed=seed, featuresCol="v").fit(materialize(VectorAssembler(inputCols=cols, outputCol="v").transform(high)))
     # Component parameters: k small matrices, known to be of the feature count's size.
     weights = np.cumsum(model.weights)
     means = [g.mean.toArray() for g in model.gaussians]
@@ -202,9 +213,11 @@ def mixture_samples(df: DataFrame, features: Sequence[str], target: str, n: int,
                 out[rows] = means[c] + raw[rows] @ roots[c].T
             yield pd.DataFrame(out, columns=cols)
 
-    return z.mapInPandas(shape, ", ".join(f"{c} double" for c in cols))
+    drawn = z.mapInPandas(shape, ", ".join(f"{c} double" for c in cols))
+    return drawn.crossJoin(F.broadcast(_bounds(df, cols))).select(*[_clip(F.col(c), c).alias(c) for c in cols])
 
 
+# Shares of the generators in each mix.
 MIXES = {"noise": {"noise": 1.0}, "smote": {"smote": 1.0}, "gmm": {"gmm": 1.0}, "mixed": {"gmm": 0.4, "smote": 0.3, "noise": 0.3}, "ctgan_smote": {"gmm": 0.7, "smote": 0.3}}
 
 
@@ -229,7 +242,7 @@ def augment(df: DataFrame, features: Sequence[str], target: str, row_id: str, me
 def vary_demand(trips: DataFrame, trip_id: str, depart: str, scale: float | None = None, shift: float = 600.0, seed: int = 42) -> DataFrame:
     """Scale trip demand by U(.9, 1.1) (extra copies drawn with replacement, or a sample) and shift departures by ±600 s."""
     factor = scale if scale is not None else float(0.9 + 0.2 * np.random.RandomState(seed).random_sample())
-    rows = materialize(row_numbers(trips, [], [F.xxhash64(F.col(trip_id), F.lit(seed)), F.col(trip_id)], "_rn"))
+    rows = materialize(row_numbers(trips, [], [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(trip_id).cast("string"))), F.col(trip_id)], "_rn"))
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     if factor < 1:
         chosen = rows.crossJoin(F.broadcast(n)).filter(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * factor))).withColumn("_copy", F.lit(0).cast("long")).drop("_n")

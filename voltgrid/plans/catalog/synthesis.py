@@ -1,8 +1,9 @@
 """Synthesis, candidates and combinations."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voltgrid.functions.hashing import uniform_sql
+from voltgrid.functions.hashing import exponential_sql, normal_sql, uniform_sql
 from voltgrid.operators import candidates as cand, models, roads, synthesis as syn, trajectories as tr
 from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
@@ -16,9 +17,18 @@ def _(t):
     return syn.city_trajectories(t.fx("areas"), 40)
 
 
-@query("gen10_grid_trajectories")
+_V = ("grid_id", "vehicle_no")
+
+
+def _line_sql(axis: str) -> str:
+    a, b = (f"(min_{axis} + (max_{axis} - min_{axis}) * {uniform_sql(42, *_V, chr(39) + axis + end + chr(39))})" for end in "ab")
+    return f"round({a} + ({b} - {a}) * (j / (points - 1)) + 0.001 * {normal_sql(42, *_V, 'j', chr(39) + axis + chr(39))}, 6) AS {axis}"
+
+
+@query("gen10_grid_trajectories", f"""SELECT grid_id, 'vehicle_' || grid_id || '_' || vehicle_no AS veh_id, {_line_sql('lat')}, {_line_sql('lon')}, j * 60e0 AS t FROM
+ (SELECT *, unnest(range(0, points)) AS j FROM (SELECT *, CAST(5 + floor(10 * {uniform_sql(42, *_V, "'n'")}) AS INT) AS points FROM fx_cells CROSS JOIN (SELECT unnest(range(0, 50)) AS vehicle_no) v) a) b""")
 def _(t):
-    return syn.grid_trajectories(t.fx("cells"), 5)
+    return syn.grid_trajectories(t.fx("cells"), 50).select("grid_id", "veh_id", *r6("lat", "lon"), "t")
 
 
 @query("gen11_random_walks")
@@ -26,9 +36,14 @@ def _(t):
     return syn.random_walks(t.fx("cells"), 3)
 
 
-@query("gen12_charging_points")
+_A = ("area_id", "vehicle_no")
+
+
+@query("gen12_charging_points", f"""SELECT area_id, round((min_lat + max_lat) / 2 + 0.05 * {normal_sql(42, *_A, "'lat'")}, 6) AS lat, round((min_lon + max_lon) / 2 + 0.05 * {normal_sql(42, *_A, "'lon'")}, 6) AS lon,
+ round({exponential_sql(42, '50', *_A, "'kwh'")}, 6) AS kwh, round({exponential_sql(42, '2', *_A, "'h'")}, 6) AS hours, vehicle_no * 3600e0 AS t, 'synthetic_' || area_id || '_' || vehicle_no AS station_id
+ FROM fx_areas CROSS JOIN (SELECT unnest(range(0, 500)) AS vehicle_no) v""")
 def _(t):
-    return syn.charging_points(t.fx("areas"), 100)
+    return syn.charging_points(t.fx("areas")).select("area_id", *r6("lat", "lon", "kwh", "hours"), "t", "station_id")
 
 
 @query("gen13_noise_samples")
@@ -51,10 +66,15 @@ def _(t):
     return syn.augment(train_rows(t), FX, "y", "id", "mixed", 0.3).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
-@query("gen27_vary_demand")
+_FACTOR = 0.9 + 0.2 * np.random.RandomState(42).random_sample()
+
+
+@query("gen27_vary_demand", f"""SELECT trip_id, round(greatest(0, depart + (2 * {uniform_sql(42, 'trip_id', '0', "'t'")} - 1) * 600), 6) AS depart, 0::BIGINT AS copy FROM
+ (SELECT o_orderkey AS trip_id, CAST(o_orderkey % 3600 AS DOUBLE) AS depart, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) AS rn, count(*) OVER () AS n FROM orders) q
+ WHERE rn <= greatest(1, floor(n * {_FACTOR!r}::DOUBLE))""")
 def _(t):
     o = t.raw("orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_orderkey") % 3600).cast("double").alias("depart"))
-    return syn.vary_demand(o, "trip_id", "depart")
+    return syn.vary_demand(o, "trip_id", "depart").select("trip_id", *r6("depart"), "copy")
 
 
 @query("gen33_random_trips")
