@@ -79,23 +79,3 @@ def test_gini_counts_absent_members_as_zero(spark):
     cum = np.cumsum(x)
     assert np.isclose(o.gini(df, [], "v", population=members).first()[0], (6 - 2 * (cum / 4).sum()) / 5)
     assert o.gini(df.withColumn("v", F.lit(0.0)), [], "v").first()[0] == 0.0
-
-
-def test_fold_carries_state_between_chunks(data):
-    df, pdf = data
-
-    def step(frame, state):
-        total, rows = (state or 0.0), []
-        for t, v in zip(frame["t"], frame["v"]):
-            total = 0.0 if total + v > 100 else total + v  # a reset, which no running sum can express
-            rows.append((t, total))
-        return pd.DataFrame(rows, columns=["t", "x"]), total
-
-    got = by_kt(o.fold_in_chunks(df, ["k"], ["t"], ["t", "v"], step, "t long, x double", chunk=50), "x")
-    want = []
-    for _, g in pdf.groupby("k"):
-        total = 0.0
-        for v in g["v"]:
-            total = 0.0 if total + v > 100 else total + v
-            want.append(total)
-    assert np.allclose(got["x"], want)

@@ -41,10 +41,10 @@ def test_single_point_vehicle(spark):
     assert tr.od_pairs(p).count() == 0 and tr.long_dwells(p).count() == 0
 
 
-def test_low_charge_fold_in_chunks(spark):
+def test_low_charge_with_one_long_vehicle(spark):
     rng = np.random.RandomState(1)
-    rows = [(f"v{i % 3}", float(rng.rand()), float(rng.rand()), float(i // 4), i) for i in range(120)]
-    got = {(r["veh_id"], r["ord"]): r["soc"] for r in tr.low_charge_points(points(spark, rows), chunk=7).collect()}
+    rows = [(f"v{max(0, i % 20 - 17)}", float(rng.rand()), float(rng.rand()), float(i // 4), i) for i in range(600)]
+    got = {(r["veh_id"], r["ord"]): r["soc"] for r in tr.low_charge_points(points(spark, rows)).collect()}
     want = {}
     for veh in ("v0", "v1", "v2"):
         tour, energy = sorted((r for r in rows if r[0] == veh), key=lambda r: (r[3], r[4])), 35.0

@@ -5,7 +5,6 @@ Points have veh_id, lat, lon, t (seconds) and ord, a tie-breaker that fixes the
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from voltgrid.functions import geo
 from voltgrid.functions.durable import materialize
 from voltgrid.functions.hashing import normal, uniform
 from voltgrid.functions.onerow import with_globals, with_group_stats
-from voltgrid.operators.ordered import SLICE, fold_in_chunks, following, previous, row_numbers, slices
+from voltgrid.operators.ordered import SLICE, following, previous, row_numbers, running, slices
 
 ORDER = ("t", "ord")
 
@@ -58,30 +57,43 @@ def long_dwells(points: DataFrame, hours: float = 2.0, radius_km: float = 0.05)
             .drop("_lat", "_lon", "_t"))
 
 
-def low_charge_points(points: DataFrame, threshold: float = 0.2, chunk: int = 100_000) -> DataFrame:
+def low_charge_points(points: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Points where the simulated charge falls below the threshold; the battery is then set to 80 %.
 
-    The reset makes this a fold over each vehicle, run in chunks that hand on the energy and the last position.
+    After a recharge the level is known, so the next one is the first row whose running use exceeds that of the recharge
+    by a fixed amount. That row is found for every row at once, by sorting rows and targets together; the rows that the
+    chain from each vehicle's first recharge reaches are then marked by pointer doubling, in as many rounds as the
+    logarithm of the recharges. A vehicle with most of the rows is spread like any other.
     """
     key = ["veh_id"]
     base = slices(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER)
     lagged = previous(base, key, ORDER, {"_lat": "lat", "_lon": "lon"}, sliced=True)
     km = F.coalesce(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    steps = materialize(lagged.select("veh_id", "lat", "lon", "t", "ord", SLICE, (km * KWH_PER_KM).alias("_used")))
-
-    def step(pdf: pd.DataFrame, state: float | None):
-        energy, soc = BATTERY_KWH if state is None else state, []
-        for used in pdf["_used"]:
-            energy -= used
-            level = energy / BATTERY_KWH
-            soc.append(level)
-            if level < threshold:
-                energy = BATTERY_KWH * RECHARGE_TO
-        out = pdf[["lat", "lon", "t", "ord"]].assign(soc=soc)
-        return out[out["soc"] < threshold], energy
-
-    return fold_in_chunks(steps, key, ORDER, ["lat", "lon", "t", "ord", "_used"], step,
-                          "lat double, lon double, t double, ord long, soc double", chunk, sliced=True)
+    used = materialize(lagged.select("veh_id", "lat", "lon", "t", "ord", SLICE, (km * KWH_PER_KM).alias("_used")))
+    steps = materialize(running(used, key, ORDER, {"_sum": ("sum", "_used"), "_rn": ("count", F.lit(1))}, sliced=True).select("veh_id", "lat", "lon", "t", "ord", "_sum", "_rn"))
+    first, again = BATTERY_KWH * (1 - threshold), BATTERY_KWH * (RECHARGE_TO - threshold)
+    none = F.lit(None).cast("long")
+    rows = steps.select("veh_id", F.col("_sum").alias("_at"), F.lit(0).alias("_late"), F.col("_rn").alias("_row"), none.alias("_from"))
+    targets = steps.select("veh_id", (F.col("_sum") + again).alias("_at"), F.lit(1).alias("_late"), none.alias("_row"), F.col("_rn").alias("_from"))
+    starts = steps.filter("_rn = 1").select("veh_id", F.lit(first).alias("_at"), F.lit(1).alias("_late"), none.alias("_row"), F.lit(0).cast("long").alias("_from"))
+    order = [F.col("_at").desc(), F.col("_late").desc(), F.col("_row").desc()]
+    ahead = running(rows.unionByName(targets).unionByName(starts), key, order, {"_next": ("min", "_row")})
+    links = materialize(ahead.filter("_from IS NOT NULL AND _next IS NOT NULL").select("veh_id", "_from", "_next"))
+    reached = materialize(links.filter("_from = 0").select("veh_id", F.col("_next").alias("_rn")))
+    hops, count = links.filter("_from > 0"), reached.count()
+    while True:
+        further = reached.join(hops, (reached["veh_id"] == hops["veh_id"]) & (reached["_rn"] == hops["_from"])).select(reached["veh_id"], F.col("_next").alias("_rn"))
+        reached = materialize(reached.unionByName(further).distinct())
+        if reached.count() == count:
+            break
+        count = reached.count()
+        onward = hops.select(F.col("veh_id").alias("_v"), F.col("_from").alias("_mid"), F.col("_next").alias("_end"))
+        hops = materialize(hops.join(onward, (hops["veh_id"] == onward["_v"]) & (hops["_next"] == onward["_mid"])).select("veh_id", "_from", F.col("_end").alias("_next")))
+    chain = reached.select("veh_id", F.col("_rn").alias("_from")).join(steps.select("veh_id", F.col("_rn").alias("_from"), F.col("_sum").alias("_base")), ["veh_id", "_from"])
+    chain = chain.withColumn("_full", F.lit(BATTERY_KWH * RECHARGE_TO)).unionByName(steps.filter("_rn = 1").select(
+        "veh_id", F.lit(0).cast("long").alias("_from"), F.lit(0.0).alias("_base"), F.lit(float(BATTERY_KWH)).alias("_full")))
+    low = chain.join(links, ["veh_id", "_from"]).select("veh_id", F.col("_next").alias("_rn"), "_base", "_full").join(steps, ["veh_id", "_rn"])
+    return low.select("veh_id", "lat", "lon", "t", "ord", ((F.col("_full") - (F.col("_sum") - F.col("_base"))) / BATTERY_KWH).alias("soc"))
 
 
 def demand_points(points: DataFrame, hours: float = 2.0, threshold: float = 0.2) -> DataFrame:

@@ -77,9 +77,15 @@ def _(t):
     return syn.vary_demand(o, "trip_id", "depart").select("trip_id", *r6("depart"), "copy")
 
 
-@query("gen33_random_trips")
+_EXTRA = 100 + int(np.random.RandomState(42).randint(101))
+
+
+@query("gen33_random_trips", f"""WITH e AS (SELECT edge_id, row_number() OVER (ORDER BY edge_no) - 1 AS k, count(*) OVER () AS n FROM fx_edges),
+ d AS (SELECT draw, n, floor({uniform_sql(42, 'draw', "'a'")} * n) AS a, 1 + floor({uniform_sql(42, 'draw', "'b'")} * (n - 1)) AS hop FROM (SELECT unnest(range(0, {_EXTRA})) AS draw) r CROSS JOIN (SELECT max(n) AS n FROM e) m)
+ SELECT veh_id AS trip_id, from_edge, to_edge, depart, 'observed' AS origin FROM v_edge_trips UNION ALL
+ SELECT 'random_' || draw, x.edge_id, y.edge_id, round(3300 * {uniform_sql(42, 'draw', "'d'")}, 6), 'random' FROM d JOIN e x ON x.k = d.a JOIN e y ON y.k = (d.a + d.hop) % d.n""")
 def _(t):
-    return syn.hybrid_trips(tr.edge_trips(pts(t), edges(t)), edges(t))
+    return syn.hybrid_trips(tr.edge_trips(pts(t), edges(t)), edges(t)).select("trip_id", "from_edge", "to_edge", *r6("depart"), "origin")
 
 
 def sites(t):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voltgrid.operators import roads, tiles, trajectories as tr
+from voltgrid.functions.hashing import normal_sql, uniform_sql
 from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
 from voltgrid.plans.registry import query, view
@@ -85,14 +86,22 @@ def _(t):
     return tr.od_pairs(pts(t)).select("veh_id", "points", *r6("from_lat", "from_lon", "to_lat", "to_lon"))
 
 
-@query("win07_trips")
+@query("win07_trips", f"""SELECT veh_id, round(2400 * {uniform_sql(42, 'veh_id', "'dep'")}, 6) AS depart, round(duration, 6) AS duration, {rs('from_lat', 'from_lon', 'to_lat', 'to_lon')} FROM
+ (SELECT *, CASE WHEN t1 > t0 THEN 60 + 540 * {uniform_sql(42, 'veh_id', "'len'")} ELSE 120 END AS duration FROM v_od) q
+ WHERE (abs(to_lat - from_lat) >= 0.0005 OR abs(to_lon - from_lon) >= 0.0005) AND duration >= 15""")
 def _(t):
-    return tr.trips(pts(t)).select("veh_id", "depart", "duration", "from_lat", "from_lon", "to_lat", "to_lon").orderBy("depart", "veh_id")
+    return tr.trips(pts(t)).select("veh_id", *r6("depart", "duration", "from_lat", "from_lon", "to_lat", "to_lon"))
 
 
-@query("prj40_via_points")
+def _jitter(axis: str) -> str:
+    return f"round({axis} + (2 * {uniform_sql(42, 'veh_id', 'ord', chr(39) + axis + chr(39))} - 1) * 1e-4, 6) AS {axis}"
+
+
+@query("prj40_via_points", f"""SELECT veh_id, CAST(i / step AS INT) AS via, {_jitter('lat')}, {_jitter('lon')} FROM (SELECT *, greatest(2, floor(n / (want + 1))) AS step FROM
+ (SELECT *, row_number() OVER ({_W}) - 1 AS i, count(*) OVER (PARTITION BY veh_id) AS n, CASE WHEN count(*) OVER (PARTITION BY veh_id) > 4
+ THEN least(3, floor(count(*) OVER (PARTITION BY veh_id) / 15)) ELSE 0 END AS want FROM v_pts) a) b WHERE want > 0 AND i > 0 AND i % step = 0 AND i < n - step AND i / step <= want""")
 def _(t):
-    return tr.via_points(pts(t))
+    return tr.via_points(pts(t)).select("veh_id", "via", *r6("lat", "lon"))
 
 
 @query("agg69_extent", """SELECT count(*) AS points, count(DISTINCT veh_id) AS vehicles, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat,
@@ -203,9 +212,17 @@ def _(t):
         "site_id", "edge_id", rnd("position", 4).alias("position"), *r6("lat", "lon"))
 
 
-@query("win08_edge_trips")
+view("v_end_edge", f"""SELECT veh_id, side, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY veh_id, side ORDER BY dist_m, edge_id) AS k FROM
+ (SELECT p.veh_id, side, e.edge_id, round(least({_seg('x0', 'y0', '(x0 + 4 * s)', '(y0 + 3 * s)')}, {_seg('(x0 + 4 * s)', '(y0 + 3 * s)', '(x0 + 9 * s)', '(y0 + 3 * s)')}), 6) AS dist_m
+ FROM (SELECT *, (lon + 83.8084) * 82000 AS px, (lat - 42.217) * 111320 AS py FROM (SELECT veh_id, 'from' AS side, from_lat AS lat, from_lon AS lon FROM v_od UNION ALL
+ SELECT veh_id, 'to', to_lat, to_lon FROM v_od) o) p CROSS JOIN v_shape e) d) q WHERE k = 1 AND dist_m <= 400""")
+view("v_edge_trips", f"""SELECT o.veh_id, round(greatest(0, o.t0 / 1000 + 60 * {normal_sql(42, 'o.veh_id')}), 6) AS depart, a.edge_id AS from_edge, b.edge_id AS to_edge FROM v_od o
+ JOIN v_end_edge a ON a.veh_id = o.veh_id AND a.side = 'from' JOIN v_end_edge b ON b.veh_id = o.veh_id AND b.side = 'to' WHERE a.edge_id <> b.edge_id""")
+
+
+@query("win08_edge_trips", "SELECT * FROM v_edge_trips")
 def _(t):
-    return tr.edge_trips(pts(t), edges(t))
+    return tr.edge_trips(pts(t), edges(t)).select("veh_id", *r6("depart"), "from_edge", "to_edge")
 
 
 @query("agg62_edge_use", "SELECT edge_id, count(DISTINCT trip_id) AS paths FROM fx_route_edges GROUP BY 1")
