@@ -12,12 +12,40 @@ from voltgrid.plans.catalog.trajectories import BOX, edges, pts
 from voltgrid.plans.registry import query, view
 
 
-@query("gen09_city_trajectories")
+_V = ("grid_id", "vehicle_no")
+_A = ("area_id", "vehicle_no")
+_CITY = 100
+_KINDS = ", ".join("(" + ", ".join([str(i), *(repr(x) if isinstance(x, str) else f"{x}::DOUBLE" for x in row)]) + ")" for i, row in enumerate(syn.PATTERNS))
+
+
+def _q(text: str) -> str:
+    return f"'{text}'"
+
+
+def _end_sql(axis: str, end: str) -> str:
+    s = f"spread_{axis}"
+    return f"(min_{axis} + max_{axis}) / 2 + least(greatest({normal_sql(42, *_A, _q(axis + end))} * {s} / 2, -{s}), {s}) AS {axis}_{end}"
+
+
+def _city_sql(axis: str) -> str:
+    wander = f"CASE WHEN j = 0 THEN 0 ELSE {normal_sql(42, *_A, 'j', _q(axis))} * spread_{axis} * 0.05 END"
+    return f"""round({axis}_a + s * ({axis}_b - {axis}_a) + CASE pattern WHEN 'commuter' THEN 0 WHEN 'shopping' THEN 0.1 * sin(pi() * s) * spread_{axis} * 0.1 ELSE {wander} END, 6) AS {axis}"""
+
+
+view("v_city", f"""SELECT *, {', '.join(_end_sql(a, e) for a in ('lat', 'lon') for e in 'ab')}, CAST(floor(n_lo + {uniform_sql(42, *_A, _q('n'))} * (n_hi - n_lo)) AS INT) AS points FROM
+ (SELECT *, s_lo + (s_hi - s_lo) * {uniform_sql(42, *_A, _q('slat'))} AS spread_lat, s_lo + (s_hi - s_lo) * {uniform_sql(42, *_A, _q('slon'))} AS spread_lon FROM
+ (SELECT *, CAST(floor({uniform_sql(42, *_A, _q('pattern'))} * {len(syn.PATTERNS)}) AS INT) AS kind FROM fx_areas CROSS JOIN (SELECT unnest(range(0, {_CITY})) AS vehicle_no) v) a
+ JOIN (VALUES {_KINDS}) p(kind, pattern, n_lo, n_hi, s_lo, s_hi, m_lo, m_hi, mean_kwh, mean_hours, vehicle_type) ON p.kind = a.kind) b""")
+
+
+@query("gen09_city_trajectories", f"""SELECT area_id, 'vehicle_' || area_id || '_' || vehicle_no AS veh_id, CAST(j AS INT) AS point_order, pattern, vehicle_type, {_city_sql('lat')}, {_city_sql('lon')},
+ round(j * (m_lo + (m_hi - m_lo) * {uniform_sql(42, *_A, 'j', _q('m'))}) / points * 60, 6) AS t, round({exponential_sql(42, 'mean_kwh', *_A, 'j', _q('kwh'))}, 6) AS kwh,
+ round({exponential_sql(42, 'mean_hours', *_A, 'j', _q('h'))}, 6) AS hours, 'synthetic_station_' || (vehicle_no + j) % 50 AS station_id FROM
+ (SELECT *, CASE WHEN points > 1 THEN j / (points - 1) ELSE 0 END AS s FROM (SELECT *, unnest(range(0, points)) AS j FROM v_city) x) y""")
 def _(t):
-    return syn.city_trajectories(t.fx("areas"), 40)
+    return syn.city_trajectories(t.fx("areas"), _CITY).select("area_id", "veh_id", "point_order", "pattern", "vehicle_type", *r6("lat", "lon", "t", "kwh", "hours"), "station_id")
 
 
-_V = ("grid_id", "vehicle_no")
 
 
 def _line_sql(axis: str) -> str:
@@ -31,12 +59,16 @@ def _(t):
     return syn.grid_trajectories(t.fx("cells"), 50).select("grid_id", "veh_id", *r6("lat", "lon"), "t")
 
 
-@query("gen11_random_walks")
-def _(t):
-    return syn.random_walks(t.fx("cells"), 3)
+def _walk_sql(axis: str) -> str:
+    return f"greatest(min_{axis}, least(max_{axis}, {axis} + 0.005 * {normal_sql(42, *_V, 'j + 1', _q('d' + axis))}))"
 
 
-_A = ("area_id", "vehicle_no")
+@query("gen11_random_walks", f"""WITH RECURSIVE w AS (SELECT *, 0::BIGINT AS j, min_lat + (max_lat - min_lat) * {uniform_sql(42, *_V, _q('lat'))} AS lat, min_lon + (max_lon - min_lon) * {uniform_sql(42, *_V, _q('lon'))} AS lon,
+ 10 + floor(10 * {uniform_sql(42, *_V, _q('n'))}) AS n FROM fx_cells CROSS JOIN (SELECT unnest(range(0, 3)) AS vehicle_no) v
+ UNION ALL SELECT * REPLACE (j + 1 AS j, {_walk_sql('lat')} AS lat, {_walk_sql('lon')} AS lon) FROM w WHERE j + 1 < n)
+ SELECT grid_id, 'vehicle_' || grid_id || '_' || vehicle_no AS veh_id, round(lat, 6) AS lat, round(lon, 6) AS lon, j * 60e0 AS t FROM w""")
+def _(t):
+    return syn.random_walks(t.fx("cells"), 3).select("grid_id", "veh_id", *r6("lat", "lon"), "t")
 
 
 @query("gen12_charging_points", f"""SELECT area_id, round((min_lat + max_lat) / 2 + 0.05 * {normal_sql(42, *_A, "'lat'")}, 6) AS lat, round((min_lon + max_lon) / 2 + 0.05 * {normal_sql(42, *_A, "'lon'")}, 6) AS lon,
@@ -46,9 +78,16 @@ def _(t):
     return syn.charging_points(t.fx("areas")).select("area_id", *r6("lat", "lon", "kwh", "hours"), "t", "station_id")
 
 
-@query("gen13_noise_samples")
+def _noise_sql(c: str) -> str:
+    amount = 0.05 if c == "y" else 0.1
+    return f"round(least(greatest({c} + {amount} * sd_{c} * {normal_sql(42, 'draw', _q(c))}, lo_{c}), hi_{c}), 6) AS {c}"
+
+
+@query("gen13_noise_samples", f"""SELECT {', '.join(map(_noise_sql, (*FX, 'y')))} FROM (SELECT draw, floor({uniform_sql(42, 'draw')} * (SELECT count(*) FROM v_train)) + 1 AS rn FROM (SELECT unnest(range(0, 300)) AS draw) d) p
+ JOIN (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM v_train) r ON r.rn = p.rn CROSS JOIN
+ (SELECT {', '.join(f'quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}, stddev_samp({c}) AS sd_{c}' for c in (*FX, 'y'))} FROM v_train) b""")
 def _(t):
-    return syn.noise_samples(train_rows(t), FX, "y", "id", 300)
+    return syn.noise_samples(train_rows(t), FX, "y", "id", 300).select(*r6(*FX, "y"))
 
 
 @query("gen14_smote_samples")
