@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,17 +113,16 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
     def shrink(text: str | None) -> tuple:
         data = payload(text)[1]
-        return hashlib.sha256(data).digest(), zstandard.compress(data, 6)
+        return hashlib.sha256(data).digest(), [bz2.compress(c) for c in pieces(data, chunks(data))]
 
-    def cut(key: bytes, small: bytes, names: list[bytes], sizes: list[int], marks: list[dict] | None) -> tuple:
-        data = zstandard.decompress(small)
+    def keep(key: bytes, parts: list[bytes], names: list[bytes], sizes: list[int], marks: list[dict] | None) -> tuple:
         own = {m["i"]: m["own"] for m in marks or []}
-        kept = [zstandard.compress(c, 6) if own.get(i, True) else None for i, c in enumerate(pieces(data, sizes))]
-        return key, wave(len(data)), names, kept, sorted(i for i, mine in own.items() if mine), all(own.values())
+        kept = [c if own.get(i, True) else None for i, c in enumerate(parts)]
+        return key, wave(sum(sizes)), names, kept, sorted(i for i, mine in own.items() if mine), all(own.values())
 
-    blobs = _map(docs.select("text"), "payload binary, small binary", shrink).groupBy("payload").agg(F.first("small").alias("small"))
-    rows = _map(blobs.join(marked, "payload").select("payload", "small", "names", "sizes", "marks"),
-                "payload binary, header binary, names array<binary>, chunks array<binary>, lent array<int>, whole boolean", cut)
+    blobs = _map(docs.select("text"), "payload binary, parts array<binary>", shrink).groupBy("payload").agg(F.first("parts").alias("parts"))
+    rows = _map(blobs.join(marked, "payload").select("payload", "parts", "names", "sizes", "marks"),
+                "payload binary, header binary, names array<binary>, chunks array<binary>, lent array<int>, whole boolean", keep)
     path = scratch_path(docs.sparkSession, "chunks")
     with shuffles_dropped(docs.sparkSession):
         rows.write.option("compression", "uncompressed").parquet(path)
@@ -140,7 +139,7 @@ def read_back(chunk_store: DataFrame) -> DataFrame:
     """
     def rebuild(key: bytes, header: bytes, names: list[bytes], kept: list[bytes | None], lent: list[dict] | None) -> tuple:
         found = {x["i"]: x["chunk"] for x in lent or []}
-        parts = [zstandard.decompress(c if c is not None else found[i]) for i, c in enumerate(kept)]
+        parts = [bz2.decompress(c if c is not None else found[i]) for i, c in enumerate(kept)]
         if [name(p) for p in parts] != names:
             raise ValueError("a chunk does not match its name")
         media = header + b"".join(parts)
