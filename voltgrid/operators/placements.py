@@ -17,8 +17,6 @@ SPREAD = 0.02
 CITY_LAT_RANGE, CITY_LON_RANGE = 0.1309, 0.1337
 BASELINES = ("Random", "Uniform", "K-Means")
 
-ONE, ZERO = 1.0, 0.0
-
 
 def _cap(c: Column) -> Column:
     return F.least(F.lit(1.0), c)

@@ -329,6 +329,7 @@ def run_summary(results: DataFrame) -> DataFrame:
     return g.withColumn("report", F.concat(F.col("kind"), F.lit(": "), F.col("successes").cast("string"), F.lit("/"), F.col("runs").cast("string"), F.lit(" runs succeeded")))
 
 
+# Bounds of valid metrics (fixed values).
 METRIC_RULES = {"best_reward": (0.0, 1.0), "average_reward": (0.0, 1.0), "exploration_efficiency": (0.0, 1.0), "convergence_rate": (0.0, 1.0), "total_episodes": (1.0, 1e9)}
 
 

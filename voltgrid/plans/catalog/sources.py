@@ -135,15 +135,47 @@ def _(t):
     return sx.edge_flow(t.spark, path).select("edge_id", "entered", "speed")
 
 
+def _broken(df, path, tag, names):
+    """Broken markup: elements without a root and with stray text between them."""
+    attr = lambda n: F.coalesce(F.concat(F.lit(f' {n}="'), F.col(f"_{n}").cast("string"), F.lit('"')), F.lit(""))
+    df.select(F.concat(F.lit(f"<broken & <{tag}"), *map(attr, names), F.lit("/> <unclosed")).alias("value")).write.text(path)
+    return path
+
+
 @query("src11_malformed_xml", _SUMMARY_SQL)
 def _(t):
-    # Broken markup: steps without a root and with stray text between them; found by pattern.
-    s = _summary_rows(t)
-    attr = lambda n: F.coalesce(F.concat(F.lit(f' {n}="'), F.col(f"_{n}").cast("string"), F.lit('"')), F.lit(""))
-    line = F.concat(F.lit("<broken & <step"), *[attr(n) for n in ("time", "loaded", "running", "meanSpeed", "arrived", "ended")], F.lit("/> <unclosed"))
-    path = scratch_path(t.spark, "broken")
-    s.select(line.alias("value")).write.text(path)
-    return _sum_up(sx.summary_by_pattern(t.spark, path))
+    return _sum_up(sx.summary_by_pattern(t.spark, _broken(_summary_rows(t), scratch_path(t.spark, "broken"), "step", ("time", "loaded", "running", "meanSpeed", "arrived", "ended"))))
+
+
+@query("src11_malformed_battery", "SELECT id, count(*) AS n, round(sum(energy_consumed), 4) AS energy, round(max(maximum_battery_capacity), 3) AS capacity FROM fx_battery GROUP BY 1")
+def _(t):
+    b = t.fx("battery").select(F.col("id").alias("_id"), F.col("energy_consumed").alias("_energyConsumed"), F.col("maximum_battery_capacity").alias("_maximumBatteryCapacity"))
+    found = sx.battery_by_pattern(t.spark, _broken(b, scratch_path(t.spark, "broken"), "vehicle", ("id", "energyConsumed", "maximumBatteryCapacity")))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("energy_consumed"), 4).alias("energy"), rnd(F.max("maximum_battery_capacity"), 3).alias("capacity"))
+
+
+@query("src11_malformed_charging", "SELECT vehicle_id, count(*) AS n, round(sum(total_energy_charged), 4) AS energy, round(sum(charging_end - charging_begin), 3) AS busy FROM fx_charge_events GROUP BY 1")
+def _(t):
+    e = t.fx("charge_events").select(F.col("vehicle_id").alias("_id"), F.col("total_energy_charged").alias("_totalEnergyChargedIntoVehicle"), F.col("charging_begin").alias("_chargingBegin"), F.col("charging_end").alias("_chargingEnd"))
+    found = sx.charging_by_pattern(t.spark, _broken(e, scratch_path(t.spark, "broken"), "vehicle", ("id", "totalEnergyChargedIntoVehicle", "chargingBegin", "chargingEnd")))
+    return found.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("total_energy_charged"), 4).alias("energy"), rnd(F.sum(F.col("charging_end") - F.col("charging_begin")), 3).alias("busy"))
+
+
+@query("src11_malformed_flow", 'SELECT edge_id, round(entered, 4) AS entered, 0e0 AS "left", round(speed, 4) AS speed FROM fx_edge_flow')
+def _(t):
+    f = t.fx("edge_flow").select(F.col("edge_id").alias("_id"), F.col("entered").alias("_entered"), F.col("speed").alias("_speed"))
+    found = sx.flow_by_pattern(t.spark, _broken(f, scratch_path(t.spark, "broken"), "edge", ("id", "entered", "speed")))
+    return found.select("edge_id", rnd("entered", 4).alias("entered"), "left", rnd("speed", 4).alias("speed"))
+
+
+@query("src11_rejected_records", "SELECT loaded, count(*) AS n FROM fx_summary WHERE loaded % 5 = 0 GROUP BY 1")
+def _(t):
+    # A fifth of the steps has an attribute without quotes.
+    s = t.fx("summary").withColumn("_q", F.when(F.col("loaded") % 5 == 0, F.lit("")).otherwise(F.lit('"')))
+    path = scratch_path(t.spark, "rejected")
+    s.select(F.concat(F.lit('<step time="'), "time", F.lit('" loaded="'), "loaded", F.lit('" running='), "_q", "running", "_q", F.lit("/>")).alias("value")).write.text(path)
+    bad = sx.rejected(t.spark, path, "step")
+    return bad.select(F.regexp_extract("s", 'loaded="([0-9]+)"', 1).cast("int").alias("loaded")).groupBy("loaded").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src12_score_sink", "SELECT count(*) AS n, round(avg(demand_score), 6) AS mean, round(stddev_samp(demand_score), 6) AS std, round(min(demand_score), 6) AS min, round(max(demand_score), 6) AS max, 0.7 AS kwh_weight FROM v_scored")
