@@ -19,54 +19,110 @@ END = 1
 #: Pieces that one group packs, about. Groups are independent; a larger one wastes less at its last bins.
 GROUP = 20_000
 #: Words whose ids a task remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    The vocabulary's pre-tokenizer never joins characters across white space and drops it, so a text's ids are the ids of
-    its words one after another, and each distinct word is encoded once.
+    The vocabulary's pre-tokenizer drops white space and never joins characters across it, nor letters with anything else,
+    and a token that ends such a piece is marked in the vocabulary. So a text's ids are the ids of its words one after
+    another, and each distinct word is encoded once: words of letters alone together in one line, cut at the marks, with
+    trailing punctuation by itself. Two generations of words are remembered.
     """
 
+    TAIL = b",.;:!?"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()  # on bytes: splits at ASCII white space only
-        missing = list(set(words) - self.known.keys())
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _line(self, words: list[bytes]) -> None:
+        """Words of letters alone, encoded as one line and cut where tokens end a word."""
+        if not words:
+            return
+        line = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * np.flatnonzero(self.ends[line]) + 4).tolist()
+        if len(stops) == len(words):
+            raw = line.tobytes()
+            self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        else:  # a letter fell apart on the way to lower case
+            self._each(words)
+
+    def _each(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode(self, words: set[bytes]) -> None:
+        plain, odd, tailed = [], [], []
+        for w in words:
+            if w.isalpha() or w.decode().isalpha():
+                plain.append(w)
+            elif (core := w.rstrip(self.TAIL)) and (core.isalpha() or core.decode().isalpha()):
+                tailed.append((w, core, w[len(core):]))
+            else:
+                odd.append(w)
+        self._line(list({*plain, *(c for _, c, _ in tailed if c not in self.known)}))
+        self._each(list({*odd, *(t for _, _, t in tailed if t not in self.known)}))
+        self.known.update((w, self.known[c] + self.known[t]) for w, c, t in tailed)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        lines = [(t or "").encode() for t in texts]
+        lines = [(x if b"<|" in x else x.lower()).split() for x in lines]  # on bytes: lower-cases A-Z, splits at ASCII white space
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        missing = set().union(*lines).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known = {}
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            self.known.update((w, self.older[w]) for w in missing if w in self.older)
+            if new := missing.difference(self.known):
+                self._encode(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in lines]
+
+
+#: One per tokenizer and worker process: tasks that follow each other share what they remember.
+_HELD: dict[str, WordIds] = {}
+
+
+def held(path: str) -> WordIds:
+    if path not in _HELD:
+        _HELD[path] = WordIds(path)
+    return _HELD[path]
 
 
-PIECES = "doc_id long, key long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, key long, start long, length long, doc_tokens long, "
+#: Texts whose words are looked up together.
+TOGETHER = 64
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, checksum: bool = False) -> DataFrame:
     """Pieces of the documents (doc_id, text): their token ids and ``end``, cut into runs of ``length`` and a remainder.
 
-    A null or empty text is the end token alone. Key is a hash of the text, ids little-endian unsigned 32-bit numbers.
+    A null or empty text is the end token alone. Key is a hash of the text, ids little-endian unsigned 32-bit numbers;
+    with ``checksum`` there is their ``ids_crc32`` in place of the ids.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
     last = np.array([end], "<u4").tobytes()
+    named, kind = ("ids_crc32", pa.int64()) if checksum else ("ids", pa.binary())
+    schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "key", "start", "length", "doc_tokens")), (named, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = held(tokenizer)
         for b in batches:
             out = []
-            for doc_id, key, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "key", "text")], strict=True):
-                ids = words.encode(text) + last
-                out.extend((doc_id, key, at // 4, len(part := ids[at:at + 4 * length]) // 4, len(ids) // 4, part) for at in range(0, len(ids), 4 * length))
+            for at in range(0, b.num_rows, TOGETHER):
+                some = b.slice(at, TOGETHER)
+                encoded = words.encode(some.column("text").to_pylist())
+                for doc_id, key, ids in zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist(), encoded, strict=True):
+                    ids += last
+                    for start in range(0, len(ids), 4 * length):
+                        part = ids[start:start + 4 * length]
+                        out.append((doc_id, key, start // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part) if checksum else part))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, PIECES + ("ids_crc32 long" if checksum else "ids binary"))
 
 
 def first_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +171,7 @@ def pack(parts: DataFrame, length: int = LENGTH, seed: int = 4, group: int = GRO
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
     """Pieces of ``docs`` with their places, without ids: (doc_id, key, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    cut = pieces(docs, tokenizer, length).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, tokenizer, length, checksum=True)
     return pack(materialize(cut.select("doc_id", "key", "start", "length", "ids_crc32", "doc_tokens")), length, seed)
 
 
