@@ -104,12 +104,12 @@ class Scorer:
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
         """Places of toxic words and their weights. Words met before are not looked up again."""
         distinct = set(words)
-        for w in distinct - self.clean - self.hot.keys():
+        for w in [w for w in distinct if w not in self.clean and w not in self.hot]:
             if (x := self.lexicon.weight(w)) > 0:
                 self.hot[w] = x
             else:
                 self.clean.add(w)
-        some = distinct & self.hot.keys()
+        some = {w for w in distinct if w in self.hot} if self.hot else set()
         out = [(i, self.hot[w]) for i, w in enumerate(words) if w in some] if some else []
         if len(self.clean) + len(self.hot) > REMEMBERED:
             self.clean, self.hot = set(), {}
