@@ -105,8 +105,8 @@ def episodes(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-def test_confidence_trace_in_chunks(episodes):
-    got = bandits.confidence_trace(episodes[0], chunk=17).toPandas().sort_values("episode").set_index("episode")
+def test_confidence_trace_over_slices(episodes):
+    got = bandits.confidence_trace(episodes[0]).toPandas().sort_values("episode").set_index("episode")
     for _, g in episodes[1].groupby("grid_id"):
         seen = {}
         for r in g.sort_values("episode").itertuples():
@@ -191,12 +191,15 @@ def test_combinations(spark):
     sites = spark.createDataFrame(rows, "grid_id string, site_id string, edge_id string, lat double, lon double, source_method string")
     every = candidates.all_combinations(sites, 3)
     assert every.count() == 1140
-    for c in (candidates.random_combinations(sites, 3, 40), candidates.diverse_combinations(sites, "source_method", 3, 40), candidates.spread_combinations(sites, 3, 20),
-              candidates.stratified_combinations(sites, "source_method", 3, 40)):
+    drawn = ((candidates.random_combinations(sites, 3, 40), 40), (candidates.diverse_combinations(sites, "source_method", 3, 40), 40),
+             (candidates.stratified_combinations(sites, "source_method", 3, 40), 40), (candidates.spread_combinations(sites, 3, 20), 2))
+    for c, least in drawn:
         got = [tuple(r["sites"]) for r in c.collect()]
-        assert got and len(set(got)) == len(got) and all(len(set(g)) == 3 for g in got)
-    conf = candidates.placement_configurations(sites, 2, most=100)
-    assert conf.count() == 190
+        assert len(got) >= least and len(set(got)) == len(got) and all(len(set(g)) == 3 for g in got)
+    assert candidates.random_combinations(sites, 2, 500).count() == 190  # all there are
+    for most, want in ((100, 100), (300, 190)):
+        conf = [tuple(r["sites"]) for r in candidates.placement_configurations(sites, 2, most=most).collect()]
+        assert len(conf) == len(set(conf)) == want
 
 
 def test_adaptive_budget_tiers(spark):
