@@ -26,10 +26,11 @@ def largest_remainder(cells: DataFrame, budget: int, demand: str = "demand_score
     """Floor of the quota, then one more for the largest fractions; ties by ``tie_order``; sums to the budget."""
     shared = (demand_share(cells, demand).withColumn("_quota", _quota(budget))
               .withColumn("base", F.floor("_quota")).withColumn("priority", F.col("_quota") - F.floor("_quota")))
-    left = with_globals(shared, (F.lit(budget) - F.sum("base")).alias("remaining"))
-    ranked = row_numbers(left, [], [F.col("priority").desc(), F.col(tie_order)], "_rn")
-    extra = (F.col("_rn") <= F.col("remaining")).cast("long")
-    return ranked.withColumn("stations", F.col("base") + extra).drop("_quota", "base", "_rn", "remaining")
+    # The remainder is smaller than the number of cells; its cells are a top-n by id, so no row needs a rank.
+    remaining = shared.agg(F.lit(budget) - F.sum("base")).first()[0] or 0
+    more = shared.orderBy(F.col("priority").desc(), F.col(tie_order)).limit(max(0, int(remaining))).select(F.col(tie_order).alias("_more"))
+    joined = shared.join(more, F.col(tie_order) == F.col("_more"), "left")
+    return joined.withColumn("stations", F.col("base") + F.col("_more").isNotNull().cast("long")).drop("_quota", "base", "_more")
 
 
 def zero_demand_split(cells: DataFrame, budget: int) -> DataFrame:
