@@ -82,3 +82,10 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({c for _, _, c in found(df)}, key=repr)
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_unrelated_groups_without_their_own_id_stay(spark):
+    other = "a wholly different line on charging posts and their prices"
+    rows = [row(None, "first text that has no id at all"), row(None, other), row(None, other), row(3, "one id with this text"), row(3, "and with words of quite another kind"), row(4, "one id with this text")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted({(r[0], r[1]) for r in rows[:5]}, key=repr)

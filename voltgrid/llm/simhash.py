@@ -123,9 +123,9 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: int = 4) -> DataFrame:
-    """(doc_id, key, fp, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, key, fp, root, component_id) for every row of ``docs`` (doc_id, text).
 
-    Rows link when their fingerprints differ in at most ``bits`` bits; component_id is the smallest doc_id that can be
+    Root is the smallest fingerprint of the component and names it. Rows link when their fingerprints differ in at most ``bits`` bits; component_id is the smallest doc_id that can be
     reached, the row's own included. Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay
     repeated rows of one component; a null doc_id is never the smallest unless the component has no other. An empty
     table gives an empty table; other columns are ignored.
@@ -135,18 +135,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: in
     roots = components(links(classes.select("fp"), bits, blocks)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(smallest, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
+    named = materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: int = 4) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each component, the row with the smallest doc_id stays.
 
     Among rows with that doc_id the one with the smallest text hash stays, and a row that is repeated stays once. Rows
-    without a doc_id stay only where their component has no other. All columns of ``docs`` are returned.
+    without a doc_id stay only where their component has no other. Components are told apart by their root and not by a
+    doc_id, which may be null or repeated. All columns of ``docs`` are returned.
     """
     found = near_duplicates(docs, bits, blocks, shingle)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c")).select(
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c")).select(
         F.col("c.doc_id").alias("_keep_id"), F.col("c.key").alias("_keep_key"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_keep_id"]) & (keyed["_key"] == chosen["_keep_key"]), "left_semi")
