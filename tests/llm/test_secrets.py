@@ -50,3 +50,18 @@ def test_redaction_keeps_clean_rows(spark):
     assert out[1].text == "<access> AKIASHORT x<access>" and out[1].n_chars == len(out[1].text)
     assert out[6].text is None and out[5].text == "" and out[3].text == TEXTS[3] and out[3].n_chars == len(TEXTS[3])
     assert all(not secrets_in for r in secrets.scan(secrets.redact(df)).collect() for secrets_in in [r.spans])
+
+
+def test_whole_private_keys_go(spark):
+    body = ["MIIEowIBAAKCAQEA" + "Zq9/x+4T" * 6, "b7Kd" * 16, "Yw3rT0s="]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    keys = {"whole": "\n".join([head, *body, foot]), "json": "\\n".join([head, *body, foot]), "quoted": "\n> ".join([head, *body, foot]), "one line": " ".join([head, *body, foot]), "sealed": f"{head}\n{sealed}" + "\n".join([*body, foot]),
+            "no end": "\n".join([head, *body]), "no end, crlf": "\r\n".join([head, *body]), "no end, json": "\\n".join([head, *body]), "no end, sealed": f"{head}\n{sealed}" + "\n".join(body), "cut": "\n".join([head, body[0], body[1][:9]]), "no end, then whole": "\n".join([head, *body, head, *body, foot])}
+    df = spark.createDataFrame([row(i, f"before it\n{k}\nand after it") for i, k in enumerate(keys.values())] + [row(99, f"a line {head} opens a key, no more")], SCHEMA)
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, name in enumerate(keys):
+        marks = "<pem>\n<pem>" if name == "no end, then whole" else "<pem>"
+        assert out[i] == f"before it\n{marks}\nand after it", name
+    assert out[99] == "a line <pem> opens a key, no more"
+    assert secrets.trigram_query(next(r for r in secrets.RULES if r.kind == "pem")) is not True

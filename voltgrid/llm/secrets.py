@@ -35,13 +35,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What stands between the lines of a key: white space, also escaped, and marks of quoting.
+_GAP = r"""(?:[\s>|#*"'+,;]|\\[nrt])++"""
+#: A private key: its header, then all up to the END line before the next BEGIN, or, without END, the lines of base64.
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):\x20*[^\s\\\"]++)*+(?:(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+        rf"(?:{_GAP}[A-Za-z0-9+/]++(?:={{1,2}}|(?=[\x20\t]*(?:[\r\n\"']|\\[nr]|\Z))))?)?)")
 #: Published formats of access tokens and keys.
 FORMATS = (
     Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 RULES = BASE + FORMATS
 
