@@ -62,3 +62,19 @@ def test_first_fit_matches_a_plain_scan():
             room += [2048] * int(want[i] == len(room))
             room[want[i]] -= lengths[i]
         assert (bins == want).all() and (offsets >= 0).all()
+
+
+def test_each_copy_of_a_document_has_its_own_place(spark):
+    df = awkward(spark)
+    df = df.unionByName(df)
+    out = packing.sequences(df, PATH).collect()
+    assert all(len(r.ids) == 4 * r.tokens <= 4 * 2048 for r in out) and len({r.sequence_id for r in out}) == len(out)
+    ids = b"".join(r.ids for r in out)
+    assert sorted(np.frombuffer(ids, "<u4").tolist()) == sorted(i for r in df.collect() for i in whole_ids(r.text))
+
+
+def test_digests_come_from_written_ids(spark):
+    df = awkward(spark)
+    out, cut = packing.packed(df.unionByName(df), PATH), packing.pieces(df, PATH).collect()
+    assert sorted((repr(r.doc_id), r.key, r.start, bytes(r.ids), zlib.crc32(r.ids)) for r in out.collect()) == sorted((repr(r.doc_id), r.key, r.start, bytes(r.ids), zlib.crc32(r.ids)) for r in cut for _ in range(2))
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in out.collect())

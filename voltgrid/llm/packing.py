@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
@@ -18,6 +17,8 @@ LENGTH = 2048
 END = 1
 #: Pieces that one group packs, about. Groups are independent; a larger one wastes less at its last bins.
 GROUP = 20_000
+#: Tokens that one group packs, about: 16 MB of ids.
+GROUP_TOKENS = 1 << 22
 #: Words whose ids a task remembers, at most.
 REMEMBERED = 500_000
 
@@ -92,37 +93,41 @@ def held(path: str) -> WordIds:
     return _HELD[path]
 
 
-PIECES = "doc_id long, key long, start long, length long, doc_tokens long, "
+def turned(raw: bytes, width: int) -> bytes:
+    """Bytes written in rows of ``width``, read by columns."""
+    return np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
+
+
 #: Texts whose words are looked up together.
 TOGETHER = 64
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, checksum: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, planes: bool = False) -> DataFrame:
     """Pieces of the documents (doc_id, text): their token ids and ``end``, cut into runs of ``length`` and a remainder.
 
-    A null or empty text is the end token alone. Key is a hash of the text, ids little-endian unsigned 32-bit numbers;
-    with ``checksum`` there is their ``ids_crc32`` in place of the ids.
+    A null or empty text is the end token alone. Key is a hash of the text, ids little-endian unsigned 32-bit numbers.
+    Every row of ``docs`` gives its own pieces, repeated rows too. With ``planes`` the first bytes of all ids of a piece
+    come first, then the second ones and so on: high bytes are mostly 0 and take hardly any room once compressed.
     """
     last = np.array([end], "<u4").tobytes()
-    named, kind = ("ids_crc32", pa.int64()) if checksum else ("ids", pa.binary())
-    schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "key", "start", "length", "doc_tokens")), (named, kind)])
+    schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "key", "start", "length", "doc_tokens")), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held(tokenizer)
         for b in batches:
-            out = []
             for at in range(0, b.num_rows, TOGETHER):
+                out = []
                 some = b.slice(at, TOGETHER)
                 encoded = words.encode(some.column("text").to_pylist())
                 for doc_id, key, ids in zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist(), encoded, strict=True):
                     ids += last
                     for start in range(0, len(ids), 4 * length):
                         part = ids[start:start + 4 * length]
-                        out.append((doc_id, key, start // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part) if checksum else part))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                        out.append((doc_id, key, start // 4, len(part) // 4, len(ids) // 4, turned(part, 4) if planes else part))
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, PIECES + ("ids_crc32 long" if checksum else "ids binary"))
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, start long, length long, doc_tokens long, ids binary")
 
 
 def first_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,39 +153,54 @@ def first_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
+PARTS = ("doc_id", "key", "start", "length", "doc_tokens", "offset")
+
+
 def pack(parts: DataFrame, length: int = LENGTH, seed: int = 4, group: int = GROUP) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``: first-fit decreasing inside random groups of about ``group`` documents.
+    """(sequence_id, tokens, ids, parts) of pieces: first-fit decreasing inside random groups of about ``group`` pieces.
 
     A group is drawn from the document's hash, so one source or one length never fills a group by itself, and groups
-    stay of bounded size at any input. Group g numbers its sequences g * 2^32, g * 2^32 + 1, ... The ids don't
-    travel: ``parts`` may be any table with (doc_id, key, start, length). An empty table gives an empty table.
+    stay of bounded size at any input; long pieces make smaller groups, of about ``GROUP_TOKENS`` tokens. Group g numbers
+    its sequences g * 2^32, g * 2^32 + 1, ... Every row of ``parts`` has its own place, also where documents are
+    repeated. The ids of ``parts`` are in planes. Parts name the pieces of a sequence in order of offset. An empty table gives an empty table.
     """
-    total = parts.count()
-    groups = max(1, math.ceil(total / group))
-    names = [c for c in parts.columns if c not in ("sequence_id", "offset")]
-    dealt = parts.select(*names, F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(groups)).alias("_group"))
-    out = parts.select(*names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    total, tokens = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, math.ceil(total / group), math.ceil(tokens / GROUP_TOKENS))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(groups)))
+    named = pa.struct([(n, pa.int64()) for n in PARTS])
+    schema = pa.schema([("sequence_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("parts", pa.list_(named))])
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        _HELD.clear()  # texts are encoded by now: room for ids
+        names = [n for n in PARTS if n != "offset"]
+        by_row = pc.sort_indices(rows.select(names), [("doc_id", "ascending"), ("key", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit(rows["length"].take(by_row).to_numpy(), length)
+        order = np.lexsort((offsets, bins))
+        place = by_row.take(pa.array(order))
+        bins, offsets, ids, rows = bins[order], offsets[order], rows["ids"], rows.select(names).take(place)
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        edges = np.append(first, len(bins)).astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(rows["length"].to_numpy())))[edges]
+        data = pa.py_buffer(b"".join(turned(v.as_py(), v.as_buffer().size // 4) for v in ids.take(place)))
+        columns = [pa.array(offsets) if n == "offset" else pa.concat_arrays(rows[n].chunks).cast(pa.int64()) for n in PARTS]
+        return pa.Table.from_arrays([
+            pa.array((key[0].as_py() << 32) + bins[first]), pa.array(np.diff(ends)),
+            pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * ends).astype(np.int32)), data]),
+            pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(columns, fields=list(named)))], schema=schema)
+
+    struct = ", ".join(f"{n}: long" for n in PARTS)
+    return dealt.groupBy("_group").applyInArrow(fit, f"sequence_id long, tokens long, ids binary, parts array<struct<{struct}>>")
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "key", "start"], ignore_index=True)
-        bins, offsets = first_fit(rows["length"].to_numpy(), length)
-        return rows.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    return dealt.groupBy("_group").applyInPandas(fit, out)
+def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
+    """(sequence_id, tokens, ids, parts): the packed sequences, written; at most ``length`` ids each, not padded."""
+    return materialize(pack(materialize(pieces(docs, tokenizer, length, planes=True)), length, seed))
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
-    """Pieces of ``docs`` with their places, without ids: (doc_id, key, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    cut = pieces(docs, tokenizer, length, checksum=True)
-    return pack(materialize(cut.select("doc_id", "key", "start", "length", "ids_crc32", "doc_tokens")), length, seed)
-
-
-def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
-    """(sequence_id, tokens, ids): the packed sequences; at most ``length`` ids each, not padded."""
-    cut = pieces(docs, tokenizer, length)
-    places = pack(materialize(cut.select("doc_id", "key", "start", "length")).distinct(), length, seed)
-    on = ["doc_id", "key", "start"]
-    named = places.select(*[F.col(c).alias(f"_{c}") for c in on], "sequence_id", "offset")
-    joined = cut.join(named, cut["doc_id"].eqNullSafe(named["_doc_id"]) & (cut["key"] == named["_key"]) & (cut["start"] == named["_start"]))
-    parts = joined.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return parts.select("sequence_id", "tokens", F.expr("unhex(aggregate(parts, '', (a, p) -> concat(a, hex(p.ids))))").alias("ids"))
+    """Pieces of ``docs`` read from the written sequences: (doc_id, key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset)."""
+    def cut(p: Column) -> Column:
+        ids = F.substring(F.col("ids"), (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+        return F.struct(*[p[n].alias(n) for n in PARTS], ids.alias("ids"))
+    parts = sequences(docs, tokenizer, length, seed).select("sequence_id", F.explode(F.transform("parts", cut)).alias("p"))
+    return parts.select("p.doc_id", "p.key", "p.start", "p.length", "p.ids", F.crc32("p.ids").alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset")
