@@ -45,3 +45,11 @@ def test_only_dataframe_functions(spark):
     df = awkward(spark)
     plan = pii.find(df)._jdf.queryExecution().toString() + pii.scanned(df)._jdf.queryExecution().toString() + pii.word_counts(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_contexts_are_followed_to_the_end(spark):
+    hops = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [f"alpha user{i}@mail.org" for i in range(20)] + [f"{a} v{i}-{a}" for a in hops for i in range(4)]
+    texts += [f"{b} v{i}-{a}" for a, b in zip(hops, hops[1:], strict=False) for i in range(4) for _ in range(5)]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all(found[i] == ["email" if i < 20 else "like_email"] for i in range(len(texts)))

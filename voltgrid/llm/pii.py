@@ -13,7 +13,6 @@ from voltgrid.functions.durable import materialize
 WORD = "[^\\x20\\x09-\\x0D]"
 #: Distinct seeds that a context must have held, and the share of all its uses that must hold a known entity.
 SUPPORT, CONFIDENT = 3, 0.8
-ROUNDS = 2
 
 
 class Kind(NamedTuple):
@@ -128,28 +127,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bootstrapped(docs: DataFrame, uses: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def _state(known: DataFrame) -> tuple:
+    return tuple(known.agg(F.count(F.lit(1)), F.sum("kind")).first())
+
+
+def bootstrapped(docs: DataFrame, uses: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """``uses`` (doc_id, key, start, value, left, right, k) of unknown kind (k null) that confident contexts name: with ``k``.
 
     A context is the word before or after. In the graph of contexts and values, a context's confidence for a kind is the
     share of all uses of its word in the corpus that hold a known value; it needs ``support`` different values. Values of
-    confident contexts become known, wherever they occur, and contexts are scored again.
+    confident contexts become known, wherever they occur, and contexts are scored again, until nothing changes: values
+    are only ever added and the number of a value's kind only falls, so this ends.
     """
     sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
     slots = uses.select("value", "k", F.explode(sides).alias("c")).select("value", "k", "c.*").filter("word <> ''")
     wanted = slots.groupBy("word").agg(F.count(F.lit(1)).alias("slots")).filter(F.col("slots") >= support)
     graph = materialize(slots.join(word_counts(docs).join(wanted.select("word"), "word"), "word").groupBy("side", "word", "value", "k").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("held")))
     known = materialize(graph.filter("k IS NOT NULL").groupBy("value").agg(F.min("k").alias("kind")))
-    for _ in range(rounds):
+    mark, last = _state(known), None
+    while mark != last:
         labelled = graph.join(known, "value", "left").withColumn("kind", F.coalesce("k", "kind"))
         scored = labelled.filter("kind IS NOT NULL").groupBy("side", "word", "kind").agg(F.sum("held").alias("hits"), F.count_distinct("value").alias("values"), F.max("n").alias("n"))
         trusted = scored.filter((F.col("values") >= support) & (F.col("hits") / F.col("n") >= confident)).select("side", "word", "kind", (F.col("hits") / F.col("n")).alias("share"))
         news = graph.filter("k IS NULL").join(trusted, ["side", "word"]).groupBy("value").agg(F.max(F.struct("share", -F.col("kind"))).alias("best")).select("value", (-F.col("best.col2")).alias("kind"))
         known = materialize(known.unionByName(news).groupBy("value").agg(F.min("kind").alias("kind")))
+        mark, last = _state(known), mark
     return uses.filter("k IS NULL").drop("k").join(known.withColumnRenamed("kind", "k"), "value")
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans) of every row of ``docs`` (doc_id, text): spans are (kind, start, end) in code points.
 
     Base kinds are matched by their formats in whole texts, leftmost and without overlap per kind; matches that fail a
@@ -160,7 +166,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     uses = rows.select("doc_id", "key", F.explode("tokens").alias("t")).select("doc_id", "key", "t.*")
     core = F.regexp_extract("value", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
     begin = (F.col("start") + F.instr(F.col("value"), core) - 1).cast("int")
-    named = bootstrapped(docs, uses, rounds).filter(F.length(core) > 0).select("doc_id", "key", F.struct(begin.alias("start"), (F.col("k") + len(KINDS)).cast("int").alias("k"), (begin + F.length(core)).alias("end")).alias("s"))
+    named = bootstrapped(docs, uses).filter(F.length(core) > 0).select("doc_id", "key", F.struct(begin.alias("start"), (F.col("k") + len(KINDS)).cast("int").alias("k"), (begin + F.length(core)).alias("end")).alias("s"))
     more = named.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("s").alias("more"))
     joined = rows.join(more, rows["doc_id"].eqNullSafe(more["_id"]) & (rows["key"] == more["_key"]), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
