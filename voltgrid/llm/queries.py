@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltgrid.llm import fingerprints, languages, media, mixing, packing, pii, secrets, sharding, simhash, toxicity
+from voltgrid.llm import collocations, fingerprints, languages, media, mixing, negatives, packing, pii, quality, secrets, sharding, simhash, toxicity
 from voltgrid.llm.tables import documents
 
 
@@ -78,9 +78,24 @@ def op10_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(pii.find(documents(spark, folder)), tuple(k.name for k in pii.KINDS))
 
 
+def op11_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("doc_id", (~quality.learned_from()).alias("held_out"), "score", "predicted")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", label.alias("label"), F.col("embedding").alias("vec"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_simhash_near_dedup, op3_hypergeometric_sharding, op4_packing, op5_language_id, op6_toxicity, op7_source_mixing,
-    op8_media_columns, op9_secret_scan, op10_pii_contexts)}
+    op8_media_columns, op9_secret_scan, op10_pii_contexts, op11_quality_discriminant, op12_collocations, op13_hard_negatives)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 CHECKS = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
@@ -98,4 +113,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, draw,
 rated AS (SELECT r.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
     ((floor(rank * rate + {mixing.offset()!r}) - floor((rank - 1) * rate + {mixing.offset()!r})) * size)::BIGINT AS taken FROM rated""",
+    "op12_collocations": r"""
+WITH pieces AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, p.piece AS body
+    FROM documents, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p(piece)),
+words AS (SELECT lang, piece, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS a FROM words, unnest([1, 2, 3, 4]) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT p.lang, p.g, p.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * p.a) // (x.a::HUGEINT + y.a) AS score
+    FROM grams p, unnest(range(1, len(p.g))) AS c(k) JOIN grams x ON x.lang = p.lang AND x.g = p.g[1:c.k] JOIN grams y ON y.lang = p.lang AND y.g = p.g[c.k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM grams, unnest([2, 3]) AS u(m), unnest(range(1, len(g) - m + 2)) AS v(i) WHERE m < len(g) GROUP BY ALL),
+free AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN sizes USING (lang) QUALIFY rank <= 2000""",
+    "op13_hard_negatives": r"""
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, list_dot_product(a.q, r.q)::BIGINT AS score
+    FROM q a JOIN q r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
 }
