@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltgrid.functions.durable import materialize
+from voltgrid.functions.durable import scratch_path, shuffles_dropped
 
 LENGTH = 2048
 END = 1
-#: Pieces that one group packs, about. Groups are independent; a larger one wastes less at its last bins.
-GROUP = 20_000
-#: Tokens that one group packs, about: 16 MB of ids.
-GROUP_TOKENS = 1 << 22
-#: Words whose ids a task remembers, at most.
-REMEMBERED = 500_000
+#: Remainders that one group packs, about; each has less than LENGTH tokens, so a group has 32 MB of ids at most, about.
+GROUP = 4096
+#: Bytes of words and ids that a worker remembers, about, in each of two generations; of these, what a word costs by itself.
+REMEMBERED, PER_WORD = 40 << 20, 200
+#: Bytes of a row group of written ids: what a task holds while it writes or reads them.
+ROW_GROUP = 16 << 20
+#: Sequences that one piece fills are numbered from here.
+FULL = 1 << 62
 
 
 class WordIds:
@@ -29,14 +33,14 @@ class WordIds:
     The vocabulary's pre-tokenizer drops white space and never joins characters across it, nor letters with anything else,
     and a token that ends such a piece is marked in the vocabulary. So a text's ids are the ids of its words one after
     another, and each distinct word is encoded once: words of letters alone together in one line, cut at the marks, with
-    trailing punctuation by itself. Two generations of words are remembered.
+    trailing punctuation by itself. Two generations of words are remembered, bounded in bytes.
     """
 
     TAIL = b",.;:!?"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.older, self.size = Tokenizer.from_file(path), {}, {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -73,13 +77,14 @@ class WordIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lines = [(t or "").encode() for t in texts]
         lines = [(x if b"<|" in x else x.lower()).split() for x in lines]  # on bytes: lower-cases A-Z, splits at ASCII white space
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
         missing = set().union(*lines).difference(self.known)
         if missing:
             self.known.update((w, self.older[w]) for w in missing if w in self.older)
             if new := missing.difference(self.known):
                 self._encode(new)
+            self.size += sum(map(len, missing)) * 2 + PER_WORD * len(missing)
         return [b"".join(map(self.known.__getitem__, words)) for words in lines]
 
 
@@ -126,6 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                         out.append((doc_id, key, start // 4, len(part) // 4, len(ids) // 4, turned(part, 4) if planes else part))
                 cols = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        words.older = {}
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, start long, length long, doc_tokens long, ids binary")
 
@@ -159,14 +165,13 @@ PARTS = ("doc_id", "key", "start", "length", "doc_tokens", "offset")
 def pack(parts: DataFrame, length: int = LENGTH, seed: int = 4, group: int = GROUP) -> DataFrame:
     """(sequence_id, tokens, ids, parts) of pieces: first-fit decreasing inside random groups of about ``group`` pieces.
 
-    A group is drawn from the document's hash, so one source or one length never fills a group by itself, and groups
-    stay of bounded size at any input; long pieces make smaller groups, of about ``GROUP_TOKENS`` tokens. Group g numbers
-    its sequences g * 2^32, g * 2^32 + 1, ... Every row of ``parts`` has its own place, also where documents are
-    repeated. The ids of ``parts`` are in planes. Parts name the pieces of a sequence in order of offset. An empty table gives an empty table.
+    Groups are drawn row by row, so that no source, length or repeated document fills one, and are of bounded size at any
+    input. Group g numbers its sequences g * 2^32, g * 2^32 + 1, ... Every row of ``parts`` has its own place, also where
+    documents are repeated; pieces of equal length are taken in order of doc_id, key and start. The ids of ``parts`` are
+    in planes. Parts name the pieces of a sequence in order of offset. An empty table gives an empty table.
     """
-    total, tokens = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    groups = max(1, math.ceil(total / group), math.ceil(tokens / GROUP_TOKENS))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(groups)))
+    groups = max(1, math.ceil(parts.count() / group))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     named = pa.struct([(n, pa.int64()) for n in PARTS])
     schema = pa.schema([("sequence_id", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary()), ("parts", pa.list_(named))])
 
@@ -192,15 +197,70 @@ def pack(parts: DataFrame, length: int = LENGTH, seed: int = 4, group: int = GRO
     return dealt.groupBy("_group").applyInArrow(fit, f"sequence_id long, tokens long, ids binary, parts array<struct<{struct}>>")
 
 
+@contextmanager
+def two_writers(spark: SparkSession) -> Iterator[None]:
+    """Tasks that write two folders keep two files open instead of sorting wide rows."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _write(df: DataFrame, *by: str) -> DataFrame:
+    """Write rows with ids and read them back: beside the checkpoints, in small row groups."""
+    path = scratch_path(df.sparkSession, "ids")
+    with shuffles_dropped(df.sparkSession), two_writers(df.sparkSession):
+        df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _unturned(full: DataFrame, ids: bool) -> DataFrame:
+    """Full pieces with their ids in order of place (if ``ids``) and the digest of these, from written planes."""
+    named = [f for f in full.schema if f.name != "ids"]
+    kept = [f.name for f in named]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = [turned(v, len(v) // 4) for v in b.column("ids").to_pylist()]
+            cols = [*(b.column(c) for c in kept), pa.array(map(zlib.crc32, plain), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(plain, pa.binary())] if ids else cols, names=[*kept, "ids_crc32", *["ids"] * ids])
+
+    return full.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named) + ", ids_crc32 long" + ", ids binary" * ids)
+
+
+def stored(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The written sequences: pieces that fill one each (with ids in planes), and remainders packed together.
+
+    A piece of ``length`` tokens gets its sequence where it is cut and is written once; only remainders, fewer than
+    documents, are shuffled into groups.
+    """
+    cut = pieces(docs, tokenizer, length, planes=True).withColumn("full", F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(FULL))
+    table = _write(cut, "full")
+    return table.filter("full").drop("full"), _write(pack(table.filter("NOT full").drop("full", "sequence_id"), length, seed))
+
+
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
-    """(sequence_id, tokens, ids, parts): the packed sequences, written; at most ``length`` ids each, not padded."""
-    return materialize(pack(materialize(pieces(docs, tokenizer, length, planes=True)), length, seed))
+    """(sequence_id, tokens, ids, parts): the packed sequences; at most ``length`` ids each, not padded."""
+    full, shared = stored(docs, tokenizer, length, seed)
+    part = F.struct(*[F.lit(0).cast("long").alias(n) if n == "offset" else F.col(n) for n in PARTS])
+    return _unturned(full, True).select("sequence_id", F.col("length").alias("tokens"), "ids", F.array(part).alias("parts")).unionByName(shared)
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4) -> DataFrame:
-    """Pieces of ``docs`` read from the written sequences: (doc_id, key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset)."""
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, seed: int = 4, ids: bool = True) -> DataFrame:
+    """Pieces of ``docs`` read from the written sequences: (doc_id, key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset).
+
+    A null or empty text is the end token alone, a long one many full pieces and a remainder; repeated rows have places
+    of their own, an empty table gives an empty table, and other columns are ignored. Without ``ids`` that column is left out.
+    """
+    full, shared = stored(docs, tokenizer, length, seed)
+
     def cut(p: Column) -> Column:
-        ids = F.substring(F.col("ids"), (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
-        return F.struct(*[p[n].alias(n) for n in PARTS], ids.alias("ids"))
-    parts = sequences(docs, tokenizer, length, seed).select("sequence_id", F.explode(F.transform("parts", cut)).alias("p"))
-    return parts.select("p.doc_id", "p.key", "p.start", "p.length", "p.ids", F.crc32("p.ids").alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset")
+        some = F.substring(F.col("ids"), (4 * p["offset"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+        return F.struct(*[p[n].alias(n) for n in PARTS], some.alias("ids"))
+
+    names = ["doc_id", "key", "start", "length", *["ids"] * ids, "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    parts = shared.select("sequence_id", F.explode(F.transform("parts", cut)).alias("p")).select("sequence_id", "p.*").withColumn("ids_crc32", F.crc32("ids"))
+    return _unturned(full, ids).withColumn("offset", F.lit(0).cast("long")).select(*names).unionByName(parts.select(*names))
