@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from tests.llm.helpers import SCHEMA, awkward, empty, row
 from voltgrid.llm import pii
 
@@ -43,7 +45,7 @@ def test_contexts_find_unseen_identifiers(spark):
 
 def test_only_dataframe_functions(spark):
     df = awkward(spark)
-    plan = pii.find(df)._jdf.queryExecution().toString() + pii.scanned(df)._jdf.queryExecution().toString() + pii.word_counts(df)._jdf.queryExecution().toString()
+    plan = pii.find(df)._jdf.queryExecution().toString() + pii.scanned(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -53,3 +55,71 @@ def test_contexts_are_followed_to_the_end(spark):
     texts += [f"{b} v{i}-{a}" for a, b in zip(hops, hops[1:], strict=False) for i in range(4) for _ in range(5)]
     found = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert all(found[i] == ["email" if i < 20 else "like_email"] for i in range(len(texts)))
+
+
+def planted(n=400):
+    """Documents with identifiers of known form, of unseen form, and numbers that are none; and the unseen ones."""
+    rng = np.random.default_rng(4)
+    filler = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    prose = lambda k: " ".join(rng.choice(filler, k))
+    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    rows, hidden = [], []
+
+    def add(lead, value, tail, kind=None):
+        head = f"{prose(int(rng.integers(1, 9)))} {lead} "
+        if kind:
+            hidden.append((len(rows), kind, len(head), len(head) + len(value)))
+        rows.append(row(len(rows), f"{head}{value}{tail} {prose(4)}"))
+
+    for i in range(n):
+        add("contact me at", f"user{i}@mail{i % 9}.org", ",")
+        add("please call", f"+1 ({num(3)}) 555-{num(4)}", " today")
+        add("logged in from", f"{rng.integers(1, 255)}.{rng.integers(0, 255)}.{rng.integers(0, 255)}.{rng.integers(1, 255)}", "")
+        add("room", num(3), " of the house")
+        add("version", f"{num(1)}.{num(2)}", " of")
+        add("token", num(10) + "abcdef", "")
+        if i % 10 == 0:
+            add("contact me at", f"user{i}(at)mail{i % 9}(dot)org", ",", "like_email")
+            add("please call", f"({num(3)}) 555 {num(4)}", " today", "like_phone")
+            add("logged in from", f"{rng.integers(300, 900)}.{num(2)}.{num(3)}.{num(2)}", "", "like_ip")
+            add("note", f"+1 ({num(3)}) 555-{num(4)} 10.0.{i % 200}.1", "", "like_phone")
+            hidden[-1] = (*hidden[-1][:3], hidden[-1][2] + 17)
+    return rows, hidden
+
+
+def test_recall_and_precision_of_unseen_identifiers(spark):
+    rows, hidden = planted()
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect() for s in r.spans if s.kind.startswith("like_")}
+    want = set(hidden)
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+    assert all(b - a >= 5 for _, _, a, b in got)
+
+
+def test_pattern_scores_match_a_plain_version(spark):
+    rows, _ = planted(40)
+    items = [(r.doc_id, i) for r in pii.scanned(spark.createDataFrame(rows, SCHEMA)).collect() for i in r["items"]]
+    with_patterns = spark.createDataFrame([(d, tuple(i)) for d, i in items], "doc_id long, item struct<start: int, value: string, left: string, right: string, k: int>")
+    uses = [(r.doc_id, r.item, {tuple(p) for p in r.p}) for r in with_patterns.select("doc_id", "item", pii.patterns(pii.F.col("item")).alias("p")).collect()]
+    known = {}
+    for _, i, _ in uses:
+        if i.k is not None:
+            known[i.value] = min(i.k, known.get(i.value, 9))
+    while True:
+        news = {}
+        for p in {p for _, i, ps in uses if i.k is None for p in ps}:
+            here = [i for _, i, ps in uses if p in ps]
+            for kind in range(4):
+                hits = [i for i in here if (i.k if i.k is not None else known.get(i.value)) == kind]
+                if len({i.value for i in hits}) >= 3 and len(hits) >= 0.8 * len(here):
+                    for i in here:
+                        if i.k is None and len(i.value) >= pii.KINDS[kind].least:
+                            news[i.value] = max(news.get(i.value, (0, 0)), (len(hits) / len(here), -kind))
+        then = dict(known)
+        for v, (_, kind) in news.items():
+            then[v] = min(-kind, known.get(v, 9))
+        if then == known:
+            break
+        known = then
+    want = sorted((d, i.start, known[i.value]) for d, i, _ in uses if i.k is None and i.value in known)
+    out = pii.bootstrapped(with_patterns.select("doc_id", "item", "item.k")).collect()
+    assert want and sorted((r.doc_id, r["item"].start, r.k) for r in out) == want
