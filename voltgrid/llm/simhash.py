@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,23 +17,35 @@ from voltgrid.llm.tables import components, per_row
 
 SEED = 42
 PACK = 4096
+#: Hashes whose bits are counted at once.
+BLOCK = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of the word shingles of a whole text, as a signed 64-bit number; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """Hashes of the word shingles of a whole text: fewer words give the whole sequence, no words give none."""
     words = (text or "").encode().lower().split()  # on bytes: lower-cases A-Z only, splits at ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        view, n = memoryview(line), len(words) - shingle + 1
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:n - 1])).tolist()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    view, n = memoryview(line), len(words) - shingle + 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:n - 1])).tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits that more than half of the hashes set, as bytes; 0 without hashes. Hashes are counted in blocks."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[i:i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of the word shingles of a whole text, as a signed 64-bit number; 0 for a text without words."""
+    return int(majority(shingle_hashes(text, shingle)).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -126,7 +139,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: in
     """(doc_id, key, fp, root, component_id) for every row of ``docs`` (doc_id, text).
 
     Root is the smallest fingerprint of the component and names it. Rows link when their fingerprints differ in at most ``bits`` bits; component_id is the smallest doc_id that can be
-    reached, the row's own included. Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay
+    reached, the row's own included. Null and empty texts have fingerprint 0 and link like any other;
+    hashes of a very long text are counted in blocks. Repeated rows stay
     repeated rows of one component; a null doc_id is never the smallest unless the component has no other. An empty
     table gives an empty table; other columns are ignored.
     """
@@ -139,16 +153,147 @@ def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: in
     return rows.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: int = 4) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each component, the row with the smallest doc_id stays.
+#: Shingles and their least similarity (Jaccard) of near copies; 64-bit words of a long fingerprint.
+WORDS, SIMILAR, LANES = 5, 0.8, 4
+#: Share of pairs at the least similarity that the blocks bring together, and standard deviations of room for the Hamming test.
+RECALL, ROOM = 0.95, 2.0
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def long_fingerprint(text: str | None, shingle: int = WORDS, lanes: int = LANES) -> bytes:
+    """SimHash of ``64 * lanes`` bits over the distinct shingles: each lane takes the hashes through a mixing of its own."""
+    hashes, out = np.unique(shingle_hashes(text, shingle)), []
+    for m in _MULTIPLIERS[:lanes]:
+        x = (hashes ^ (hashes >> np.uint64(31))) * m
+        out.append(majority((x ^ (x >> np.uint64(29))) * m).tobytes())
+    return b"".join(out)
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two fingerprints: their angle over pi, the cosine from the Jaccard similarity of sets of one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def block_plan(count: int, similarity: float, recall: float, bits: int) -> list[np.ndarray]:
+    """Bit positions of each block: wide enough that ``count`` random fingerprints rarely share one, and so many that a
+    pair at ``similarity`` shares one with probability ``recall``."""
+    width = max(20, math.ceil(math.log2(max(1, count))) + 2)
+    number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(bits, width, replace=False) for _ in range(number)]
+
+
+def _least_forest(left: np.ndarray, right: np.ndarray | None, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of row numbers: a spanning forest of least Hamming distances among links of at most ``most`` bits (Prim).
+
+    Between ``left`` and ``right``, or inside ``left``. Inside up to eight rows, all links.
+    """
+    nodes = left if right is None else np.concatenate((left, right))
+    n = len(nodes)
+    if right is None and n <= 8:
+        far = np.bitwise_count(nodes[:, None] ^ nodes[None]).sum(axis=2)
+        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(far <= most, 1))), strict=True)
+        return
+    side = np.arange(n) >= len(left)
+    best, link, open_ = np.full(n, most + 1), np.full(n, -1), np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.where(open_, best, 1 << 30).argmin())
+        if link[i] >= 0 and best[i] <= most:
+            yield int(link[i]), i
+        open_[i] = False
+        far = np.bitwise_count(nodes ^ nodes[i]).sum(axis=1, dtype=np.int64)
+        nearer = open_ & (far < best) if right is None else open_ & (far < best) & (side != side[i])
+        best[nearer], link[nearer] = far[nearer], i
+
+
+def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    """Links (a, b) between rows (key long, fp binary) that share a block and lie within the Hamming distance of ``similarity``.
+
+    As for 64 bits, buckets are cut into packs that meet pairwise, and a kernel returns forests, one row per member at
+    most. The forest is of least distances, so that links kept by a finer test still connect what it connects.
+    """
+    bits = 8 * len(prints.select("fp").head()[0]) if prints.head(1) else 64
+    share = differing(similarity)
+    plan, most = block_plan(prints.count(), similarity, recall, bits), math.floor(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            for j, positions in enumerate(plan):
+                v = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), b.column("key"), b.column("fp")], names=["j", "v", "key", "fp"])
+
+    keyed = prints.select("key", "fp").mapInArrow(blocks, "j int, v long, key long, fp binary")
+    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = F.collect_list(F.struct("key", "fp"))
+    packs = (keyed.join(full, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
+             .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
+             .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
+    alone = packs.filter("packs = 1").select(F.array("one").alias("sides"))
+    pairs = (packs.filter("packs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+             .groupBy("j", "v", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi")).agg(F.collect_list("one").alias("sides")).select("sides"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for sides in batch.column("sides"):
+                members = [s.values for s in sides.values]
+                keys = np.concatenate([m.field("key").to_numpy() for m in members]).tolist()
+                lines = [np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint64).reshape(len(m), -1) for m in members]
+                out.extend((keys[x], keys[y]) for x, y in _least_forest(lines[0], lines[1] if len(lines) > 1 else None, most))
+            edges = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
+
+    return alone.unionByName(pairs).mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
+    """Links (a, b) whose texts (key, text) have shingle sets of at least ``similarity``, compared in full."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                u, v = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (texts.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
+    """(doc_id, key, root) for every row of ``docs`` (doc_id, text): rows with one root are near copies of each other.
+
+    Texts link at a Jaccard similarity of their word shingles of ``similarity`` or more, tested on the whole texts of the
+    pairs that blocks of long fingerprints bring together; a root names what links connect, equal texts always included.
+    Texts without words are one group. Key is a hash of the text.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = materialize(per_row(keyed, "doc_id key text", "doc_id long, key long, fp binary", lambda i, k, t: (i, k, long_fingerprint(t, shingle))))
+    prints = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp")))
+    edges = materialize(candidate_links(prints, similarity))
+    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    texts = materialize(keyed.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    roots = components(verified(edges, texts, similarity, shingle))
+    return rows.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
+    """Rows of ``docs`` without near copies: of each group of ``near_copies``, the row with the smallest doc_id stays.
 
     Among rows with that doc_id the one with the smallest text hash stays, and a row that is repeated stays once. Rows
-    without a doc_id stay only where their component has no other. Components are told apart by their root and not by a
-    doc_id, which may be null or repeated. All columns of ``docs`` are returned.
+    without a doc_id stay only where their group has no other. Groups are told apart by their root and not by a doc_id,
+    which may be null or repeated. A very long text is compared as any other; an empty table gives an empty table. All
+    columns of ``docs`` are returned, whatever their names.
     """
-    found = near_duplicates(docs, bits, blocks, shingle)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c")).select(
-        F.col("c.doc_id").alias("_keep_id"), F.col("c.key").alias("_keep_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_keep_id"]) & (keyed["_key"] == chosen["_keep_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    found = near_copies(docs, similarity, shingle)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("c")).select("c.doc_id", "c.key")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    kept = keyed.join(chosen, keyed["_id"].eqNullSafe(chosen["doc_id"]) & (keyed["_key"] == chosen["key"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_key"]).select("_row.*")
