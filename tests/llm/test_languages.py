@@ -50,3 +50,10 @@ def test_held_out_accuracy(spark):
         assert out.agg(F.avg("ok")).first()[0] > 0.97
         kept = languages.known_language(docs)
         assert kept.columns == docs.columns and kept.count() > 0.95 * docs.count()
+
+
+def test_signs_that_are_no_letters(spark):
+    names, probabilities = model(spark)
+    texts = ["² ³ 12", "½", "\u2167 \u2168", "①②", "x²"]
+    out = languages.detect(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), names, probabilities).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" and r.score == 0.0 for r in out] == [True, True, True, True, False]

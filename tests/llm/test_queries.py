@@ -9,13 +9,14 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.llm import test_secrets
 from tests.llm.helpers import SF, given
 from tests.llm.test_mixing import filled
 from tests.llm.test_packing import whole_ids
-from tests.llm.test_simhash import brute
+from tests.llm.test_simhash import similar_groups
 from tools.check import canon
 from voltgrid.llm import languages, mixing, secrets
 from voltgrid.llm.queries import CHECKS, QUERIES
@@ -68,7 +69,7 @@ def languages_kept(docs):
             sums[d.lang] = sums[d.lang] + languages.counts([d.text])[0]
     table = np.stack([sums[n] for n in sorted(sums)], axis=1)
     model = (table + 0.5) / (table.sum(axis=0) + 0.5 * languages.BUCKETS)
-    return [d for d in docs if d.text and languages.LETTER.search(d.text) and languages.mixtures(languages.counts([d.text]), model)[0].max() >= 0.5]
+    return [d for d in docs if d.text and languages.has_letter(d.text) and languages.mixtures(languages.counts([d.text]), model)[0].max() >= 0.5]
 
 
 def redacted(text):
@@ -82,7 +83,7 @@ def redacted(text):
 
 def test_pipeline_matches_plain_python(spark):
     docs = languages_kept(spark.read.parquet(f"{SF}/documents.parquet").collect())
-    first = {c for _, _, c in brute([(d.doc_id, d.text) for d in docs])}
+    first = {i for i, _ in similar_groups([(d.doc_id, d.text) for d in docs])}
     rows = [(d.doc_id, d.source, redacted(d.text)) for d in docs if d.doc_id in first]
     sizes, order = defaultdict(int), defaultdict(list)
     for i, s, t in rows:
@@ -112,3 +113,17 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_keep_what_callers_hold(spark):
+    """Null ids, repeated rows and columns with the operators' own names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = docs.unionByName(docs.limit(20)).unionByName(docs.limit(15).withColumn("doc_id", F.lit(None).cast("long")))
+    mine = odd.withColumns({c: F.lit("mine") for c in ("_key", "_clean", "_row", "_c", "clean", "row", "key", "copies", "rank")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, mine, SF)
+        assert out.columns == mine.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in ("_key", "_clean", "_row", "_c", "clean", "row", "key", "copies", "rank")), name
+        if name == "secret_scan":
+            assert len(rows) == mine.count()

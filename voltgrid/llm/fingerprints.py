@@ -78,8 +78,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The next document follows in descending doc_id (then text hash; null ids last); after the last comes the first, which
     in a table of one row is itself. Documents are range-partitioned by that order; each task streams through its
     sorted rows and keeps one row behind. What crosses a border is the first and last row of each partition: they are
-    written beside the results and joined up in one small table with two rows per partition. Null texts count as empty;
-    repeated rows follow each other; other columns are ignored; an empty table gives an empty table.
+    written beside the results and meet in a join on the partition. Null texts count as empty; very long texts are taken
+    whole; repeated rows follow each other, ties in doc_id go by text hash; other columns are ignored; an empty table gives an empty table.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("key"))
@@ -111,9 +111,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     made = materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, schema))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     ends = made.filter("side IS NOT NULL").select("doc_id", "part", "side", "text", "fingerprint")
-    around = Window.partitionBy(F.lit(0)).orderBy("part", "side")
-    whole = Window.partitionBy(F.lit(0)).orderBy("part", "side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = ends.withColumns({c: F.coalesce(F.lead(v).over(around), F.first(v).over(whole)) for c, v in (("next_text", "text"), ("next_print", "fingerprint"))}).filter("side = 1")
+    heads = ends.filter("side = 0").select(F.col("part").alias("_next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
+    by_part, everything = Window.partitionBy(F.lit(0)).orderBy("part"), Window.partitionBy(F.lit(0))
+    # Numbers of the parts alone are put in order in one place; the texts meet on them in a join.
+    chain = made.filter("side = 0").select("part").withColumn("_next", F.coalesce(F.lead("part").over(by_part), F.min("part").over(everything)))
+    following = ends.filter("side = 1").join(chain, "part").join(heads, "_next")
     joined = per_row(following, "doc_id text fingerprint next_text next_print", RESULT,
                      lambda i, t, own, nt, nf: (i, len(t), *(lambda c: (c[0], own, c[1], c[2], c[3]))(compare(t, own, nt, nf))))
     return made.filter("side IS NULL").select(*names).unionByName(joined)

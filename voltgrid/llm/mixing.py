@@ -63,13 +63,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, each as often as the mix takes it. Repeated rows pool their copies."""
-    taken = mix(docs, weights, share, most, seed).groupBy("doc_id", "key", "source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("source").alias("_s"), "_copies", "_rows").filter("_copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_key"] == taken["_k"]) & keyed["source"].eqNullSafe(taken["_s"])
-    one = Window.partitionBy("doc_id", "_key", "source").orderBy("doc_id")
-    joined = keyed.join(taken, on)
-    alike = joined.withColumn("_n", F.row_number().over(one))
-    share_of = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return alike.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter(F.col("_c") <= share_of).select(*docs.columns)
+    """The mixed corpus: rows of ``docs``, each as often as the mix takes it. Repeated rows pool their copies, dealt evenly.
+
+    Rows without id or text are rows like others; only repeated rows are numbered, in slices, so that a row repeated very
+    often is no single task. Columns keep their values whatever their names; an empty table gives an empty table."""
+    taken = mix(docs, weights, share, most, seed).groupBy("doc_id", "key", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("source").alias("_source"))
+    joined = keyed.join(taken, keyed["_id"].eqNullSafe(taken["doc_id"]) & (keyed["_key"] == taken["key"]) & keyed["_source"].eqNullSafe(taken["source"]))
+    single = joined.filter("rows = 1").withColumn("_n", F.lit(1).cast("long"))
+    alike = row_numbers(joined.filter("rows > 1").withColumn("_place", F.monotonically_increasing_id()), ["_id", "_key", "_source"], ["_place"], "_n").drop("_place")
+    share_of = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_n") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return single.unionByName(alike).withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter(F.col("_c") <= share_of).select("_row.*")

@@ -42,7 +42,7 @@ def op3_hypergeometric_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    done = packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    done = packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), ids=False)
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -227,7 +227,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] | Non
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by ``<kind>`` and n_chars counted again. Overlapping spans fall together under the
-    first kind; rows without secrets stay as they are."""
+    first kind; rows without secrets stay as they are, null and empty texts and repeated rows among them. Very long texts are
+    scanned whole, other columns keep their values whatever their names, an empty table gives an empty table."""
     held: list[Scanner] = []
 
     def clean(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -243,6 +244,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             held.append(Scanner(rules))
         return [[clean(t, s) for t, s in zip(texts, held[0].scan(texts), strict=True)]]
 
-    changed = append(docs, docs.columns, "_clean string", fn)
-    columns = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("text").eqNullSafe(F.col("_clean")), F.col("n_chars")).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return changed.withColumns(columns).select(*docs.columns)
+    changed = append(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"], "clean string", fn)
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    new = {"text": F.col("clean")}
+    if "n_chars" in old:
+        new["n_chars"] = F.when(old["text"].eqNullSafe(F.col("clean")), old["n_chars"]).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[c.alias(name) for name, c in (old | new).items()])

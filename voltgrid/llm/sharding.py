@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voltgrid.functions.durable import materialize
 
 #: Rows that one local permutation holds, about; the matrix has rows / BLOCK lines.
-BLOCK = 1_000_000
+BLOCK = 100_000
 LEAST_PARTS = 64
 
 
@@ -61,8 +61,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20, block: int = BLOCK)
     hash. A first narrow pass counts them, the communication matrix is drawn (one line of ``shards`` numbers for about
     ``block`` rows), each partition permutes its rows by a second hash and cuts them at its matrix line; after the
     exchange each shard permutes again by a third hash, in cells of about ``block`` rows whose offsets are prefix sums.
-    Draws depend on doc_id, text and seed only, so a lost executor's partitions come out the same. Rows alike in both
-    are interchangeable. An empty table gives an empty table; columns named ``shard`` or ``slot`` are replaced.
+    Draws depend on doc_id, text and seed only, so a lost executor's partitions come out the same. Rows alike in both,
+    null ids and null texts among them, are interchangeable and stay in one partition. Long texts are moved, never read. An empty table gives an empty table; columns named ``shard`` or ``slot`` are replaced.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     row = [F.col("doc_id"), F.col("text")]

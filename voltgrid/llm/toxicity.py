@@ -215,8 +215,9 @@ ADDED = "score double, hits array<struct<term: string, weight: double>>"
 def detect(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``, all by default) with ``score`` and ``hits`` of each whole text.
 
-    Only the text decides. Null and empty texts score 0; columns named like the new ones are replaced; an empty table
-    gives an empty table.
+    Only the text decides. Null and empty texts score 0; very long texts are scanned whole; repeated rows have equal
+    scores, and of equal hits the first counts; columns named like the new ones are replaced; an empty table gives an
+    empty table.
     """
     held: list[Scorer] = []
 
