@@ -78,3 +78,12 @@ def test_digests_come_from_written_ids(spark):
     out, cut = packing.packed(df.unionByName(df), PATH), packing.pieces(df, PATH).collect()
     assert sorted((repr(r.doc_id), r.key, r.start, bytes(r.ids), zlib.crc32(r.ids)) for r in out.collect()) == sorted((repr(r.doc_id), r.key, r.start, bytes(r.ids), zlib.crc32(r.ids)) for r in cut for _ in range(2))
     assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in out.collect())
+
+
+def test_merged_words_encode_like_the_tokenizer():
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz") + ["é", "ß", "ñ", "ж", "ω", "a", "e", "t", "h"]
+    words = ["a", "aa", "aaa", "aaaa", "aaaaa", "aaaaaaaaa", "zzzzzz", "thththth", *("".join(rng.choice(letters, int(rng.integers(1, 25)))) for _ in range(3000))]
+    got, tokenizer = packing.WordIds(PATH).merges.encode([w.encode() for w in words]), Tokenizer.from_file(PATH)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert packing.WordIds(PATH).merges.encode([]) == []

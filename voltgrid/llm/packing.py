@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,20 +22,89 @@ END = 1
 #: Remainders that one group packs, about; each has less than LENGTH tokens, so a group has 32 MB of ids at most, about.
 GROUP = 4096
 #: Bytes of words and ids that a worker remembers, about, in each of two generations; of these, what a word costs by itself.
-REMEMBERED, PER_WORD = 40 << 20, 200
+REMEMBERED, PER_WORD = 80 << 20, 200
 #: Bytes of a row group of written ids: what a task holds while it writes or reads them.
 ROW_GROUP = 16 << 20
 #: Sequences that one piece fills are numbered from here.
 FULL = 1 << 62
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word takes its pair of lowest rank, wherever it stands.
+
+    Only for words that the vocabulary's pre-tokenizer leaves whole and its normalizer unchanged.
+    """
+
+    BITS = 20
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, model: dict) -> None:
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.inner, self.last = (np.array([vocab.get(names[b] + e, -1) for b in range(256)], np.int64) for e in ("", end))
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        slots, first = np.unique(self._slot(keys), return_index=True)
+        self.keys, self.ranks = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, self.NONE)
+        self.keys[slots], self.ranks[slots] = keys[first], first
+        rest = np.setdiff1d(np.arange(len(keys)), first)  # pairs whose slot another pair holds
+        order = np.argsort(keys[rest])
+        self.more_keys, self.more_ranks = keys[rest][order], rest[order]
+        self.shared = np.zeros(1 << self.BITS, bool)
+        self.shared[self._slot(self.more_keys)] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = np.where(self.keys[at] == keys, self.ranks[at], self.NONE)
+        again = np.flatnonzero(self.shared[at] & (found == self.NONE))
+        if len(again):
+            k = np.minimum(np.searchsorted(self.more_keys, keys[again]), len(self.more_keys) - 1)
+            found[again] = np.where(self.more_keys[k] == keys[again], self.more_ranks[k], self.NONE)
+        return found
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian unsigned 32-bit."""
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes) - 1
+        ids, word = self.inner[flat], np.repeat(np.arange(len(words)), sizes)
+        ids[ends] = self.last[flat[ends]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            rank = np.full(len(ids), self.NONE)
+            pair = np.flatnonzero(word[1:] == word[:-1])
+            rank[pair] = self.rank(ids[pair] << 20 | ids[pair + 1])
+            best = np.minimum.reduceat(rank, starts)
+            lowest = np.repeat(best, np.diff(np.append(starts, len(ids))))
+            over = lowest == self.NONE
+            if over.any():
+                done.append((word[over], ids[over]))
+            hit = np.flatnonzero((rank == lowest) & ~over)
+            if len(hit):  # of hits in a row, as in "aaa", every second one
+                run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+                ids[hit] = self.made[rank[hit]]
+                over[hit + 1] = True
+            ids, word = ids[~over], word[~over]
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64),) * 2
+        order = np.argsort(word, kind="stable")
+        raw, edges = ids[order].astype("<u4").tobytes(), (4 * np.append(np.flatnonzero(np.diff(word[order], prepend=-1)), len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer drops white space and never joins characters across it, nor letters with anything else,
     and a token that ends such a piece is marked in the vocabulary. So a text's ids are the ids of its words one after
-    another, and each distinct word is encoded once: words of letters alone together in one line, cut at the marks, with
-    trailing punctuation by itself. Two generations of words are remembered, bounded in bytes.
+    another, and each distinct word is encoded once: words of letters alone by merging many at a time (or together in one
+    line, cut at the marks), with trailing punctuation by itself. Two generations of words are remembered, bounded in bytes.
     """
 
     TAIL = b",.;:!?"
@@ -41,6 +112,7 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.older, self.size = Tokenizer.from_file(path), {}, {}, 0
+        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -61,6 +133,15 @@ class WordIds:
         for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters alone: those in lower case and composed form of the older alphabets are merged at once."""
+        plain, other = [], []
+        for w in words:
+            u = w.decode()
+            (plain if w.isascii() or max(u) < "\u0530" and u == u.lower() and unicodedata.is_normalized("NFC", u) else other).append(w)
+        self.known.update(zip(plain, self.merges.encode(plain), strict=True))
+        self._line(other)
+
     def _encode(self, words: set[bytes]) -> None:
         plain, odd, tailed = [], [], []
         for w in words:
@@ -70,7 +151,7 @@ class WordIds:
                 tailed.append((w, core, w[len(core):]))
             else:
                 odd.append(w)
-        self._line(list({*plain, *(c for _, c, _ in tailed if c not in self.known)}))
+        self._letters(list({*plain, *(c for _, c, _ in tailed if c not in self.known)}))
         self._each(list({*odd, *(t for _, _, t in tailed if t not in self.known)}))
         self.known.update((w, self.known[c] + self.known[t]) for w, c, t in tailed)
 
@@ -104,7 +185,7 @@ def turned(raw: bytes, width: int) -> bytes:
 
 
 #: Texts whose words are looked up together.
-TOGETHER = 64
+TOGETHER = 128
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, planes: bool = False) -> DataFrame:
