@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("demand", "grids", "features", "trajectories", "events", "runs", "models", "sources", "synthesis")
+AREAS = ("demand", "grids", "boundaries", "features", "trajectories", "events", "runs", "models", "sources", "synthesis")
 
 
 def load() -> None:

@@ -256,9 +256,9 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src20_station_xml", """SELECT CAST(edge_no AS VARCHAR) AS station_id, round(42.217 + (y0 + 3 * s) / 111320, 6) AS lat, round(-83.8084 + (x0 + s * (4 + (0.8 * length_m - 5 * s) / s)) / 82000, 6) AS lon, 50e0 AS power_kw FROM v_shape WHERE edge_no % 4 = 0""")
+@query("src20_station_xml", """SELECT CAST(edge_no AS VARCHAR) AS station_id, round(42.217 + (y0 + 3 * s) / 111320, 6) AS lat, round(-83.8084 + (x0 + s * (4 + (0.8 * length_m - 5 * s) / s)) / 82000, 6) AS lon, 50e0 AS power_kw FROM v_shape""")
 def _(t):
     e = edges(t)
-    s = e.filter("edge_no % 4 = 0").select(F.col("edge_no").cast("string").alias("_id"), F.concat("edge_id", F.lit("_0")).alias("_lane"), (F.col("length_m") * 0.8).alias("_startPos"), F.lit(50000.0).alias("_power"))
+    s = e.select(F.col("edge_no").cast("string").alias("_id"), F.concat("edge_id", F.lit("_0")).alias("_lane"), (F.col("length_m") * 0.8).alias("_startPos"), F.lit(50000.0).alias("_power"))
     path = _write_xml(s, scratch_path(t.spark, "sites"), "chargingStation", "additional")
     return sx.station_sites(t.spark, path, e).select("station_id", *r6("lat", "lon"), "power_kw")

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _RAW = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
         "labels conversations").split()
 
+# Corners (x, y) of a boundary's outer ring and of its hole, in shares of its radius.
+_BOUNDARY = (((1.0, 0.05), (0.55, 0.4), (0.6, 0.9), (0.1, 0.6), (-0.4, 1.0), (-0.5, 0.3), (-1.0, 0.1), (-0.6, -0.5), (-0.2, -1.0), (0.45, -0.55)),
+             ((0.2, 0.1), (0.05, 0.3), (-0.2, 0.05), (0.0, -0.25)))
+
 FX: dict[str, tuple[str, dict[str, str], str | None]] = {
     "fx_stations": ("supplier", {
         "station_id": "CAST(s_suppkey AS STRING)",
@@ -54,7 +58,7 @@ FX: dict[str, tuple[str, dict[str, str], str | None]] = {
         "vehicle_id": "CAST(l_orderkey AS STRING)", "total_energy_charged": "l_extendedprice / 100e0",
         "charging_begin": "CAST(l_partkey * 13 % 3600 AS DOUBLE)",
         "charging_end": "CAST(l_partkey * 13 % 3600 AS DOUBLE) + l_quantity * 10e0",
-    }, "l_returnflag = 'R'"),
+    }, None),
     "fx_summary": ("orders", {
         "episode": "CAST(o_custkey % 20 AS INT)", "time": "CAST(o_orderkey AS DOUBLE)",
         "loaded": "CAST(o_orderkey % 97 + 3 AS INT)", "running": "CAST(o_orderkey % 40 AS INT)",
@@ -105,6 +109,20 @@ FX: dict[str, tuple[str, dict[str, str], str | None]] = {
         "lat1": "42.217e0 + CAST(p_partkey * 41 % 1309 AS DOUBLE) / 10000e0 + CAST(p_size AS DOUBLE) / 20000e0",
         "lon1": "-83.8084e0 + CAST(p_partkey * 67 % 1337 AS DOUBLE) / 10000e0 + CAST(p_size % 7 AS DOUBLE) / 9000e0",
     }, None),
+    # One boundary per supplier: an outer ring that is not convex (ring 0) and a hole (ring 1), corner by corner.
+    "fx_ring_corners": ("supplier CROSS JOIN (VALUES " + ", ".join(
+        f"({ring}, {pos}, {x}e0, {y}e0)" for ring, corners in enumerate(_BOUNDARY) for pos, (x, y) in enumerate(corners)) + ") AS c(ring, pos, ux, uy)", {
+        "area_id": "CAST(s_suppkey AS STRING)", "ring": "ring", "pos": "pos",
+        "lat": "42.2e0 + CAST(s_suppkey * 37 % 400 AS DOUBLE) / 1000e0 + uy * (0.01e0 + CAST(s_suppkey % 5 AS DOUBLE) * 0.004e0)",
+        "lon": "-83.8e0 + CAST(s_suppkey * 53 % 900 AS DOUBLE) / 1000e0 + 1.35e0 * ux * (0.01e0 + CAST(s_suppkey % 5 AS DOUBLE) * 0.004e0)",
+    }, None),
+    # Land cover of these boundaries: a small triangle per line item.
+    "fx_cover_corners": ("lineitem CROSS JOIN (VALUES (0, 0e0, 0e0), (1, 1e0, 0.3e0), (2, 0.2e0, 1e0)) AS c(pos, ux, uy)", {
+        "area_id": "CAST(l_suppkey AS STRING)", "shape_id": "concat_ws('_', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_suppkey AS STRING), CAST(l_partkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING))", "ring": "0", "pos": "pos",
+        "cover": "CASE WHEN l_partkey % 3 = 0 THEN 'water' WHEN l_partkey % 3 = 1 THEN 'urban' ELSE 'other' END",
+        "lat": "42.2e0 + CAST(l_suppkey * 37 % 400 AS DOUBLE) / 1000e0 + CAST(l_orderkey * 71 % 500 - 250 AS DOUBLE) / 10000e0 + uy * l_quantity / 20000e0",
+        "lon": "-83.8e0 + CAST(l_suppkey * 53 % 900 AS DOUBLE) / 1000e0 + CAST(l_orderkey * 29 % 700 - 350 AS DOUBLE) / 10000e0 + ux * l_quantity / 15000e0",
+    }, None),
     # One rectangular planning area per nation.
     "fx_areas": ("nation", {
         "area_id": "CAST(n_nationkey AS STRING)",
@@ -147,7 +165,7 @@ class Tables:
 
     def fx(self, name: str) -> DataFrame:
         name = name if name.startswith("fx_") else f"fx_{name}"
-        source = "nation" if name in LATTICES else FX[name][0]
+        source = "nation" if name in LATTICES else FX[name][0].split()[0]
         sql = fx_sql(name)
         if name in LATTICES:
             sql = sql.replace("FROM nation", "FROM {src}")
