@@ -6,9 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltgrid.functions.durable import materialize
+from voltgrid.operators.hierarchy import kernel_sums, nearest_k
 from voltgrid.operators.tiles import fold_near
 
 RADII = (0.01, 0.02, 0.05)
@@ -32,22 +34,17 @@ def radius_counts(points: DataFrame, point_id: str, id_type: str = "string", rad
     return part.groupBy(point_id).agg(*[(F.sum(n) - 1).alias(n) for n in names])
 
 
-def decay_density(points: DataFrame, point_id: str, id_type: str = "string", radii: Sequence[float] = RADII,
-                  cut: float = 20.0) -> DataFrame:
-    """Sum of exp(-d / r) over the other points; beyond ``cut``·r a point adds less than 2.1e-9 and is left out."""
-    out = None
-    for r in radii:
-        name = f"weighted_density_{_label(r)}"
-
-        def kernel(lv, rv, r=r, name=name):
-            d = np.sqrt((lv["lat"][:, None] - rv["lat"]) ** 2 + (lv["lon"][:, None] - rv["lon"]) ** 2)
-            return {name: np.where(d <= cut * r, np.exp(-d / r), 0.0).sum(axis=1)}
+def decay_density(points: DataFrame, point_id: str, id_type: str = "string", radii: Sequence[float] = RADII) -> DataFrame:
+    """Sum of exp(-d / r) over the other points, for all radii in one pass over a hierarchy of tiles.
 
-        cols = [point_id, "lat", "lon"]
-        part = (fold_near(points, points, cols, cols, kernel, f"{point_id} {id_type}, {name} double", 1, cut * r)
-                .groupBy(point_id).agg((F.sum(name) - 1).alias(name)))
-        out = part if out is None else out.join(part, point_id)
-    return out
+    Tiles see each other as wholes where they are at most two radii wide, or lie so far apart that e^-40 is left; the
+    relative error is near 1e-8 whatever the number of points.
+    """
+    names = {r: f"weighted_density_{_label(r)}" for r in radii}
+    places = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    sums = kernel_sums(points.select(point_id, "lat", "lon"), places, point_id, ["k"], lambda d: {n: np.exp(-d / r) for r, n in names.items()},
+                       widest=2 * min(radii), nothing=40 * max(radii))
+    return sums.select(point_id, *[(F.col(f"{n}_k") - 1).alias(n) for n in names.values()])
 
 
 def histogram_density(points: DataFrame, radii: Sequence[float] = RADII) -> DataFrame:
@@ -64,22 +61,14 @@ def histogram_density(points: DataFrame, radii: Sequence[float] = RADII) -> Data
 
 
 def idw(cells: DataFrame, stations: DataFrame, targets: Sequence[str], power: float = 2.0, eps: float = 1e-10) -> DataFrame:
-    """Inverse-distance weighting of all targets at once, planar degrees, every cell against every station.
+    """Inverse-distance weighting of all targets at once, planar degrees, every cell with every station.
 
-    Stations at one place are merged first (weight = their number), then packed; each cell row is repeated once
-    per station pack, never once per station.
+    Stations at one place are merged first (weight = their number). Near tiles are summed station by station, far ones
+    through the Chebyshev points of a hierarchy of tiles; the relative error is near 1e-7.
     """
-    merged = stations.groupBy("lat", "lon").agg(F.count(F.lit(1)).cast("double").alias("_k"),
-                                                *[F.sum(y).alias(y) for y in targets])
-
-    def kernel(lv, rv):
-        w = (1.0 / (np.sqrt((lv["lat"][:, None] - rv["lat"]) ** 2 + (lv["lon"][:, None] - rv["lon"]) ** 2) + eps)) ** power
-        return {"_w": w @ rv["_k"], **{y: w @ rv[y] for y in targets}}
-
-    schema = "grid_id string, _w double, " + ", ".join(f"{y} double" for y in targets)
-    part = fold_near(cells, merged, ["grid_id", "lat", "lon"], ["lat", "lon", "_k", *targets], kernel, schema, 0, None)
-    return part.groupBy("grid_id").agg(F.sum("_w").alias("_w"), *[F.sum(y).alias(y) for y in targets]).select(
-        "grid_id", *[(F.col(y) / (F.col("_w") + eps)).alias(y) for y in targets])
+    merged = stations.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("k"), *[F.sum(y).alias(y) for y in targets])
+    sums = kernel_sums(cells.select("grid_id", "lat", "lon"), merged, "grid_id", ["k", *targets], lambda d: {"w": (1.0 / (d + eps)) ** power})
+    return sums.select("grid_id", *[(F.col(f"w_{y}") / (F.col("w_k") + eps)).alias(y) for y in targets])
 
 
 def _copies_merged(stations: DataFrame, target: str) -> DataFrame:
@@ -91,39 +80,32 @@ def local_interpolation(cells: DataFrame, stations: DataFrame, target: str, scal
                         noise_seed: int | None = None) -> DataFrame:
     """Stations within 3·scale km, else the k nearest: weights (d + .1)^-1.5, damped by exp(-dmin / (2·scale)).
 
-    Distances are planar degrees times 111.32. The random factor of the original is off unless a seed is given.
+    Distances are planar degrees times 111.32. Stations within the radius are summed over neighbouring buckets; cells
+    without one take their nearest from a hierarchy of tiles. The random factor of the original is off unless a seed is given.
     """
     from voltgrid.functions.hashing import normal
 
     radius = 3.0 * scale
+    merged = materialize(_copies_merged(stations, target))
 
     def kernel(lv, rv):
         d = np.sqrt((lv["lat"][:, None] - rv["lat"]) ** 2 + (lv["lon"][:, None] - rv["lon"]) ** 2) * 111.32
-        w = (d + 0.1) ** -1.5
         inside = d <= radius
-        wi = np.where(inside, w, 0.0) * rv["_k"]
-        copies = np.repeat(np.arange(d.shape[1]), np.minimum(rv["_k"], k))
-        near = copies[np.argsort(d[:, copies], axis=1, kind="stable")[:, :k]]
-        rows = np.arange(len(d))[:, None]
-        return {"_n": inside.sum(axis=1), "_w": wi.sum(axis=1), "_wy": wi @ rv[target],
-                "_d": np.where(inside, d, np.inf).min(axis=1),
-                "_kd": list(d[rows, near]), "_ky": list(rv[target][near])}
-
-    schema = "grid_id string, _n long, _w double, _wy double, _d double, _kd array<double>, _ky array<double>"
-    part = fold_near(cells, _copies_merged(stations, target), ["grid_id", "lat", "lon"], ["lat", "lon", target, "_k"], kernel,
-                     schema, 0, None)
-    g = part.groupBy("grid_id").agg(
-        F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sum("_wy").alias("_wy"), F.min("_d").alias("_d"),
-        # k values per station pack: the array holds a k-th of a 512th of the stations.
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_kd", "_ky")))), 1, k).alias("_near"))
-    kw = F.aggregate("_near", F.lit(0.0), lambda a, p: a + F.pow(p["_kd"] + 0.1, F.lit(-1.5)))
-    kwy = F.aggregate("_near", F.lit(0.0), lambda a, p: a + F.pow(p["_kd"] + 0.1, F.lit(-1.5)) * p["_ky"])
-    value = F.when(F.col("_n") > 0, F.col("_wy") / F.col("_w")).otherwise(kwy / kw)
-    dmin = F.when(F.col("_n") > 0, F.col("_d")).otherwise(F.col("_near")[0]["_kd"])
-    value = value * F.exp(-dmin / (2.0 * scale))
+        w = np.where(inside, (d + 0.1) ** -1.5, 0.0) * rv["_k"]
+        return {"_n": inside.sum(axis=1), "_w": w.sum(axis=1), "_wy": w @ rv[target], "_d": np.where(inside, d, np.inf).min(axis=1)}
+
+    part = fold_near(cells, merged, ["grid_id", "lat", "lon"], ["lat", "lon", target, "_k"], kernel, "grid_id string, _n long, _w double, _wy double, _d double", 1, radius / 111.32)
+    inside = materialize(part.groupBy("grid_id").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sum("_wy").alias("_wy"), F.min("_d").alias("_d")).filter("_n > 0").select("grid_id", "_w", "_wy", "_d"))
+    rest = cells.select("grid_id", "lat", "lon").join(inside, "grid_id", "left_anti")
+    near = nearest_k(rest, merged, "grid_id", [target, "_k"], k).withColumn("_d", F.col("dist") * 111.32)
+    upto = Window.partitionBy("grid_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # k rows a cell at most
+    copies = F.greatest(F.least("_k", k - F.coalesce(F.sum("_k").over(upto), F.lit(0))), F.lit(0))
+    w = F.pow(F.col("_d") + 0.1, F.lit(-1.5)) * F.col("_copies")
+    far = near.withColumn("_copies", copies).groupBy("grid_id").agg(F.sum(w).alias("_w"), F.sum(w * F.col(target)).alias("_wy"), F.min("_d").alias("_d"))
+    value = F.col("_wy") / F.col("_w") * F.exp(-F.col("_d") / (2.0 * scale))
     if noise_seed is not None:
         value = value * F.greatest(F.lit(0.1), 1.0 + 0.1 * scale * normal(noise_seed, F.col("grid_id")))
-    return g.select("grid_id", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(target))
+    return inside.unionByName(far).select("grid_id", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(target))
 
 
 def decayed_demand(cells: DataFrame, stations: DataFrame, target: str, scale: float = 1.0, max_abs_lat: float = 70.0) -> DataFrame:

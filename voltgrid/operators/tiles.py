@@ -105,27 +105,22 @@ def pairwise_mean_distance(points: DataFrame, keys: Sequence[str], point_id: str
             .select(*keys, (F.col("_sum") / (F.col("_n") * (F.col("_n") - 1))).alias(name)))
 
 
-def _typical_gap(sites: DataFrame) -> float:
-    """Bucket edge near twice the mean spacing of the sites: one small aggregate."""
-    r = sites.agg(F.count(F.lit(1)), F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).first()
-    n, dlat, dlon = r[0], r[1] or 0.0, r[2] or 0.0
-    area = max(dlat, 1e-9) * max(dlon, 1e-9)
-    return max(2.0 * (area / max(n, 1)) ** 0.5, 1e-6)
-
-
 def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, size: float | None = None,
-            within: float | None = None, scale: float = 1.0, levels: int = 6,
+            within: float | None = None, scale: float = 1.0,
             point_type: str = "string", site_type: str = "string") -> DataFrame:
     """Nearest site of every point in the plane: (point_id, site_id, dist); ties go to the lowest site id.
 
-    With ``within`` one pass over neighbouring buckets is exact. Without it the bucket edge (``size``, by default
-    from the site spacing) grows fourfold per round for the points not yet settled (a hit at distance <= edge is
-    final), and what is left after the last round is compared with all sites, pack by pack.
+    With ``within`` one pass over neighbouring buckets is exact. Without it a hierarchy of tiles finds the nearest; its
+    tiles follow the points, so that ``size`` (once the edge of the first buckets) is not needed and changes nothing.
     """
+    from voltgrid.operators.hierarchy import nearest_k
+
     pid, sid = point_id, site_id
     schema = f"{pid} {point_type}, {sid} {site_type}, dist double"
     # Copies of a site change nothing, and would all hash into one pack.
     places = materialize(sites.select(sid, "lat", "lon").distinct())
+    if within is None:
+        return nearest_k(points.select(pid, "lat", "lon"), places, pid, [sid], 1).select(pid, sid, (F.col("dist") * scale).alias("dist"))
 
     def kernel(lv, rv):
         d = np.hypot((lv["lat"][:, None] - rv["lat"][None, :]) * scale,
@@ -133,20 +128,6 @@ def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, si
         j = d.argmin(axis=1)
         return {sid: rv[sid][j], "dist": d[np.arange(len(j)), j]}
 
-    def best(src: DataFrame, edge: float | None) -> DataFrame:
-        part = fold_near(src, places, [pid, "lat", "lon"], [sid, "lat", "lon"], kernel, schema, 1, edge)
-        return (part.groupBy(pid).agg(F.min(F.struct("dist", sid)).alias("_b"))
-                .select(pid, F.col(f"_b.{sid}").alias(sid), F.col("_b.dist").alias("dist")))
-
-    if within is not None:
-        return best(points, within / scale).filter(F.col("dist") <= within)
-    settled, rest = None, materialize(points.select(pid, "lat", "lon"))
-    edge = size if size is not None else _typical_gap(places)
-    for _ in range(levels):
-        hit = materialize(best(rest, edge).filter(F.col("dist") <= edge * scale))
-        settled = hit if settled is None else settled.unionByName(hit)
-        rest = rest.join(hit.select(pid), pid, "left_anti")
-        edge *= 4
-        if rest.isEmpty():
-            return settled
-    return settled.unionByName(best(rest, None))
+    part = fold_near(points, places, [pid, "lat", "lon"], [sid, "lat", "lon"], kernel, schema, 1, within / scale)
+    best = part.groupBy(pid).agg(F.min(F.struct("dist", sid)).alias("_b")).select(pid, F.col(f"_b.{sid}").alias(sid), F.col("_b.dist").alias("dist"))
+    return best.filter(F.col("dist") <= within)
