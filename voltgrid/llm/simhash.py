@@ -17,8 +17,8 @@ from voltgrid.llm.tables import components, per_row
 
 SEED = 42
 PACK = 4096
-#: Hashes whose bits are counted at once.
-BLOCK = 1 << 20
+#: Hashes whose bits are unpacked at once.
+BLOCK = 1 << 16
 
 
 def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
@@ -36,11 +36,18 @@ def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
-    """The 64 bits that more than half of the hashes set, as bytes; 0 without hashes. Hashes are counted in blocks."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), BLOCK):
-        ones += np.unpackbits(hashes[i:i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little")
+    """The bits that more than half of the hashes set, as bytes; 0 without hashes. ``hashes`` has a line of 64-bit numbers each.
+
+    Bits are counted in blocks, of lines whose sum fits into a byte, so that rows of bits are added as they are.
+    """
+    lanes = hashes.shape[1] if hashes.ndim > 1 else 1
+    lines = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), 8 * lanes)
+    ones = np.zeros(8 * lines.shape[1], np.int64)
+    for i in range(0, len(lines), BLOCK):
+        bits = np.unpackbits(lines[i:i + BLOCK], axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += bits[k:k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(lines), bitorder="little")
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -162,11 +169,10 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB13311
 
 def long_fingerprint(text: str | None, shingle: int = WORDS, lanes: int = LANES) -> bytes:
     """SimHash of ``64 * lanes`` bits over the distinct shingles: each lane takes the hashes through a mixing of its own."""
-    hashes, out = np.unique(shingle_hashes(text, shingle)), []
-    for m in _MULTIPLIERS[:lanes]:
-        x = (hashes ^ (hashes >> np.uint64(31))) * m
-        out.append(majority((x ^ (x >> np.uint64(29))) * m).tobytes())
-    return b"".join(out)
+    hashes = np.unique(shingle_hashes(text, shingle))
+    m = _MULTIPLIERS[:lanes]
+    x = (hashes ^ (hashes >> np.uint64(31)))[:, None] * m
+    return majority((x ^ (x >> np.uint64(29))) * m).tobytes()
 
 
 def differing(similarity: float) -> float:
@@ -175,9 +181,9 @@ def differing(similarity: float) -> float:
 
 
 def block_plan(count: int, similarity: float, recall: float, bits: int) -> list[np.ndarray]:
-    """Bit positions of each block: wide enough that ``count`` random fingerprints rarely share one, and so many that a
-    pair at ``similarity`` shares one with probability ``recall``."""
-    width = max(20, math.ceil(math.log2(max(1, count))) + 2)
+    """Bit positions of each block: wide enough, at any ``count``, that one in eight random fingerprints shares one at most,
+    and so many that a pair at ``similarity`` shares one with probability ``recall``."""
+    width = math.ceil(math.log2(max(1, count))) + 3
     number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
     rng = np.random.default_rng(SEED)
     return [rng.choice(bits, width, replace=False) for _ in range(number)]
