@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
+from voltgrid.functions.hashing import uniform
 from voltgrid.operators import selection, targets
 from voltgrid.operators.ordered import average_ranks
 
@@ -41,23 +42,41 @@ def estimator(algorithm: str, seed: int = 42, **overrides):
     return base[0](**common, **{**base[1], **overrides})
 
 
+# Coefficients of algorithm AS 241 (Wichura 1988), highest power first (fixed values): middle, tail, far tail.
+_MIDDLE = ((2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4, 1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0),
+           (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4, 5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0))
+_TAIL = ((7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0, 3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0),
+         (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0))
+_FAR = ((2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0),
+        (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0))
+
+
+def _ratio(terms: tuple[tuple[float, ...], tuple[float, ...]], r: Column) -> Column:
+    def polynomial(c: tuple[float, ...]) -> Column:
+        out = F.lit(c[0])
+        for v in c[1:]:
+            out = out * r + v
+        return out
+    return polynomial(terms[0]) / polynomial(terms[1])
+
+
 def inverse_normal(p: Column) -> Column:
-    """Normal quantile, bisection-free: the central and tail rational fits of Abramowitz and Stegun 26.2.23."""
-    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
-    tail = F.least(q, 1 - q)
-    t = F.sqrt(-2 * F.log(tail))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(q < 0.5, -z).otherwise(z)
+    """Normal quantile to double precision; null for null, infinite at 0 and 1."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(1 - p)))
+    tail = F.when(r <= 5, _ratio(_TAIL, r - 1.6)).otherwise(_ratio(_FAR, r - 5))
+    ends = F.when(p <= 0, F.lit(float("-inf"))).when(p >= 1, F.lit(float("inf")))
+    return F.when(p.isNull(), None).when((p <= 0) | (p >= 1), ends).when(F.abs(q) <= 0.425, q * _ratio(_MIDDLE, 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
 def quantile_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Each feature to a normal shape by its average rank."""
+    """Each feature to a normal shape by its average rank; nulls stay null."""
     out = df
     for f in features:
         ranks = average_ranks(df, [], f, "_rank")
         n = df.agg(F.count(f).alias("_n"))
-        out = (out.join(ranks.crossJoin(F.broadcast(n)).select(f, inverse_normal((F.col("_rank") - 0.5) / F.col("_n")).alias(f"_{f}")), f, "left")
-               .withColumn(f, F.coalesce(f"_{f}", F.lit(0.0))).drop(f"_{f}"))
+        scaled = ranks.crossJoin(F.broadcast(n)).select(f, inverse_normal((F.col("_rank") - 0.5) / F.col("_n")).alias(f"_{f}"))
+        out = out.join(scaled, f, "left").withColumn(f, F.col(f"_{f}")).drop(f"_{f}")
     return out
 
 
@@ -74,11 +93,12 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, scaler: str, ro
     """Narrow, cleaned training table, written once and scanned by every fit."""
     clean = df.select(row_id, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(target).cast("double").alias("label"))
     clean = clean.filter(F.col("label").isNotNull() & ~F.isnan("label"))
-    return materialize(quantile_scale(clean, features) if scaler == "quantile" else clean)
+    return materialize(quantile_scale(clean, features) if scaler == "quantile" else clean)  # no nulls are left here
 
 
 def fold_of(row_id: str, folds: int, seed: int = 42) -> Column:
-    return F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(folds)).cast("int")
+    """Fold of a row by a digest of its id, the same in check SQL."""
+    return F.floor(uniform(seed, F.col(row_id)) * folds).cast("int")
 
 
 def train(df: DataFrame, features: Sequence[str], target: str, row_id: str, algorithm: str = "ridge", scaler: str = "standard", seed: int = 42, **overrides):

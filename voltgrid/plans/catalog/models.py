@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import materialize
-from voltgrid.operators import grids, models, observed, placements, selection as sel, spatial, targets
+from voltgrid.functions.hashing import uniform_sql
+from voltgrid.operators import grids, linear, models, observed, placements, selection as sel, spatial, targets
 from voltgrid.operators.ordered import percentiles
 from voltgrid.plans.catalog.demand import r6, rnd
 from voltgrid.plans.catalog.features import rs
@@ -152,7 +153,9 @@ def _(t):
 
 @query("ml07_selection_stability")
 def _(t):
-    return models.stability(train_rows(t), ["f_signal", "f_nation", "f_noise"], "y", "id", sizes=(100, 150))
+    d = materialize(train_rows(t))
+    n = d.count()
+    return models.stability(d, ["f_signal", "f_nation", "f_noise"], "y", "id", sizes=(n // 2, n * 3 // 4))
 
 
 @query("prj28_feature_exclusion", "SELECT grid_id, round(road_density_total, 6) AS road_density_total FROM v_feat")
@@ -217,10 +220,19 @@ def _(t):
     return a.unionByName(sel.best_by_metric(c.filter("target = 'log1p'"), "cv", higher=False).select(F.lit("cv").alias("metric"), "id"))
 
 
-@query("set04_missing_configurations", f"""SELECT transform, scaler, algorithm FROM (SELECT unnest({_TR}) AS transform) a, (SELECT unnest({_SC}) AS scaler) b, (SELECT unnest({_AL}) AS algorithm) c
- EXCEPT SELECT target, scaler, algorithm FROM v_cfg WHERE id % 40 = 0""")
+# A configuration has a model where its runs are as good as the mean run.
+_HAVE = "SELECT target, scaler, algorithm FROM v_cfg GROUP BY 1, 2, 3 HAVING avg(score) >= (SELECT avg(score) FROM v_cfg) + 1e-12"
+
+
+def have_models(t):
+    per = configs(t).groupBy(F.col("target").alias("transform"), "scaler", "algorithm").agg(F.avg("score").alias("s"))
+    mean = configs(t).agg(F.avg("score").alias("m"))
+    return per.crossJoin(F.broadcast(mean)).filter("s >= m + 1e-12").select("transform", "scaler", "algorithm")
+
+
+@query("set04_missing_configurations", f"""SELECT transform, scaler, algorithm FROM (SELECT unnest({_TR}) AS transform) a, (SELECT unnest({_SC}) AS scaler) b, (SELECT unnest({_AL}) AS algorithm) c EXCEPT {_HAVE}""")
 def _(t):
-    have = configs(t).filter("id % 40 = 0").select(F.col("target").alias("transform"), "scaler", "algorithm").distinct()
+    have = have_models(t)
     return sel.expected_missing(have, have, _TR, _SC, _AL)
 
 
@@ -305,6 +317,79 @@ def _(t):
     return _trained(t, ("ridge", "elastic_net", "lasso"))
 
 
+# Ridge models in SQL: covariances of the standardised features, normal equations by Cramer's rule.
+view("v_fold", f"SELECT v.id, f_signal AS x1, f_nation AS x2, f_noise AS x3, CAST(floor({uniform_sql(42, 'v.id')} * 5) AS INT) AS fold, {', '.join(_T)} FROM v_train v JOIN v_targets w ON w.id = v.id")
+view("v_long", "UNPIVOT (SELECT * FROM v_fold) ON " + ", ".join(_T) + " INTO NAME target VALUE y")
+_COV = ", ".join(f"covar_pop(x{i}, x{j}) / (stddev_samp(x{i}) * stddev_samp(x{j}))" + (" + 0.5" if i == j else "") + f" AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+view("v_normal", f"""SELECT target, held, avg(y) AS my, {', '.join(f'avg(x{i}) AS m{i}, stddev_samp(x{i}) AS s{i}, covar_pop(x{i}, y) / stddev_samp(x{i}) AS c{i}' for i in (1, 2, 3))}, {_COV}
+ FROM v_long, generate_series(0, 4) h(held) WHERE fold <> held GROUP BY 1, 2""")
+
+
+def _det(columns):
+    (a, d, g), (b, e, h), (c, f, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_COLUMNS = [[f"a{i}{j}" for i in (1, 2, 3)] for j in (1, 2, 3)]
+_RHS = ["c1", "c2", "c3"]
+view("v_ridge", f"""SELECT *, my - w1 * m1 - w2 * m2 - w3 * m3 AS intercept FROM (SELECT target, held, my, m1, m2, m3,
+ {', '.join(f'{_det([_RHS if k == j else _COLUMNS[k] for k in range(3)])} / {_det(_COLUMNS)} / s{j + 1} AS w{j + 1}' for j in range(3))} FROM v_normal) q""")
+
+
+def _targets(t):
+    return targets.transform(train_rows(t), "y", fitted(t))
+
+
+@query("ml09_ridge_coefficients", f"SELECT target, held, {rs('intercept', 'w1', 'w2', 'w3')} FROM v_ridge")
+def _(t):
+    rows = linear.prepared(_targets(t), FX, _T, "id", 5, 42, False)
+    m = linear.models(rows, FX, [(c, "standard", "ridge") for c in _T], 5)
+    return m.select("target", "held", rnd("intercept", 6).alias("intercept"), *[rnd(F.col("weights")[i], 6).alias(f"w{i + 1}") for i in range(3)])
+
+
+@query("ml12_ridge_cross_validation", f"""SELECT target, fold, count(*) AS n_samples, round(1 - sum(pow(y - p, 2)) / (count(*) * var_pop(y)), 6) AS r2, round(sqrt(avg(pow(y - p, 2))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
+ round(corr(y, p), 6) AS pearson_r FROM (SELECT l.target, l.fold, l.y, intercept + w1 * x1 + w2 * x2 + w3 * x3 AS p FROM v_long l JOIN v_ridge r ON r.target = l.target AND r.held = l.fold) q GROUP BY 1, 2""")
+def _(t):
+    m = linear.cross_validated(_targets(t), FX, [(c, "standard", "ridge") for c in _T], "id")
+    return m.select("target", "fold", "n_samples", *r6("r2", "rmse", "mae", "pearson_r"))
+
+
+@query("ml16_ridge_predictions", "SELECT id, round(intercept + w1 * x1 + w2 * x2 + w3 * x3, 6) AS prediction FROM v_long l JOIN v_ridge r ON r.target = l.target AND r.held = l.fold WHERE l.target = 'target_original'")
+def _(t):
+    rows = linear.prepared(_targets(t), FX, ["target_original"], "id", 5, 42, False)
+    fitted_ = linear.models(rows, FX, [("target_original", "standard", "ridge")], 5)
+    return linear.predictions(rows, FX, fitted_, "id").select("id", *r6("prediction"))
+
+
+@query("ml13_linear_configurations")
+def _(t):
+    """All linear members of the configuration grid, cross-validated from one scan."""
+    grid = [(c, s, a) for c in _T for s in _SC for a in linear.PENALTIES]
+    return linear.summary(linear.cross_validated(_targets(t), FX, grid, "id")).select("target", "scaler", "algorithm", *r6(*_ROUND))
+
+
+@query("ml13_missing_configurations")
+def _(t):
+    """Only configurations without a model are trained."""
+    have = have_models(t)
+    missing = sel.expected_missing(have, have, _TR, _SC, _AL)
+    return linear.train_missing(_targets(t), FX, missing, "id").select("target", "scaler", "algorithm", *r6(*_ROUND))
+
+
+@query("ml15_penalty_search")
+def _(t):
+    return linear.search(train_rows(t).withColumn("target_original", F.col("y")), FX, "target_original", "id", "elastic_net").select(*r6("penalty", "share", *_ROUND))
+
+
+@query("ml27_tuned_configuration")
+def _(t):
+    """The best linear configuration of the whole grid first, then its penalty and share over their whole ranges."""
+    d = materialize(_targets(t))
+    grid = [(c, s, a) for c in _T for s in _SC for a in linear.PENALTIES]
+    best = linear.summary(linear.cross_validated(d, FX, grid, "id")).orderBy(F.round("r2", 9).desc(), "target", "scaler", "algorithm").first()
+    return linear.search(d, FX, best["target"], "id", "elastic_net", best["scaler"]).limit(1).select("target", "scaler", "algorithm", *r6("penalty", "share", *_ROUND))
+
+
 @query("ml10_tree_models")
 def _(t):
     return _trained(t, ("random_forest", "gradient_boosting"))
