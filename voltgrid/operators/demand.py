@@ -8,7 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltgrid.functions.durable import materialize
 from voltgrid.functions.onerow import with_globals
+from voltgrid.operators.ordered import row_numbers
 
 # Weight pairs (kWh share, hours share) of the score variations: fixed values.
 VARIATIONS = {
@@ -28,6 +30,24 @@ def unpivot_wide(wide: DataFrame, time_col: str, value_name: str) -> DataFrame:
     return wide.unpivot([time_col], stations, "station_id", value_name)
 
 
+def widen(long: DataFrame, time_col: str, station_col: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Wide rows (time, values by position) and their header (pos, station_id): one array a row, no column per station.
+
+    A station has a position by its rank; gaps are null. The cells are as many as the wide table has.
+    """
+    header = materialize(row_numbers(long.select(F.col(station_col).alias("station_id")).distinct(), [], ["station_id"], "pos"))
+    times = long.select(time_col).distinct()
+    cells = times.crossJoin(header).join(long.select(time_col, F.col(station_col).alias("station_id"), value), [time_col, "station_id"], "left")
+    rows = cells.groupBy(time_col).agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("values"))
+    return rows.select(time_col, F.transform("values", lambda v: v[value]).alias("values")), header
+
+
+def unpivot_arrays(wide: DataFrame, header: DataFrame, time_col: str, value_name: str) -> DataFrame:
+    """Wide rows (time, values) and a header (pos from 1, station_id) -> (time, station_id, value), joined on the position."""
+    cells = wide.select(time_col, F.posexplode("values").alias("pos", value_name)).withColumn("pos", F.col("pos").cast("long") + 1)
+    return cells.join(header.select("pos", "station_id"), "pos").select(time_col, "station_id", value_name)
+
+
 def clean_number(c: Column) -> Column:
     """Null, NaN and infinities count as 0."""
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c)

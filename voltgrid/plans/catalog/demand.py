@@ -18,22 +18,15 @@ def r6(*names):
     return [rnd(n, 6).alias(n) for n in names]
 
 
-def station_blocks(t, width: int = 2000):
-    """The station ids, which name the columns of wide tables, in blocks: the planner takes some thousand columns at once."""
-    names = sorted(r["station_id"] for r in t.fx("stations").select("station_id").distinct().collect())
-    return [names[i:i + width] for i in range(0, len(names), width)]
-
-
 @query("prj01_unpivot_series", """SELECT p.period, s.station_id, round(k.kwh, 6) AS kwh FROM (SELECT DISTINCT date_trunc('month', ts) AS period FROM fx_charging) p
  CROSS JOIN (SELECT DISTINCT station_id FROM fx_stations) s LEFT JOIN (SELECT date_trunc('month', ts) AS period, station_id, sum(kwh) AS kwh FROM fx_charging GROUP BY 1, 2) k
  ON k.period = p.period AND k.station_id = s.station_id""")
 def _(t):
-    out = None
-    for names in station_blocks(t):
-        w = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("period")).pivot("station_id", names).agg(F.sum("kwh"))
-        part = demand.unpivot_wide(w, "period", "kwh")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("kwh", rnd("kwh", 6))
+    monthly = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("period"), "station_id").agg(F.sum("kwh").alias("kwh"))
+    known = t.fx("stations").select("station_id").distinct()  # stations without a charge have a column too
+    every = known.join(monthly, "station_id", "left").select("period", "station_id", "kwh")
+    wide, header = demand.widen(every, "period", "station_id", "kwh")
+    return demand.unpivot_arrays(wide.filter("period IS NOT NULL"), header, "period", "kwh").withColumn("kwh", rnd("kwh", 6))
 
 
 view("v_dirty", """SELECT station_id, CASE WHEN kwh < 5 THEN NULL WHEN kwh < 10 THEN CAST('nan' AS DOUBLE)

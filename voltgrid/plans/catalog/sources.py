@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import scratch_path
 from voltgrid.operators import demand, runs
-from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, scored, station_blocks
+from voltgrid.plans.catalog.demand import grid_demand, r6, rnd, scored
 from voltgrid.plans.catalog.features import feat, rs
 from voltgrid.plans.catalog.runs import place, run_table
 from voltgrid.plans.catalog.trajectories import edges, pts
@@ -19,20 +19,15 @@ def _(t):
     p = pts(t).withColumn("lat", F.when(F.col("ord") % 10 == 0, F.lit("bad")).otherwise(F.col("lat").cast("string")))
     out = p.select(F.date_format("week", "yyMMdd").alias("w"), F.col("veh_id").alias("VehId"), (F.col("t") * 1000).alias("Timestamp(ms)"), F.col("lat").alias("Latitude[deg]"),
                    F.col("lon").alias("Longitude[deg]"), F.lit("x").alias("Other"))
-    weeks = [r["w"] for r in out.select("w").distinct().collect()]  # one file name per calendar week
-    for w in weeks:
-        out.filter(F.col("w") == w).drop("w").write.option("header", True).csv(f"{path}/VED_{w}_week")
+    out.withColumn("VED", F.col("w")).drop("w").write.option("header", True).partitionBy("VED").csv(path)  # one folder per calendar week
     return src.trip_csv(t.spark, path).groupBy(F.col("week").cast("string").alias("week")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("veh_id").alias("vehicles"), rnd(F.sum("lat"), 4).alias("lat"), rnd(F.min("t"), 3).alias("t0"))
 
 
 def _wide(t, path, measure):
-    files = []
-    for names in station_blocks(t):
-        m = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("time")).pivot("station_id", names).agg(rnd(F.sum(measure), 6))
-        files.append(f"{path}/{measure}-{len(files)}")
-        m.write.option("header", True).csv(files[-1])
-    return files
+    monthly = t.fx("charging").groupBy(F.date_trunc("month", "ts").alias("time"), "station_id").agg(rnd(F.sum(measure), 6).alias(measure))
+    src.write_wide_csv(monthly, f"{path}/{measure}", "time", "station_id", measure)
+    return [f"{path}/{measure}"]
 
 
 view("v_monthly", "SELECT date_trunc('month', ts)::TIMESTAMP AS ts, station_id, round(sum(kwh), 6) AS kwh, round(sum(hours), 6) AS hours FROM fx_charging GROUP BY 1, 2")
