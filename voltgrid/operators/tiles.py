@@ -2,7 +2,7 @@
 
 Points are packed into arrays of bounded size. Packs that lie in neighbouring buckets meet in an equi-join on
 the bucket, and a vectorised kernel reduces each pack pair to one partial result per left point. Row counts
-stay at (points x packs met), a hot bucket becomes many packs, and a salt spreads its pack pairs over tasks.
+stay at (points x packs met), a hot bucket becomes many packs, and its join keys grow with its packs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from voltgrid.functions.durable import materialize
 
 PACK = 512
-SALTS = 8
+#: Left packs that one join key holds, about: the number of keys of a bucket grows with its packs.
+TOGETHER = 4
 
 
 def bucket(value: Column, size: float) -> Column:
@@ -30,13 +31,26 @@ def _packs(df: DataFrame, names: Sequence[str], size: int, by: Sequence[str] = (
     return (df.join(n, list(by))
             .withColumn("_pack", F.pmod(F.xxhash64(*names), F.ceil(F.col("_n") / size)))
             .groupBy(*by, "_pack")
-            .agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_pts")))
+            .agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_pts"), F.max(_keys_of(size)).alias("_keys")))
+
+
+def _keys_of(size: int) -> Column:
+    """Join keys of a bucket of ``_n`` points."""
+    return F.ceil(F.ceil(F.col("_n") / size) / TOGETHER).cast("long")
+
+
+def _salted(left: DataFrame, right: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Left packs dealt over the keys of their bucket, right packs repeated for each key of the left bucket that they meet."""
+    keys = left.groupBy(*by).agg(F.max("_keys").alias("_most"))
+    dealt = left.withColumn("_salt", F.pmod(F.col("_pack"), F.col("_keys")))
+    met = right.join(keys, list(by)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1))).drop("_most")
+    return dealt, met
 
 
 def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right_cols: Sequence[str],
               kernel: Callable[..., dict[str, np.ndarray]], schema: str, reach: int, size: float | None,
               left_xy: tuple[str, str] = ("lat", "lon"), right_xy: tuple[str, str] = ("lat", "lon"),
-              pack: int = PACK, salts: int = SALTS) -> DataFrame:
+              pack: int = PACK) -> DataFrame:
     """One row per (left point, right pack): the first of ``left_cols`` plus the kernel's outputs.
 
     ``kernel(left_arrays, right_arrays)`` gets dicts of arrays and returns one array per output column of
@@ -50,15 +64,14 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
             return df.withColumn("_bx", F.lit(0).cast("long")).withColumn("_by", F.lit(0).cast("long"))
         return df.withColumn("_bx", bucket(F.col(xy[0]), size)).withColumn("_by", bucket(F.col(xy[1]), size))
 
-    lp = (_packs(keyed(left.select(*dict.fromkeys([*left_cols, *left_xy])), left_xy), left_cols, pack)
-          .withColumn("_salt", F.pmod(F.col("_pack"), F.lit(salts))))
+    lp = _packs(keyed(left.select(*dict.fromkeys([*left_cols, *left_xy])), left_xy), left_cols, pack)
     wanted = [*right_cols, "_bx", "_by"] if "_bx" in right.columns else dict.fromkeys([*right_cols, *right_xy])
     rp = _packs(keyed(right.select(*wanted), right_xy), right_cols, pack)
     if size is not None and reach:
         steps = F.sequence(F.lit(-reach), F.lit(reach))
         rp = (rp.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
               .withColumn("_bx", F.col("_bx") + F.col("_dx")).withColumn("_by", F.col("_by") + F.col("_dy")))
-    rp = rp.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    lp, rp = _salted(lp, rp, ("_bx", "_by"))
     pairs = (lp.select("_bx", "_by", "_salt", *[F.col(f"_pts.{c}").alias(f"l_{c}") for c in left_cols])
              .join(rp.select("_bx", "_by", "_salt", *[F.col(f"_pts.{c}").alias(f"r_{c}") for c in right_cols]),
                    ["_bx", "_by", "_salt"])
@@ -81,24 +94,24 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
     return pairs.mapInPandas(run, schema=schema)
 
 
-def pairwise_mean_distance(points: DataFrame, keys: Sequence[str], point_id: str, name: str,
-                           pack: int = PACK, salts: int = SALTS) -> DataFrame:
-    """Mean planar distance over all pairs of a group, pack against pack; groups of one point give no row."""
+def pairwise_mean_distance(points: DataFrame, keys: Sequence[str], point_id: str, name: str, pack: int = PACK) -> DataFrame:
+    """Mean planar distance over all pairs of a group, pack against pack; groups of one point give no row.
+
+    Each pair of packs meets once, and the join keys of a group grow with its packs.
+    """
     cols = [point_id, "lat", "lon"]
-    packs = _packs(points.select(*keys, *cols), cols, pack, keys)
-    left = (packs.withColumn("_salt", F.pmod(F.col("_pack"), F.lit(salts)))
-            .select(*keys, "_salt", F.col("_pts.lat").alias("la"), F.col("_pts.lon").alias("lo")))
-    right = (packs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-             .select(*keys, "_salt", F.col("_pts.lat").alias("ra"), F.col("_pts.lon").alias("ro")))
+    left, right = _salted(*[_packs(points.select(*keys, *cols), cols, pack, keys)] * 2, keys)
+    left = left.select(*keys, "_salt", F.col("_pack").alias("_lp"), F.col("_pts.lat").alias("la"), F.col("_pts.lon").alias("lo"))
+    right = right.select(*keys, "_salt", F.col("_pack").alias("_rp"), F.col("_pts.lat").alias("ra"), F.col("_pts.lon").alias("ro"))
 
     def run(batches):
         for b in batches:
-            total = [float(np.hypot(np.asarray(la)[:, None] - np.asarray(ra), np.asarray(lo)[:, None] - np.asarray(ro)).sum())
-                     for la, lo, ra, ro in zip(b["la"], b["lo"], b["ra"], b["ro"])]
+            total = [(1 + (p != q)) * float(np.hypot(np.asarray(la)[:, None] - np.asarray(ra), np.asarray(lo)[:, None] - np.asarray(ro)).sum())
+                     for p, q, la, lo, ra, ro in zip(b["_lp"], b["_rp"], b["la"], b["lo"], b["ra"], b["ro"])]
             yield b[list(keys)].assign(_sum=total)
 
     types = dict(points.dtypes)
-    pairs = left.join(right, [*keys, "_salt"])
+    pairs = left.join(right, [*keys, "_salt"]).filter("_lp <= _rp")
     sums = pairs.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", _sum double")
     n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (sums.groupBy(*keys).agg(F.sum("_sum").alias("_sum")).join(n.filter("_n > 1"), list(keys))
