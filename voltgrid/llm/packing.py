@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -103,11 +102,13 @@ class WordIds:
 
     The vocabulary's pre-tokenizer drops white space and never joins characters across it, nor letters with anything else,
     and a token that ends such a piece is marked in the vocabulary. So a text's ids are the ids of its words one after
-    another, and each distinct word is encoded once: words of letters alone by merging many at a time (or together in one
-    line, cut at the marks), with trailing punctuation by itself. Two generations of words are remembered, bounded in bytes.
+    another, and each distinct word is encoded once: words of Latin letters by merging many at a time, words of other
+    letters together in one line that is cut at the marks, with trailing punctuation by itself. Two generations of words are remembered, bounded in bytes.
     """
 
     TAIL = b",.;:!?"
+    #: Bytes of words of lower-case Latin letters, which stay as they are: a-z, and the two bytes of those from U+00DF on.
+    LETTERS = bytes([*range(97, 123), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -133,27 +134,27 @@ class WordIds:
         for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Words of letters alone: those in lower case and composed form of the older alphabets are merged at once."""
-        plain, other = [], []
-        for w in words:
-            u = w.decode()
-            (plain if w.isascii() or max(u) < "\u0530" and u == u.lower() and unicodedata.is_normalized("NFC", u) else other).append(w)
-        self.known.update(zip(plain, self.merges.encode(plain), strict=True))
-        self._line(other)
-
     def _encode(self, words: set[bytes]) -> None:
-        plain, odd, tailed = [], [], []
+        plain, other, odd, tailed = [], [], [], []
         for w in words:
-            if w.isalpha() or w.decode().isalpha():
-                plain.append(w)
-            elif (core := w.rstrip(self.TAIL)) and (core.isalpha() or core.decode().isalpha()):
-                tailed.append((w, core, w[len(core):]))
+            core = w.rstrip(self.TAIL)
+            if core and not core.translate(None, self.LETTERS):
+                some = plain
+            elif core and core.decode().isalpha():
+                some = other
             else:
                 odd.append(w)
-        self._letters(list({*plain, *(c for _, c, _ in tailed if c not in self.known)}))
-        self._each(list({*odd, *(t for _, _, t in tailed if t not in self.known)}))
-        self.known.update((w, self.known[c] + self.known[t]) for w, c, t in tailed)
+                continue
+            some.append(core)
+            if len(core) < len(w):
+                tailed.append((w, core, w[len(core):]))
+        plain, other = (list(set(x).difference(self.known)) for x in (plain, other))
+        made = dict(zip(plain, self.merges.encode(plain), strict=True))
+        self._line(other)
+        self._each(list({*odd, *(t for _, _, t in tailed)}.difference(self.known)))
+        known = self.known
+        known.update((w, (made.get(c) or known[c]) + known[t]) for w, c, t in tailed)
+        known.update((w, made[w]) for w in words.intersection(made))  # words met with a tail only are not kept without it
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lines = [(t or "").encode() for t in texts]
