@@ -21,7 +21,7 @@ END = 1
 #: Remainders that one group packs, about; each has less than LENGTH tokens, so a group has 32 MB of ids at most, about.
 GROUP = 4096
 #: Bytes of words and ids that a worker remembers, about, in each of two generations; of these, what a word costs by itself.
-REMEMBERED, PER_WORD = 80 << 20, 200
+REMEMBERED, PER_WORD = 48 << 20, 200
 #: Bytes of a row group of written ids: what a task holds while it writes or reads them.
 ROW_GROUP = 16 << 20
 #: Sequences that one piece fills are numbered from here.

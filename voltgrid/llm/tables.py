@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from voltgrid.functions.durable import materialize
 
 
+#: Rows whose texts are Python objects at once.
+ROWS = 512
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -28,9 +32,10 @@ def per_row(df: DataFrame, columns: str, schema: str, fn: Callable[..., tuple])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fn(*r) for r in zip(*[b.column(n).to_pylist() for n in names], strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                rows = [fn(*r) for r in zip(*[some.column(n).to_pylist() for n in names], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
     return df.select(*names).mapInArrow(run, out)
 
