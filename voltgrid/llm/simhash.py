@@ -164,6 +164,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: in
 WORDS, SIMILAR, LANES = 5, 0.8, 4
 #: Share of pairs at the least similarity that the blocks bring together, and standard deviations of room for the Hamming test.
 RECALL, ROOM = 0.95, 2.0
+#: Blocks at least: small tables need few and can afford more.
+BLOCKS = 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -184,7 +186,7 @@ def block_plan(count: int, similarity: float, recall: float, bits: int) -> list[
     """Bit positions of each block: wide enough, at any ``count``, that one in eight random fingerprints shares one at most,
     and so many that a pair at ``similarity`` shares one with probability ``recall``."""
     width = math.ceil(math.log2(max(1, count))) + 3
-    number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
+    number = max(BLOCKS, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width)))
     rng = np.random.default_rng(SEED)
     return [rng.choice(bits, width, replace=False) for _ in range(number)]
 
