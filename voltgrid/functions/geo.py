@@ -44,6 +44,11 @@ def haversine_km_atan2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -
     return EARTH_RADIUS_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def widened(box: dict[str, float], margin: float) -> dict[str, float]:
+    """Bounds (min_lat, max_lat, min_lon, max_lon) moved out by ``margin``, as the decimals they stand for: -83.79 - 0.01 is -83.8."""
+    return {c: round(v + (margin if c.startswith("max") else -margin), 12) for c, v in box.items()}
+
+
 def cell_area_km2(min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column,
                   floor: float | None = None) -> Column:
     mid = F.radians((min_lat + max_lat) / 2)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltgrid.functions.geo import widened
 from voltgrid.operators.runs import RUN, is_hybrid
 from voltgrid.operators.tiles import nearest, pairwise_mean_distance
 
@@ -23,8 +24,8 @@ def _cap(c: Column) -> Column:
 
 
 def _in_box(box: dict[str, float], margin: float = 0.0) -> Column:
-    return (F.col("lat").between(box["min_lat"] - margin, box["max_lat"] + margin)
-            & F.col("lon").between(box["min_lon"] - margin, box["max_lon"] + margin))
+    b = widened(box, margin)
+    return F.col("lat").between(b["min_lat"], b["max_lat"]) & F.col("lon").between(b["min_lon"], b["max_lon"])
 
 
 def validate(placements: DataFrame, box: dict[str, float], edge_mids: DataFrame | None = None, margin: float = 0.01) -> DataFrame:

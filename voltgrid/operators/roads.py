@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltgrid.functions.geo import widened
 from voltgrid.functions.hashing import ord_sum
 from voltgrid.operators.ordered import row_numbers
 from voltgrid.operators.tiles import bucket, fold_near, nearest
@@ -48,8 +49,8 @@ def point_at(shape: Column, pos: Column) -> Column:
 
 
 def _inside(lat: Column, lon: Column, box: dict[str, float], margin: float) -> Column:
-    return ((lat > box["min_lat"] - margin) & (lat < box["max_lat"] + margin)
-            & (lon > box["min_lon"] - margin) & (lon < box["max_lon"] + margin))
+    b = widened(box, margin)
+    return (lat > b["min_lat"]) & (lat < b["max_lat"]) & (lon > b["min_lon"]) & (lon < b["max_lon"])
 
 
 def candidate_sites(edges: DataFrame, box: dict[str, float], margin: float = 0.005) -> DataFrame:
