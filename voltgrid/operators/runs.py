@@ -108,14 +108,14 @@ def adaptive_budget(alloc: DataFrame, stations: str = "stations", confidence: fl
     space = F.least(F.pow(F.lit(75.0), n), F.lit(10000.0))
     scale = F.when(space <= 100, 1.0).when(space <= 1000, 2.0).when(space <= 5000, 3.0).otherwise(4.0)
     base = F.when(space <= 100, 50).when(space <= 1000, 200).when(space <= 5000, 500).otherwise(1000)
-    # Rounding keeps products such as 0.3 * k from falling just below a whole number.
-    whole = lambda c: F.floor(F.round(c, 9)).cast("long")
+    # Shares as whole hundredths: products such as 0.3 * k would fall just below a whole number.
+    share = lambda c, hundredths: F.floor(c * hundredths / 100).cast("long")
     out = alloc.withColumn("action_space_size", space.cast("long")).withColumn("station_factor", 1.0 + (n - 2) * 0.3)
-    out = out.withColumn("max_episodes", whole(base * scale * F.col("station_factor")))
+    out = out.withColumn("max_episodes", share(base * scale, 100 + (n - 2) * 30))
     m = F.col("max_episodes")
     conf = F.greatest(F.lit(0.90), F.least(F.lit(0.99), F.lit(confidence) + (n - 2) * 0.02))
-    return out.withColumns({"min_episodes": F.greatest(F.lit(50), whole(m * 0.3)), "exploration_episodes": whole(m * 0.4),
-                            "exploitation_episodes": whole(m * 0.6), "early_stopping_patience": F.greatest(F.lit(20), whole(m * 0.15)),
+    return out.withColumns({"min_episodes": F.greatest(F.lit(50), share(m, 30)), "exploration_episodes": share(m, 40),
+                            "exploitation_episodes": share(m, 60), "early_stopping_patience": F.greatest(F.lit(20), share(m, 15)),
                             "confidence_threshold": conf})
 
 
