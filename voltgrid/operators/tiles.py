@@ -40,10 +40,14 @@ def _keys_of(size: int) -> Column:
 
 
 def _salted(left: DataFrame, right: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Left packs dealt over the keys of their bucket, right packs repeated for each key of the left bucket that they meet."""
+    """Left packs dealt over the keys of their bucket, right packs repeated for each key of the left bucket that they meet.
+
+    The right side is merged and never broadcast: the planner takes packs for as small as the file that they come from,
+    however often they are repeated.
+    """
     keys = left.groupBy(*by).agg(F.max("_keys").alias("_most"))
     dealt = left.withColumn("_salt", F.pmod(F.col("_pack"), F.col("_keys")))
-    met = right.join(keys, list(by)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1))).drop("_most")
+    met = right.hint("merge").join(keys, list(by)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1))).drop("_most")
     return dealt, met
 
 
@@ -73,7 +77,7 @@ def fold_near(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
               .withColumn("_bx", F.col("_bx") + F.col("_dx")).withColumn("_by", F.col("_by") + F.col("_dy")))
     lp, rp = _salted(lp, rp, ("_bx", "_by"))
     pairs = (lp.select("_bx", "_by", "_salt", *[F.col(f"_pts.{c}").alias(f"l_{c}") for c in left_cols])
-             .join(rp.select("_bx", "_by", "_salt", *[F.col(f"_pts.{c}").alias(f"r_{c}") for c in right_cols]),
+             .join(rp.select("_bx", "_by", "_salt", *[F.col(f"_pts.{c}").alias(f"r_{c}") for c in right_cols]).hint("merge"),
                    ["_bx", "_by", "_salt"])
              .drop("_bx", "_by", "_salt"))
 
@@ -111,7 +115,7 @@ def pairwise_mean_distance(points: DataFrame, keys: Sequence[str], point_id: str
             yield b[list(keys)].assign(_sum=total)
 
     types = dict(points.dtypes)
-    pairs = left.join(right, [*keys, "_salt"]).filter("_lp <= _rp")
+    pairs = left.join(right.hint("merge"), [*keys, "_salt"]).filter("_lp <= _rp")
     sums = pairs.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", _sum double")
     n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (sums.groupBy(*keys).agg(F.sum("_sum").alias("_sum")).join(n.filter("_n > 1"), list(keys))
