@@ -214,15 +214,33 @@ def _least_forest(left: np.ndarray, right: np.ndarray | None, most: int) -> Iter
         best[nearer], link[nearer] = far[nearer], i
 
 
-def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+def _across(left: np.ndarray, right: np.ndarray | None, most: int, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers, each with those of its links of at most ``most`` bits to rows of another root: all of them.
+
+    Between ``left`` and ``right``, or inside ``left``; ``roots`` has those of the left rows, then of the right ones.
+    """
+    nodes = left if right is None else np.concatenate((left, right))
+    for i in range(len(left)):
+        start = i + 1 if right is None else len(left)
+        other = start + np.flatnonzero(roots[start:] != roots[i])
+        near = other[np.bitwise_count(nodes[other] ^ nodes[i]).sum(axis=1, dtype=np.int64) <= most]
+        if len(near):
+            yield i, near
+
+
+def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: float = RECALL, count: int | None = None) -> DataFrame:
     """Links (a, b) between rows (key long, fp binary) that share a block and lie within the Hamming distance of ``similarity``.
 
     As for 64 bits, buckets are cut into packs that meet pairwise, and a kernel returns forests, one row per member at
-    most. The forest is of least distances, so that links kept by a finer test still connect what it connects.
+    most. The forest is of least distances: most links of it stand a finer test. Where some don't, those that it leaves
+    out matter: rows with a ``root`` give all links between rows of different roots instead. ``count`` is the number of
+    rows that the blocks were planned for, where ``prints`` are a part of them.
     """
     bits = 8 * len(prints.select("fp").head()[0]) if prints.head(1) else 64
-    share = differing(similarity)
-    plan, most = block_plan(prints.count(), similarity, recall, bits), math.floor(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
+    share, rooted = differing(similarity), "root" in prints.columns
+    prints = prints.select("key", "fp", *(["root"] if rooted else []))
+    columns = prints.columns
+    plan, most = block_plan(prints.count() if count is None else count, similarity, recall, bits), math.floor(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,11 +249,12 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
             on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
             for j, positions in enumerate(plan):
                 v = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), b.column("key"), b.column("fp")], names=["j", "v", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), *(b.column(c) for c in columns)], names=["j", "v", *columns])
 
-    keyed = prints.select("key", "fp").mapInArrow(blocks, "j int, v long, key long, fp binary")
-    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = F.collect_list(F.struct("key", "fp"))
+    keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary" + ", root long" * rooted)
+    some = F.min("root") < F.max("root") if rooted else F.lit(True)
+    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"), some.alias("apart")).filter("n > 1 AND apart").select("j", "v", "n")
+    member = F.collect_list(F.struct(*columns))
     packs = (keyed.join(full, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
              .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
              .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
@@ -251,6 +270,12 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
                 members = [s.values for s in sides.values]
                 keys = np.concatenate([m.field("key").to_numpy() for m in members]).tolist()
                 lines = [np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint64).reshape(len(m), -1) for m in members]
+                if rooted:
+                    at = np.array(keys, np.int64)
+                    for x, near in _across(lines[0], lines[1] if len(lines) > 1 else None, most, np.concatenate([m.field("root").to_numpy() for m in members])):
+                        edges = np.sort(np.stack((np.full(len(near), at[x]), at[near]), axis=1), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
+                    continue
                 out.extend((keys[x], keys[y]) for x, y in _least_forest(lines[0], lines[1] if len(lines) > 1 else None, most))
             edges = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
@@ -265,8 +290,8 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILAR, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # one pair of texts as Python objects at once
+                u, v = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in (x, y))
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= similarity * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], schema=schema).filter(pa.array(keep, pa.bool_()))
@@ -286,9 +311,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WOR
     rows = materialize(per_row(keyed, "doc_id key text", "doc_id long, key long, fp binary", lambda i, k, t: (i, k, long_fingerprint(t, shingle))))
     prints = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp")))
     edges = materialize(candidate_links(prints, similarity))
-    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    texts = materialize(keyed.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    roots = components(verified(edges, texts, similarity, shingle))
+
+    def kept(some: DataFrame) -> DataFrame:
+        ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
+        texts = materialize(keyed.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+        return materialize(verified(some, texts, similarity, shingle))
+
+    links_ = kept(edges)
+    roots = materialize(components(links_))
+    # Where a link of a forest fell, others that the forest left out may still join its parts: all of them are tested.
+    whole = components(edges).withColumnRenamed("root", "whole").join(roots, "node", "left").select(F.col("node").alias("key"), "whole", F.coalesce("root", "node").alias("root"))
+    whole = materialize(whole)
+    fallen = whole.groupBy("whole").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least < last").select("whole")
+    open_ = materialize(prints.join(whole.join(fallen, "whole", "left_semi").select("key", "root"), "key"))
+    if not open_.isEmpty():
+        rest = materialize(candidate_links(open_, similarity, count=prints.count()).join(edges, ["a", "b"], "left_anti"))
+        roots = components(links_.unionByName(kept(rest)))
     return rows.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
