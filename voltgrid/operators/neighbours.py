@@ -20,31 +20,42 @@ def _label(r: float) -> str:
     return f"{int(round(r * 100))}km"
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """(_place, lat, lon, k), written: each place once with its number of points, however many points share it."""
+    return materialize(points.groupBy("lat", "lon").agg(F.count(F.lit(1)).cast("double").alias("k")).withColumn("_place", F.monotonically_increasing_id()))
+
+
+def _at_places(points: DataFrame, places: DataFrame, sums: DataFrame, point_id: str, names: Sequence[str]) -> DataFrame:
+    """Sums of their places for points, each less the point itself."""
+    known = places.select("_place", "lat", "lon").join(sums, "_place")
+    return points.select(point_id, "lat", "lon").join(known, ["lat", "lon"]).groupBy(point_id).agg(*[(F.sum(n) - 1).alias(n) for n in names])
+
+
 def radius_counts(points: DataFrame, point_id: str, id_type: str = "string", radii: Sequence[float] = RADII) -> DataFrame:
-    """Exact number of other points within each radius (degrees)."""
+    """Exact number of other points within each radius (degrees); points at one place are compared once."""
     names = [f"neighbors_within_{_label(r)}" for r in radii]
 
     def kernel(lv, rv):
-        d = np.sqrt((lv["lat"][:, None] - rv["lat"]) ** 2 + (lv["lon"][:, None] - rv["lon"]) ** 2)
-        return {n: (d <= r).sum(axis=1) for n, r in zip(names, radii)}
+        d, e = np.subtract.outer(lv["lat"], rv["lat"]), np.subtract.outer(lv["lon"], rv["lon"])
+        np.sqrt(np.add(np.multiply(d, d, out=d), np.multiply(e, e, out=e), out=d), out=d)
+        return {n: (np.less_equal(d, r, out=e) @ rv["k"]).astype(np.int64) for n, r in zip(names, radii)}
 
-    schema = f"{point_id} {id_type}, " + ", ".join(f"{n} long" for n in names)
-    cols = [point_id, "lat", "lon"]
-    part = fold_near(points, points, cols, cols, kernel, schema, 1, max(radii))
-    return part.groupBy(point_id).agg(*[(F.sum(n) - 1).alias(n) for n in names])
+    places = _places(points)
+    part = fold_near(places, places, ["_place", "lat", "lon"], ["lat", "lon", "k"], kernel, "_place long, " + ", ".join(f"{n} long" for n in names), 1, max(radii))
+    return _at_places(points, places, part.groupBy("_place").agg(*[F.sum(n).alias(n) for n in names]), point_id, names)
 
 
 def decay_density(points: DataFrame, point_id: str, id_type: str = "string", radii: Sequence[float] = RADII) -> DataFrame:
-    """Sum of exp(-d / r) over the other points, for all radii in one pass over a hierarchy of tiles.
+    """Sum of exp(-d / r) over the other points, for all radii in one pass over a hierarchy of tiles; points at one place once.
 
     Tiles see each other as wholes where they are at most two radii wide, or lie so far apart that e^-40 is left; the
     relative error is near 1e-8 whatever the number of points.
     """
     names = {r: f"weighted_density_{_label(r)}" for r in radii}
-    places = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    sums = kernel_sums(points.select(point_id, "lat", "lon"), places, point_id, ["k"], lambda d: {n: np.exp(-d / r) for r, n in names.items()},
+    places = _places(points)
+    sums = kernel_sums(places.select("_place", "lat", "lon"), places, "_place", ["k"], lambda d: {n: np.exp(-d / r) for r, n in names.items()},
                        widest=2 * min(radii), nothing=40 * max(radii))
-    return sums.select(point_id, *[(F.col(f"{n}_k") - 1).alias(n) for n in names.values()])
+    return _at_places(points, places, sums.select("_place", *[F.col(f"{n}_k").alias(n) for n in names.values()]), point_id, list(names.values()))
 
 
 def histogram_density(points: DataFrame, radii: Sequence[float] = RADII) -> DataFrame:
