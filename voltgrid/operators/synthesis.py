@@ -140,6 +140,42 @@ def noise_samples(df: DataFrame, features: Sequence[str], target: str, row_id: s
     return j.select(*[_clip(F.col(c) + amount(c) * F.col(f"_sd_{c}") * normal(seed, F.col("_draw"), F.lit(c)), c).alias(c) for c in cols])
 
 
+def _feature_packs(drawn: DataFrame, rows: DataFrame, features: Sequence[str], row_id: str, k: int) -> DataFrame:
+    """Packs of drawn rows (``l_`` columns) beside the packs of rows (``r_`` columns) of their bin that may hold one of the k nearest rows.
+
+    Packs are boxes of a lattice over the features, as many as the rows of the bin need; a box with more rows is split. Bounds of boxes
+    leave out what is farther than k + 1 rows for sure. Of rows with equal features the first k + 1 count.
+    """
+    finite = F.lit(True)
+    for f in features:
+        finite = finite & F.coalesce(F.abs(F.col(f)) < float("inf"), F.lit(False))
+    same = Window.partitionBy("bin", *features).orderBy(row_id)
+    first = rows.filter(finite).withColumn("_nth", F.row_number().over(same)).filter(F.col("_nth") <= k + 1).select("bin", F.col(row_id).alias("_other"), *features)
+    first = materialize(first)
+    frame = materialize(first.groupBy("bin").agg(F.count(F.lit(1)).alias("_all"), *[e(f).alias(f"_{n}_{f}") for f in features for n, e in (("from", F.min), ("to", F.max))]))
+
+    def packed(df: DataFrame, names: Sequence[str], size: int, side: str) -> DataFrame:
+        parts = F.ceil(F.pow(F.col("_all") / 512, F.lit(1 / len(features))))
+        at = lambda f: F.when(F.col(f"_to_{f}") > F.col(f"_from_{f}"), F.floor((F.col(f) - F.col(f"_from_{f}")) / (F.col(f"_to_{f}") - F.col(f"_from_{f}")) * parts)).otherwise(F.lit(0).cast("long"))
+        boxed = df.join(F.broadcast(frame), "bin").withColumns({f"_c{i}": at(f) for i, f in enumerate(features)}).select("bin", *names, *[f"_c{i}" for i in range(len(features))])
+        packs = _packs(boxed, names, size, ["bin", *[f"_c{i}" for i in range(len(features))]])
+        lo, hi = ([end(F.col(f"_pts.{f}")).alias(f"{side}_{n}_{f}") for f in features] for n, end in (("lo", F.array_min), ("hi", F.array_max)))
+        return materialize(packs.select("bin", F.monotonically_increasing_id().alias(f"_{side}"), F.size("_pts").alias(f"{side}_n"), *lo, *hi, *[F.col(f"_pts.{c}").alias(f"{side}_{c}") for c in names]))
+
+    left, right = packed(drawn.filter(finite), ["_key", "_self", *features], 256, "l"), packed(first, ["_other", *features], 512, "r")
+    box = lambda df, side: df.select("bin", f"_{side}", f"{side}_n", *[f"{side}_{n}_{f}" for f in features for n in ("lo", "hi")])
+    met = box(left, "l").join(box(right, "r"), "bin")
+    c, zero = F.col, F.lit(0.0)
+    gap = sum((F.pow(F.greatest(c(f"l_lo_{f}") - c(f"r_hi_{f}"), c(f"r_lo_{f}") - c(f"l_hi_{f}"), zero), F.lit(2.0)) for f in features), zero)
+    span = sum((F.pow(F.greatest(c(f"l_hi_{f}") - c(f"r_lo_{f}"), c(f"r_hi_{f}") - c(f"l_lo_{f}")), F.lit(2.0)) for f in features), zero)
+    near = Window.partitionBy("_l").orderBy("_most", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.select("_l", "_r", "r_n", F.sqrt(gap).alias("_least"), F.sqrt(span).alias("_most")).withColumn("_held", F.sum("r_n").over(near))
+    reach = F.coalesce(F.min(F.when(F.col("_held") > k, F.col("_most"))).over(Window.partitionBy("_l")), F.lit(float("inf")))
+    kept = materialize(met.withColumn("_reach", reach).filter(F.col("_least") <= F.col("_reach") * (1 + 1e-9)).select("_l", "_r"))
+    arrays = lambda df, side, names: df.select(f"_{side}", *[f"{side}_{n}" for n in names])
+    return (kept.join(arrays(left, "l", ["_key", "_self", *features]), "_l").join(arrays(right, "r", ["_other", *features]).hint("merge"), "_r").drop("_l", "_r"))
+
+
 def smote_samples(df: DataFrame, features: Sequence[str], target: str, row_id: str, n: int, k: int = 4, bins: int = 5, seed: int = 42) -> DataFrame:
     """Oversampling over target bins: a drawn row moves towards one of its k nearest rows of the bin.
 
@@ -156,10 +192,7 @@ def smote_samples(df: DataFrame, features: Sequence[str], target: str, row_id: s
     draws = turns.withColumn("_d", F.explode(F.sequence(F.col("_turn").cast("long"), F.lit(n - 1).cast("long"), F.col("_turns")))) if n else turns.withColumn("_d", F.lit(0).cast("long")).limit(0)
     draws = draws.filter(F.col("_d") % F.col("_turns") == F.col("_turn")).withColumn("_rn", F.floor(uniform(seed, F.col("bin"), F.col("_d")) * F.col("_n")) + 1)
     base = materialize(draws.join(rows, ["bin", "_rn"]).withColumn("_key", F.concat_ws("/", "bin", "_d")))
-    left = _packs(base.select("bin", "_key", F.col(row_id).alias("_self"), *features), ["_key", "_self", *features], 256, ["bin"])
-    right = _packs(rows.select("bin", F.col(row_id).alias("_other"), *features), ["_other", *features], 512, ["bin"])
-    pairs = left.select("bin", *[F.col(f"_pts.{c}").alias(f"l_{c}") for c in ("_key", "_self", *features)]).join(
-        right.select("bin", *[F.col(f"_pts.{c}").alias(f"r_{c}") for c in ("_other", *features)]), "bin").drop("bin")
+    pairs = _feature_packs(base.select("bin", "_key", F.col(row_id).alias("_self"), *features), rows, features, row_id, k)
 
     def nearest_rows(batches):
         for pdf in batches:
