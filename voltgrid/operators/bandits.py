@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltgrid.functions.durable import materialize
 from voltgrid.functions.onerow import with_group_stats
 from voltgrid.functions.special import beta_ppf
-from voltgrid.operators.ordered import SLICE, row_numbers, slices
+from voltgrid.operators.ordered import row_numbers
 from voltgrid.operators.runs import RUN, regret_bound
 
 # Table values per confidence level: t at few and more degrees of freedom, and z (fixed values).
@@ -95,19 +95,19 @@ def _width(n, mean, std, confidence=0.95):
     return np.where(n < 1, 1.0, np.where(n == 1, single, np.where(n < 30, small, large)))
 
 
-def confidence_trace(episodes: DataFrame, c_param: float = 1.0) -> DataFrame:
+def confidence_trace(episodes: DataFrame, c_param: float = 1.0, chunk: int = 65536) -> DataFrame:
     """Per episode: interval of the chosen arm, width of the best arm so far, arms seen, exploration bonus.
 
-    What an episode needs from the past is each arm's pulls, sum and sum of squares, and these add up: runs are sorted
-    into slices over the cluster, a slice starts from the sums of the slices before (one row per slice, run and arm),
-    and all slices are worked on at once, however long a run is.
+    What an episode needs from the past is each arm's pulls, sum and sum of squares, and these add up: runs are numbered
+    over the cluster and cut into chunks of ``chunk`` rows, a chunk starts from the sums of those before (one row per chunk, run
+    and arm), and all chunks are worked on at once. However long a run is, Python holds one chunk.
     """
-    numbered = materialize(row_numbers(slices(episodes.select(*RUN, "episode", "arm", "reward"), RUN, ["episode"]), RUN, ["episode"], "_rn", sliced=True))
-    sums = numbered.groupBy(SLICE, *RUN, "arm").agg(F.count(F.lit(1)).alias("_n"), F.sum("reward").alias("_s"), F.sum(F.col("reward") * F.col("reward")).alias("_q"))
-    every = sums.select(SLICE, *RUN).distinct().join(sums.select(*RUN, "arm").distinct(), RUN)
-    before = Window.partitionBy(*RUN, "arm").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    past = every.join(sums, [SLICE, *RUN, "arm"], "left").select(SLICE, *RUN, "arm", *[F.sum(c).over(before).alias(c) for c in ("_n", "_s", "_q")])
-    carry = past.filter("_n > 0").groupBy(SLICE, *RUN).agg(F.collect_list(F.struct("arm", F.col("_n").cast("double").alias("n"), F.col("_s").alias("s"), F.col("_q").alias("q"))).alias("_past"))
+    numbered = materialize(row_numbers(episodes.select(*RUN, "episode", "arm", "reward"), RUN, ["episode"], "_rn").withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk)))
+    sums = numbered.groupBy("_chunk", *RUN, "arm").agg(F.count(F.lit(1)).alias("_n"), F.sum("reward").alias("_s"), F.sum(F.col("reward") * F.col("reward")).alias("_q"))
+    every = sums.select("_chunk", *RUN).distinct().join(sums.select(*RUN, "arm").distinct(), RUN)
+    before = Window.partitionBy(*RUN, "arm").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    past = every.join(sums, ["_chunk", *RUN, "arm"], "left").select("_chunk", *RUN, "arm", *[F.sum(c).over(before).alias(c) for c in ("_n", "_s", "_q")])
+    carry = past.filter("_n > 0").groupBy("_chunk", *RUN).agg(F.collect_list(F.struct("arm", F.col("_n").cast("double").alias("n"), F.col("_s").alias("s"), F.col("_q").alias("q"))).alias("_past"))
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
@@ -138,7 +138,9 @@ def confidence_trace(episodes: DataFrame, c_param: float = 1.0) -> DataFrame:
                 exploration_bonus=c_param * np.sqrt(2 * np.log(time[lo:lo + block]) / pulls)))
         return pd.concat(frames, ignore_index=True)
 
-    return numbered.join(carry, [SLICE, *RUN], "left").groupBy(SLICE, *RUN).applyInPandas(trace, (
+    # The first row of a chunk alone carries the sums before it.
+    begun = numbered.join(carry, ["_chunk", *RUN], "left").withColumn("_past", F.when((F.col("_rn") - 1) % chunk == 0, F.col("_past")))
+    return begun.groupBy("_chunk", *RUN).applyInPandas(trace, (
         "grid_id string, method string, episode long, arm int, confidence_lower double, confidence_upper double, confidence_width double, "
         "best_action_confidence double, action_diversity long, exploration_bonus double"))
 
