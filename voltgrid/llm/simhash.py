@@ -164,6 +164,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 7, shingle: in
 WORDS, SIMILAR, LANES = 5, 0.8, 4
 #: Share of pairs at the least similarity that the blocks bring together, and standard deviations of room for the Hamming test.
 RECALL, ROOM = 0.95, 2.0
+#: Rows, and bytes of shingles, of a pack of texts that are compared in full, about.
+WHOLE, SHINGLES = 1024, 8 << 20
 #: Blocks at least: small tables need few and can afford more.
 BLOCKS = 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -182,6 +184,12 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def farthest(bits: int, similarity: float) -> int:
+    """Most differing bits of candidates: the expected number at ``similarity`` and ``ROOM`` standard deviations."""
+    share = differing(similarity)
+    return math.floor(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
+
+
 def block_plan(count: int, similarity: float, recall: float, bits: int) -> list[np.ndarray]:
     """Bit positions of each block: wide enough, at any ``count``, that one in eight random fingerprints shares one at most,
     and so many that a pair at ``similarity`` shares one with probability ``recall``."""
@@ -214,33 +222,16 @@ def _least_forest(left: np.ndarray, right: np.ndarray | None, most: int) -> Iter
         best[nearer], link[nearer] = far[nearer], i
 
 
-def _across(left: np.ndarray, right: np.ndarray | None, most: int, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Row numbers, each with those of its links of at most ``most`` bits to rows of another root: all of them.
-
-    Between ``left`` and ``right``, or inside ``left``; ``roots`` has those of the left rows, then of the right ones.
-    """
-    nodes = left if right is None else np.concatenate((left, right))
-    for i in range(len(left)):
-        start = i + 1 if right is None else len(left)
-        other = start + np.flatnonzero(roots[start:] != roots[i])
-        near = other[np.bitwise_count(nodes[other] ^ nodes[i]).sum(axis=1, dtype=np.int64) <= most]
-        if len(near):
-            yield i, near
-
-
-def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: float = RECALL, count: int | None = None) -> DataFrame:
+def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """Links (a, b) between rows (key long, fp binary) that share a block and lie within the Hamming distance of ``similarity``.
 
     As for 64 bits, buckets are cut into packs that meet pairwise, and a kernel returns forests, one row per member at
     most. The forest is of least distances: most links of it stand a finer test. Where some don't, those that it leaves
-    out matter: rows with a ``root`` give all links between rows of different roots instead. ``count`` is the number of
-    rows that the blocks were planned for, where ``prints`` are a part of them.
+    out matter (``linked_across``).
     """
     bits = 8 * len(prints.select("fp").head()[0]) if prints.head(1) else 64
-    share, rooted = differing(similarity), "root" in prints.columns
-    prints = prints.select("key", "fp", *(["root"] if rooted else []))
-    columns = prints.columns
-    plan, most = block_plan(prints.count() if count is None else count, similarity, recall, bits), math.floor(bits * share + ROOM * math.sqrt(bits * share * (1 - share)))
+    prints = prints.select("key", "fp")
+    plan, most = block_plan(prints.count(), similarity, recall, bits), farthest(bits, similarity)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,12 +240,11 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
             on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
             for j, positions in enumerate(plan):
                 v = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), *(b.column(c) for c in columns)], names=["j", "v", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), b.column("key"), b.column("fp")], names=["j", "v", "key", "fp"])
 
-    keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary" + ", root long" * rooted)
-    some = F.min("root") < F.max("root") if rooted else F.lit(True)
-    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"), some.alias("apart")).filter("n > 1 AND apart").select("j", "v", "n")
-    member = F.collect_list(F.struct(*columns))
+    keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary")
+    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = F.collect_list(F.struct("key", "fp"))
     packs = (keyed.join(full, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
              .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
              .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
@@ -270,12 +260,6 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
                 members = [s.values for s in sides.values]
                 keys = np.concatenate([m.field("key").to_numpy() for m in members]).tolist()
                 lines = [np.frombuffer(b"".join(m.field("fp").to_pylist()), np.uint64).reshape(len(m), -1) for m in members]
-                if rooted:
-                    at = np.array(keys, np.int64)
-                    for x, near in _across(lines[0], lines[1] if len(lines) > 1 else None, most, np.concatenate([m.field("root").to_numpy() for m in members])):
-                        edges = np.sort(np.stack((np.full(len(near), at[x]), at[near]), axis=1), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
-                    continue
                 out.extend((keys[x], keys[y]) for x, y in _least_forest(lines[0], lines[1] if len(lines) > 1 else None, most))
             edges = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
@@ -283,6 +267,58 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
     return alone.unionByName(pairs).mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(lines: np.ndarray, roots: np.ndarray, right: np.ndarray, between: bool, sets: list[np.ndarray], most: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of row numbers: a forest of the links that join rows of different roots.
+
+    Rows link at ``most`` differing bits and at a similarity of their sorted ``sets``; the rows of a side, or those
+    ``between`` the sides (``right`` or not). Rows that a link has joined are of one root from then on.
+    """
+    roots, sizes = roots.copy(), np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(ids), bool)
+    for i in range(len(lines)):
+        other = i + 1 + np.flatnonzero((roots[i + 1:] != roots[i]) & ((right[i + 1:] != right[i]) if between else True))
+        other = other[similarity * np.maximum(sizes[other], sizes[i]) <= np.minimum(sizes[other], sizes[i])]
+        near = other[np.bitwise_count(lines[other] ^ lines[i]).sum(axis=1, dtype=np.int64) <= most]
+        if not len(near):
+            continue
+        mine = ids[ends[i] - sizes[i]:ends[i]]
+        marked[mine] = True
+        hits = np.append(0, np.cumsum(marked[np.concatenate([ids[ends[k] - sizes[k]:ends[k]] for k in near])]))[np.append(0, np.cumsum(sizes[near]))]
+        marked[mine] = False
+        both = np.diff(hits)
+        for k in near[both >= similarity * (sizes[near] + sizes[i] - both)].tolist():
+            if roots[k] != roots[i]:
+                roots[roots == roots[k]] = roots[i]
+                yield i, k
+
+
+def linked_across(rows: DataFrame, similarity: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
+    """Links (a, b) that join rows of different ``root`` inside one ``whole``, of rows (key, fp, whole, root, text).
+
+    All pairs within the Hamming distance of ``similarity`` are compared by their whole sets of shingles. A whole is cut
+    into packs bounded in rows and in bytes of shingles; each pair of packs is a group of its own, which returns a forest
+    of its links, so that a whole of n rows costs n^2 / 2 comparisons in kernels but never a row per pair.
+    """
+    made = materialize(per_row(rows, "key whole root fp text", "key long, whole long, root long, fp binary, shingles binary",
+                               lambda k, w, r, f, t: (k, w, r, f, np.unique(shingle_hashes(t, shingle)).tobytes())))
+    size = made.groupBy("whole").agg(F.greatest(F.ceil(F.count(F.lit(1)) / WHOLE), F.ceil(F.sum(F.length("shingles")) / SHINGLES)).cast("int").alias("packs"))
+    dealt = made.join(size, "whole").withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+    dealt = dealt.select("key", "root", "fp", "shingles", "p", "whole", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        lines = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+        keys, lo, hi = rows["key"].to_numpy(), group[1].as_py(), group[2].as_py()
+        found = [*_across(lines, rows["root"].to_numpy(), rows["p"].to_numpy() == hi, lo != hi, sets, farthest(64 * lines.shape[1], similarity), similarity)]
+        edges = np.sort(keys[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        return pa.Table.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
+
+    return dealt.groupBy("whole", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILAR, shingle: int = WORDS) -> DataFrame:
     """Links (a, b) whose texts (key, text) have shingle sets of at least ``similarity``, compared in full."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -312,21 +348,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WOR
     prints = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp")))
     edges = materialize(candidate_links(prints, similarity))
 
-    def kept(some: DataFrame) -> DataFrame:
-        ends = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
-        texts = materialize(keyed.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-        return materialize(verified(some, texts, similarity, shingle))
+    def texts(ends: DataFrame) -> DataFrame:
+        return materialize(keyed.select("key", "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
 
-    links_ = kept(edges)
+    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    links_ = materialize(verified(edges, texts(ends), similarity, shingle))
     roots = materialize(components(links_))
     # Where a link of a forest fell, others that the forest left out may still join its parts: all of them are tested.
     whole = components(edges).withColumnRenamed("root", "whole").join(roots, "node", "left").select(F.col("node").alias("key"), "whole", F.coalesce("root", "node").alias("root"))
     whole = materialize(whole)
     fallen = whole.groupBy("whole").agg(F.min("root").alias("least"), F.max("root").alias("last")).filter("least < last").select("whole")
-    open_ = materialize(prints.join(whole.join(fallen, "whole", "left_semi").select("key", "root"), "key"))
+    open_ = materialize(whole.join(fallen, "whole", "left_semi"))
     if not open_.isEmpty():
-        rest = materialize(candidate_links(open_, similarity, count=prints.count()).join(edges, ["a", "b"], "left_anti"))
-        roots = components(links_.unionByName(kept(rest)))
+        across = linked_across(open_.join(prints, "key").join(texts(open_.select("key")), "key"), similarity, shingle)
+        roots = components(links_.unionByName(across))
     return rows.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
