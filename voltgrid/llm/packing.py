@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -109,6 +110,8 @@ class WordIds:
     TAIL = b",.;:!?"
     #: Bytes of words of lower-case Latin letters, which stay as they are: a-z, and the two bytes of those from U+00DF on.
     LETTERS = bytes([*range(97, 123), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+    #: A word in a line of its own: letters and punctuation behind them, or anything else.
+    KINDS = re.compile(rb"^(?:([" + LETTERS + rb"]+)([" + TAIL + rb"]*)|([^\n]+))$", re.MULTILINE)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -135,39 +138,48 @@ class WordIds:
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def _encode(self, words: set[bytes]) -> None:
-        plain, other, odd, tailed = [], [], [], []
-        for w in words:
+        found = self.KINDS.findall(b"\n".join(words))
+        bare, tailed = [c for c, t, _ in found if c and not t], [(c, t) for c, t, _ in found if t]
+        plain, other, odd = {*bare, *(c for c, _ in tailed)}, [], []
+        for w in (w for _, _, w in found if w):
             core = w.rstrip(self.TAIL)
-            if core and not core.translate(None, self.LETTERS):
-                some = plain
-            elif core and core.decode().isalpha():
-                some = other
+            if core and core.decode().isalpha():
+                other.append(core)
+                if len(core) < len(w):
+                    tailed.append((core, w[len(core):]))
             else:
                 odd.append(w)
-                continue
-            some.append(core)
-            if len(core) < len(w):
-                tailed.append((w, core, w[len(core):]))
         plain, other = (list(set(x).difference(self.known)) for x in (plain, other))
         made = dict(zip(plain, self.merges.encode(plain), strict=True))
         self._line(other)
-        self._each(list({*odd, *(t for _, _, t in tailed)}.difference(self.known)))
+        self._each(list({*odd, *(t for _, t in tailed)}.difference(self.known)))
         known = self.known
-        known.update((w, (made.get(c) or known[c]) + known[t]) for w, c, t in tailed)
-        known.update((w, made[w]) for w in words.intersection(made))  # words met with a tail only are not kept without it
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lines = [(t or "").encode() for t in texts]
-        lines = [(x if b"<|" in x else x.lower()).split() for x in lines]  # on bytes: lower-cases A-Z, splits at ASCII white space
+        known.update([(c + t, (made.get(c) or known[c]) + known[t]) for c, t in tailed])
+        known.update(zip(bare, map(made.__getitem__, bare), strict=True))  # words met with a tail only are not kept without it
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # lower-cases A-Z only
+        lines = pc.ascii_split_whitespace(texts)  # also gives empty words, at the ends of a text
+        coded = lines.flatten().dictionary_encode()
+        words, index = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.size > REMEMBERED:
             self.known, self.older, self.size = {}, self.known, 0
-        missing = set().union(*lines).difference(self.known)
+        self.known[b""] = b""
+        missing = set(words).difference(self.known)
         if missing:
-            self.known.update((w, self.older[w]) for w in missing if w in self.older)
+            if self.older:
+                self.known.update([(w, self.older[w]) for w in missing if w in self.older])
             if new := missing.difference(self.known):
                 self._encode(new)
             self.size += sum(map(len, missing)) * 2 + PER_WORD * len(missing)
-        return [b"".join(map(self.known.__getitem__, words)) for words in lines]
+        raw = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, starts, taken = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes, sizes[index]
+        upto = np.append(0, np.cumsum(taken))
+        ids = flat[np.repeat(starts[index] - upto[:-1], taken) + np.arange(upto[-1])].tobytes()
+        edges = (4 * upto[lines.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 #: One per tokenizer and worker process: tasks that follow each other share what they remember.
@@ -185,8 +197,8 @@ def turned(raw: bytes, width: int) -> bytes:
     return np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
 
 
-#: Texts whose words are looked up together.
-TOGETHER = 128
+#: Bytes of texts whose words are looked up together, about: some 500 usual texts, and long ones by themselves.
+TOGETHER = 2 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, planes: bool = False) -> DataFrame:
@@ -202,10 +214,12 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = np.flatnonzero(np.diff(upto // TOGETHER, prepend=-1)).tolist()
+            for at, stop in zip(starts, [*starts[1:], b.num_rows], strict=False):
                 out = []
-                some = b.slice(at, TOGETHER)
-                encoded = words.encode(some.column("text").to_pylist())
+                some = b.slice(at, stop - at)
+                encoded = words.encode(some.column("text"))
                 for doc_id, key, ids in zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist(), encoded, strict=True):
                     ids += last
                     for start in range(0, len(ids), 4 * length):
