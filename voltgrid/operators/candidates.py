@@ -7,8 +7,10 @@ combination depends on the seed and its draw number only.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from voltgrid.operators.ordered import row_numbers
 from voltgrid.operators.tiles import _packs, nearest
 
 MOST = 2000
+#: Draws that a kernel compares with a pack of sites at once.
+DRAWS = 256
 
 
 def _digest(seed: int, *keys: Column) -> Column:
@@ -208,21 +212,59 @@ def stratified_combinations(sites: DataFrame, stratum: str, k: int, count: int,
     return _distinct_draws(sites, count, draw)
 
 
+def _far(chosen: DataFrame, packs: DataFrame) -> DataFrame:
+    """(grid_id, draw, p): of every pack, the sites farthest from those chosen, and those that rounding may make so.
+
+    ``chosen`` has draws with as many sites ``sel`` each. Of sites at one place only the last by id stays; sites chosen
+    already are left out. Each pack of draws meets each pack of sites of its grid, dealt evenly over the tasks.
+    """
+    draws = chosen.groupBy("grid_id", F.floor(F.col("draw") / DRAWS).alias("_d")).agg(F.collect_list(F.struct("draw", "sel")).alias("_draws"))
+    met = draws.join(packs, "grid_id").select("grid_id", "_draws", "_pts").repartition(int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def numbers(points: pa.StructArray, name: str) -> np.ndarray:
+        return points.field(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grid, some, sites in zip(batch.column("grid_id"), batch.column("_draws"), batch.column("_pts"), strict=True):
+                some, sites = some.values, sites.values
+                ids, edges = sites.field("site_id").to_pylist(), sites.field("edge_id").to_pylist()
+                order = sorted(range(len(sites)), key=lambda i: tuple((v is not None, v) for v in (ids[i], edges[i])))
+                sites = sites.take(pa.array(order, pa.int64()))
+                lat, lon, names = numbers(sites, "lat"), numbers(sites, "lon"), np.array(sites.field("site_id").to_pylist(), object)
+                sel = some.field("sel").flatten()
+                shape = (len(some), -1)
+                s_lat, s_lon, s_names = numbers(sel, "lat").reshape(shape), numbers(sel, "lon").reshape(shape), np.array(sel.field("site_id").to_pylist(), object).reshape(shape)
+                gap, taken = np.full((len(some), len(sites)), np.nan), np.zeros((len(some), len(sites)), bool)
+                number = {v: n for n, v in enumerate({*names.tolist(), *s_names.ravel().tolist()})}
+                mine, theirs = np.array([number[v] for v in names]), np.array([number[v] for v in s_names.ravel()]).reshape(shape)
+                for j in range(theirs.shape[1]):
+                    gap = np.fmin(gap, np.hypot(lat - s_lat[:, j, None], lon - s_lon[:, j, None]))
+                    taken |= mine == theirs[:, j, None]
+                best = np.where(taken, -1.0, np.nan_to_num(gap, nan=-1.0, posinf=np.inf)).max(axis=1)
+                draw, at = np.nonzero(~taken & ((gap >= best[:, None] * (1 - 1e-12)) | np.isnan(gap)))
+                place = np.unique(np.stack((lat, lon), axis=1), axis=0, return_inverse=True)[1].ravel()
+                last = np.array(sorted(dict(zip(zip(draw.tolist(), place[at].tolist(), strict=True), range(len(at)), strict=True)).values()), np.int64)
+                numbers_ = some.field("draw").take(pa.array(draw[last]))
+                yield pa.RecordBatch.from_arrays([pa.array([grid.as_py()] * len(last), batch.schema.field("grid_id").type), numbers_, sites.take(pa.array(at[last]))], names=["grid_id", "draw", "p"])
+
+    point = packs.schema["_pts"].dataType.elementType
+    return met.mapInArrow(run, f"grid_id {packs.schema['grid_id'].dataType.simpleString()}, draw int, p {point.simpleString()}")
+
+
 def spread_combinations(sites: DataFrame, k: int, count: int, seed: int = 42) -> DataFrame:
     """Farthest-point combinations: a first site, then k - 1 rounds of the site farthest from those chosen.
 
-    First sites are the first ``count`` in a keyed random order, so none comes twice. Each round meets the packs of a grid's sites, so a row holds one draw and one pack, and one best site per pack
-    leaves it.
+    First sites are the first ``count`` in a keyed random order, so none comes twice. Each round meets packs of draws with packs of a grid's sites in a kernel, which the best sites of a pack leave (``_far``); the exact
+    distances of these decide.
     """
     ranked = row_numbers(sites.withColumn("_h", _digest(seed, F.col("site_id"))), ["grid_id"], ["_h", "site_id"], "draw")
     chosen = materialize(ranked.filter(F.col("draw") <= count).select("grid_id", F.col("draw").cast("int").alias("draw"), F.array(F.struct("site_id", "edge_id", "lat", "lon")).alias("sel")))
     packs = materialize(_packs(sites.select("grid_id", "site_id", "edge_id", "lat", "lon"), ["site_id", "edge_id", "lat", "lon"], 512, ["grid_id"]).select("grid_id", "_pts"))
     for _ in range(k - 1):
-        def best(p):
-            gap = F.array_min(F.transform("sel", lambda s: F.hypot(p["lat"] - s["lat"], p["lon"] - s["lon"])))
-            taken = F.exists("sel", lambda s: s["site_id"] == p["site_id"])
-            return F.struct(F.when(taken, -1.0).otherwise(gap).alias("gap"), p["site_id"].alias("site_id"), p["edge_id"].alias("edge_id"), p["lat"].alias("lat"), p["lon"].alias("lon"))
-        each = chosen.join(packs, "grid_id").select("grid_id", "draw", F.array_max(F.transform("_pts", best)).alias("b"))
+        p = F.col("p")
+        gap = F.array_min(F.transform("sel", lambda s: F.hypot(p["lat"] - s["lat"], p["lon"] - s["lon"])))
+        each = _far(chosen, packs).join(chosen, ["grid_id", "draw"]).select("grid_id", "draw", F.struct(gap.alias("gap"), "p.*").alias("b"))
         top = each.groupBy("grid_id", "draw").agg(F.max("b").alias("b")).filter("b.gap >= 0")
         add = F.array(F.struct("b.site_id", "b.edge_id", "b.lat", "b.lon"))
         chosen = materialize(chosen.join(top, ["grid_id", "draw"]).select("grid_id", "draw", F.concat("sel", add).alias("sel")))
