@@ -1,5 +1,7 @@
 """Sources and sinks: each query writes tables in the foreign layout beside the checkpoints and reads them back."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from voltgrid.functions.durable import scratch_path
@@ -77,16 +79,25 @@ def _(t):
     return out
 
 
+#: Rows of an XML file, about: a task reads a file whole.
+XML_ROWS = 400_000
+
+
+def _dealt(df, *by):
+    """Rows dealt by their element to as many tasks as keep a file of elements at about ``XML_ROWS`` rows, at any size."""
+    return df.repartition(max(1, math.ceil(df.count() / XML_ROWS)), *by)
+
+
 def _write_xml(df, path, tag, root):
-    df.write.format("xml").option("rowTag", tag).option("rootTag", root).save(path)
+    df.write.format("xml").option("rowTag", tag).option("rootTag", root).option("maxRecordsPerFile", XML_ROWS).save(path)
     return path
 
 
 @query("src07_battery_xml", "SELECT id, count(*) AS n, round(sum(energy_consumed), 4) AS energy, round(avg(actual_battery_capacity), 3) AS capacity FROM fx_battery GROUP BY 1")
 def _(t):
     # Rows of one time stamp and episode share elements of a thousand vehicle numbers each.
-    b = t.fx("battery")
-    steps = b.groupBy("episode", F.col("time").alias("_time"), F.floor(F.col("id").cast("long") / 1000).alias("_part")).agg(F.collect_list(F.struct(F.col("id").alias("_id"), F.col("energy_consumed").alias("_energyConsumed"), F.col("actual_battery_capacity").alias("_actualBatteryCapacity"),
+    b = t.fx("battery").withColumn("_time", F.col("time")).withColumn("_part", F.floor(F.col("id").cast("long") / 1000))
+    steps = _dealt(b, "episode", "_time", "_part").groupBy("episode", "_time", "_part").agg(F.collect_list(F.struct(F.col("id").alias("_id"), F.col("energy_consumed").alias("_energyConsumed"), F.col("actual_battery_capacity").alias("_actualBatteryCapacity"),
                                                                                 F.col("maximum_battery_capacity").alias("_maximumBatteryCapacity"))).alias("vehicle")).drop("episode", "_part")
     path = _write_xml(steps, scratch_path(t.spark, "battery"), "timestep", "battery-export")
     return sx.battery(t.spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("energy_consumed"), 4).alias("energy"), rnd(F.avg("actual_battery_capacity"), 3).alias("capacity"))
@@ -95,7 +106,7 @@ def _(t):
 @query("src08_charging_xml", "SELECT station_id, count(*) AS n, round(sum(total_energy_charged), 4) AS energy, round(sum(charging_end - charging_begin), 3) AS busy FROM fx_charge_events GROUP BY 1")
 def _(t):
     e = t.fx("charge_events").withColumn("_part", F.col("charging_begin"))
-    st = e.groupBy(F.col("station_id").alias("_id"), "_part").agg(F.collect_list(F.struct(F.col("vehicle_id").alias("_id"), F.col("total_energy_charged").alias("_totalEnergyChargedIntoVehicle"), F.col("charging_begin").alias("_chargingBegin"),
+    st = _dealt(e, "station_id", "_part").groupBy(F.col("station_id").alias("_id"), "_part").agg(F.collect_list(F.struct(F.col("vehicle_id").alias("_id"), F.col("total_energy_charged").alias("_totalEnergyChargedIntoVehicle"), F.col("charging_begin").alias("_chargingBegin"),
                                                                                       F.col("charging_end").alias("_chargingEnd"))).alias("vehicle")).drop("_part")
     path = _write_xml(st, scratch_path(t.spark, "charging"), "chargingStation", "chargingstations-export")
     return sx.charging_events(t.spark, path).groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("total_energy_charged"), 4).alias("energy"), rnd(F.sum(F.col("charging_end") - F.col("charging_begin")), 3).alias("busy"))
