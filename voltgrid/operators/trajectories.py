@@ -48,16 +48,16 @@ def destinations(points: DataFrame) -> DataFrame:
     return last.select("veh_id", "_r.*")
 
 
-def long_dwells(points: DataFrame, hours: float = 2.0, radius_km: float = 0.05) -> DataFrame:
+def long_dwells(points: DataFrame, hours: float = 2.0, radius_km: float = 0.05, sliced: bool = False) -> DataFrame:
     """Points whose successor is nearer than 50 m and later than the threshold."""
-    nxt = following(points, ["veh_id"], ORDER, {"_lat": "lat", "_lon": "lon", "_t": "t"})
+    nxt = following(points, ["veh_id"], ORDER, {"_lat": "lat", "_lon": "lon", "_t": "t"}, sliced)
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     wait = F.col("_t") - F.col("t")
     return (nxt.withColumn("dwell_seconds", wait).filter((d < radius_km) & (wait > hours * 3600))
             .drop("_lat", "_lon", "_t"))
 
 
-def low_charge_points(points: DataFrame, threshold: float = 0.2) -> DataFrame:
+def low_charge_points(points: DataFrame, threshold: float = 0.2, sliced: bool = False) -> DataFrame:
     """Points where the simulated charge falls below the threshold; the battery is then set to 80 %.
 
     After a recharge the level is known, so the next one is the first row whose running use exceeds that of the recharge
@@ -66,7 +66,7 @@ def low_charge_points(points: DataFrame, threshold: float = 0.2) -> DataFrame:
     logarithm of the recharges. A vehicle with most of the rows is spread like any other.
     """
     key = ["veh_id"]
-    base = slices(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER)
+    base = points if sliced else slices(points.select("veh_id", "lat", "lon", "t", "ord"), key, ORDER)
     lagged = previous(base, key, ORDER, {"_lat": "lat", "_lon": "lon"}, sliced=True)
     km = F.coalesce(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
     used = materialize(lagged.select("veh_id", "lat", "lon", "t", "ord", SLICE, (km * KWH_PER_KM).alias("_used")))
@@ -97,9 +97,10 @@ def low_charge_points(points: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def demand_points(points: DataFrame, hours: float = 2.0, threshold: float = 0.2) -> DataFrame:
-    """Destinations, dwells and low-charge points in one typed table."""
-    kinds = {"trip_destination": destinations(points), "long_dwell": long_dwells(points, hours),
-             "low_soc": low_charge_points(points, threshold)}
+    """Destinations, dwells and low-charge points in one typed table; the points are sorted once for all."""
+    base = slices(points.select("veh_id", "lat", "lon", "t", "ord"), ["veh_id"], ORDER)
+    kinds = {"trip_destination": destinations(base), "long_dwell": long_dwells(base, hours, sliced=True),
+             "low_soc": low_charge_points(base, threshold, sliced=True)}
     out = None
     for kind, df in kinds.items():
         part = df.select("veh_id", "lat", "lon", "t", F.lit(kind).alias("kind"))
