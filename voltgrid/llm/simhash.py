@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -166,8 +167,8 @@ WORDS, SIMILAR, LANES = 5, 0.8, 4
 RECALL, ROOM = 0.95, 2.0
 #: Rows, and bytes of shingles, of a pack of texts that are compared in full, about.
 WHOLE, SHINGLES = 1024, 8 << 20
-#: Blocks at least: small tables need few and can afford more.
-BLOCKS = 64
+#: Blocks at least: small tables need few and can afford more. Blocks whose buckets are made at once.
+BLOCKS, TOGETHER = 64, 24
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -227,30 +228,12 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
 
     As for 64 bits, buckets are cut into packs that meet pairwise, and a kernel returns forests, one row per member at
     most. The forest is of least distances: most links of it stand a finer test. Where some don't, those that it leaves
-    out matter (``linked_across``).
+    out matter (``linked_across``). Buckets are made for ``TOGETHER`` blocks at once, so that their rows, one per
+    fingerprint and block, are never shuffled all together.
     """
     bits = 8 * len(prints.select("fp").head()[0]) if prints.head(1) else 64
     prints = prints.select("key", "fp")
     plan, most = block_plan(prints.count(), similarity, recall, bits), farthest(bits, similarity)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            for j, positions in enumerate(plan):
-                v = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), b.column("key"), b.column("fp")], names=["j", "v", "key", "fp"])
-
-    keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary")
-    full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = F.collect_list(F.struct("key", "fp"))
-    packs = (keyed.join(full, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
-             .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
-             .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
-    alone = packs.filter("packs = 1").select(F.array("one").alias("sides"))
-    pairs = (packs.filter("packs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
-             .groupBy("j", "v", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi")).agg(F.collect_list("one").alias("sides")).select("sides"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +247,33 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
             edges = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=schema)
 
-    return alone.unionByName(pairs).mapInArrow(run, "a long, b long").distinct()
+    def found(blocks_: list[np.ndarray]) -> Iterator[DataFrame]:
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                on = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+                for j, positions in enumerate(blocks_):
+                    v = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), j, np.int32)), pa.array(v), b.column("key"), b.column("fp")], names=["j", "v", "key", "fp"])
+
+        keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary")
+        full = materialize(keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        member = F.collect_list(F.struct("key", "fp"))
+        one = keyed.join(full.filter(F.col("n") <= PACK), ["j", "v"]).groupBy("j", "v").agg(member.alias("one"))
+        yield materialize(one.select(F.array("one").alias("sides")).mapInArrow(run, "a long, b long"))
+        large = full.filter(F.col("n") > PACK)
+        if large.isEmpty():
+            return
+        packs = (keyed.join(large, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
+                 .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
+                 .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
+        pairs = (packs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+                 .groupBy("j", "v", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi")).agg(F.collect_list("one").alias("sides")).select("sides"))
+        yield materialize(pairs.mapInArrow(run, "a long, b long"))
+
+    edges = [df for at in range(0, len(plan), TOGETHER) for df in found(plan[at:at + TOGETHER])]
+    return reduce(DataFrame.unionByName, edges).distinct()
 
 
 def _across(lines: np.ndarray, roots: np.ndarray, right: np.ndarray, between: bool, sets: list[np.ndarray], most: int, similarity: float) -> Iterator[tuple[int, int]]:
