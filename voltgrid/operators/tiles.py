@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltgrid.functions.durable import materialize
+from voltgrid.functions.durable import materialize, small_batches
 
 PACK = 512
 #: Left packs that one join key holds, about: the number of keys of a bucket grows with its packs.
@@ -147,4 +147,5 @@ def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, si
 
     part = fold_near(points, places, [pid, "lat", "lon"], [sid, "lat", "lon"], kernel, schema, 1, within / scale)
     best = part.groupBy(pid).agg(F.min(F.struct("dist", sid)).alias("_b")).select(pid, F.col(f"_b.{sid}").alias(sid), F.col("_b.dist").alias("dist"))
-    return best.filter(F.col("dist") <= within)
+    with small_batches(points.sparkSession):  # pairs of packs are wide rows: by number, a batch would hold most of them
+        return materialize(best.filter(F.col("dist") <= within))
