@@ -117,13 +117,14 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
     A fingerprint goes to one bucket per choice of blocks. Buckets are cut into packs of about ``PACK`` fingerprints; a
     kernel compares each pair of packs of a bucket and returns a spanning forest of its links, at most one row per
     fingerprint, never all pairs. The forests together connect exactly what all links connect. With seven blocks a
-    bucket is named by about 27 bits; take eight (32 bits) beyond some 10^11 fingerprints.
+    bucket is named by about 27 bits; take eight (32 bits) beyond some 10^11 fingerprints. Rows per fingerprint and bucket are
+    merged with their buckets, never broadcast: the planner takes them for as small as the fingerprints they come from.
     """
     choice = masks(blocks, bits)
     keyed = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("v")) for j, (m, _) in enumerate(choice)])).alias("k")).select("fp", "k.*")
     full = keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    packs = (keyed.join(full, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
+    packs = (keyed.join(full.hint("merge"), ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
              .withColumn("p", F.pmod(F.xxhash64("fp"), F.col("packs")).cast("int"))
              .groupBy("j", "v", "packs", "p").agg(F.collect_list("fp").alias("fps")))
     alone = packs.filter("packs = 1").select("j", F.array("fps").alias("sides"))
@@ -260,9 +261,9 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
         keyed = prints.mapInArrow(blocks, "j int, v long, key long, fp binary")
         full = materialize(keyed.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         member = F.collect_list(F.struct("key", "fp"))
-        one = keyed.join(full.filter(F.col("n") <= PACK), ["j", "v"]).groupBy("j", "v").agg(member.alias("one"))
+        one = keyed.join(full.filter(F.col("n") <= PACK).hint("merge"), ["j", "v"]).groupBy("j", "v").agg(member.alias("one"))
         yield materialize(one.select(F.array("one").alias("sides")).mapInArrow(run, "a long, b long"))
-        large = full.filter(F.col("n") > PACK)
+        large = materialize(full.filter(F.col("n") > PACK))  # a bucket per PACK rows at most: smaller than what they come from
         if large.isEmpty():
             return
         packs = (keyed.join(large, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
