@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voltgrid.functions.durable import materialize
 from voltgrid.operators import grids, polygons
 from voltgrid.plans.catalog.demand import r6
 from voltgrid.plans.catalog.grids import _ZONE, geo_sql, utm_sql
@@ -110,7 +111,8 @@ view("v_ring_kept", f"""SELECT c.* FROM v_pring_in c LEFT JOIN v_cover_share s O
 
 @query("gen02_cover_by_area", f"SELECT {_ID.format('primary')}, round(water_share, 6) AS water_share, round(urban_share, 6) AS urban_share FROM v_cover_share")
 def _(t):
-    return polygons.cover_shares(polygons.primary_grid(boundaries(t), keep_utm=True), land_cover(t)).select("grid_id", *r6("water_share", "urban_share"))
+    cells = materialize(polygons.primary_grid(boundaries(t), keep_utm=True).drop("piece"))
+    return polygons.cover_shares(cells, land_cover(t)).select("grid_id", *r6("water_share", "urban_share"))
 
 
 view("v_ring_open", """SELECT c.* FROM v_pring_in c LEFT JOIN v_ring_kept k ON k.area_id = c.area_id AND k.i = c.i AND k.j = c.j WHERE k.area_id IS NULL""")
