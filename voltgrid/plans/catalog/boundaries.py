@@ -127,6 +127,6 @@ view("v_half_in", f"""SELECT DISTINCT area_id, i, j FROM (SELECT area_id, i, j,
 
 @query("gen03_flexible_rings", f"SELECT {_ID.format('flex')}, 0.25e0 AS area_km2 FROM v_half_in")
 def _(t):
-    cells = polygons.primary_grid(boundaries(t), keep_utm=True)
+    cells = materialize(polygons.primary_grid(boundaries(t), keep_utm=True))
     kept = grids.coverage_filter(cells, polygons.cover_shares(cells, land_cover(t)), _WATER, _URBAN)
     return polygons.flexible_grid(cells, kept).select("grid_id", "area_km2")
