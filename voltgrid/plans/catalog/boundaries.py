@@ -65,9 +65,7 @@ def boundaries(t):
 
 
 def land_cover(t):
-    corners = t.fx("cover_corners")
-    rings = polygons.boundary_rings(corners.withColumn("area_id", F.struct("area_id", "shape_id", "cover")))
-    return rings.select("area_id.area_id", "area_id.cover", "rings")
+    return polygons.boundary_rings(t.fx("cover_corners"), "shape_id", "area_id", "cover").drop("shape_id")
 
 
 @query("prj10_offset_rings", """SELECT c.area_id, ring, pos, round(lat + (-0.5) / 111.32, 6) AS lat, round(lon + 0.3 / (111.32 * cos(radians(mid))), 6) AS lon FROM fx_ring_corners c
