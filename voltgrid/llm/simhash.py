@@ -263,10 +263,11 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILAR, recall: floa
         member = F.collect_list(F.struct("key", "fp"))
         one = keyed.join(full.filter(F.col("n") <= PACK).hint("merge"), ["j", "v"]).groupBy("j", "v").agg(member.alias("one"))
         yield materialize(one.select(F.array("one").alias("sides")).mapInArrow(run, "a long, b long"))
-        large = materialize(full.filter(F.col("n") > PACK))  # a bucket per PACK rows at most: smaller than what they come from
+        # A bucket per PACK rows at most: smaller than what they come from.
+        large = materialize(full.filter(F.col("n") > PACK).select("j", "v", F.ceil(F.col("n") / PACK).cast("int").alias("packs")))
         if large.isEmpty():
             return
-        packs = (keyed.join(large, ["j", "v"]).withColumn("packs", F.ceil(F.col("n") / PACK).cast("int"))
+        packs = (keyed.join(large, ["j", "v"])
                  .withColumn("p", F.pmod(F.xxhash64("key"), F.col("packs")).cast("int"))
                  .groupBy("j", "v", "packs", "p").agg(member.alias("one")))
         pairs = (packs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
